@@ -64,8 +64,8 @@ PERSONAL = ("customer", {
     "text": """concat(
  case c_custkey % 4 when 0 then '' when 1 then '身份证' when 2 then 'ID ' else '号' end,
  lpad(cast(c_custkey as string), 17, '4'), case c_custkey % 3 when 0 then 'X' when 1 then '7' else 'a' end,
- '，旧证', lpad(cast(c_custkey as string), 15, '3'), '。固话0731-', lpad(cast(c_custkey as string), 7 + c_custkey % 3, '2'),
- '，卡', lpad(cast(c_custkey as string), 12 + c_custkey % 9, '6'), '，邮箱u', cast(c_custkey as string), '.x@mail', cast(c_custkey % 9 as string), '.example.com。电话',
+ '，旧证', lpad(cast(c_custkey as string), 15, '3'), '。固话0731-', lpad(cast(c_custkey as string), cast(7 + c_custkey % 3 as int), '2'),
+ '，卡', lpad(cast(c_custkey as string), cast(12 + c_custkey % 9 as int), '6'), '，邮箱u', cast(c_custkey as string), '.x@mail', cast(c_custkey % 9 as string), '.example.com。电话',
  case c_custkey % 5 when 0 then '+86 139-' when 1 then '86138' when 2 then '+86-137 ' when 3 then '0139' else '199' end, lpad(cast(c_custkey as string), 4, '5'), case c_custkey % 2 when 0 then '-' else '' end, lpad(cast(c_custkey as string), 4, '8'),
  '，联系人', case c_custkey % 4 when 0 then '王某某说' when 1 then '李XX，' when 2 then '张×先生' else '赵某' end)""",
 })
