@@ -134,7 +134,7 @@ def judge_fields(answer: Column) -> Column:
     A missing score counts as 0; a score that is no number voids the answer.
     """
     v = parse_object(answer)
-    absent = F.variant_get(v, "$.score", "variant").isNull()
+    absent = v.isNotNull() & F.variant_get(v, "$.score", "variant").isNull()
     score = F.when(absent, F.lit(0.0)).otherwise(_number(v, "$.score"))
     return F.when(
         score.isNotNull(),

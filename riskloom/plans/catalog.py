@@ -88,13 +88,24 @@ def validated(spark: SparkSession, folder: str) -> DataFrame:
     return ops.validate_cases(found_cases(spark, folder), derived.AS_OF)
 
 
-def stored(spark: SparkSession, folder: str) -> st.CaseStore:
-    """A case table filled by one ingest of all articles."""
+def fresh_store(spark: SparkSession, folder: str) -> st.CaseStore:
+    """A new case table, filled by one ingest of all articles."""
     store = st.CaseStore(spark, work_folder(spark, "cases"), OPTIONS)
     ing.ingest(store, docs(spark, folder, True), derived.AS_OF, "art_id", "answer")
     return store
 
 
+_STORES: dict[tuple[str, str], st.CaseStore] = {}
+
+
+def stored(spark: SparkSession, folder: str) -> st.CaseStore:
+    """The case table that reading queries of one application share, written at first use."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _STORES:
+        _STORES[key] = fresh_store(spark, folder)
+    return _STORES[key]
+
+
 def case_out(df: DataFrame, *extra: str) -> DataFrame:
     return df.select(
         "case_id", "title", "source_url", "source_name", F.col("publish_date").cast("string").alias("publish_date"),
@@ -580,7 +591,7 @@ def transcript_valid(spark, folder):
 
 
 def ingest_cases(spark, folder):
-    read = stored(spark, folder).read()
+    read = fresh_store(spark, folder).read()
     return case_out(read, "norm2", F.md5(joined(F.col("vec").cast("array<string>"))).alias("vec"))
 
 

@@ -45,8 +45,9 @@ def ingest(
 
     Documents already stored leave before extraction, which is the costly part.
     """
-    known = store.read().select(F.col("raw_text_hash").alias("text_hash"))
-    fresh = unseen(docs, known, "text_hash")
+    fresh = docs
+    if store.exists():
+        fresh = unseen(docs, store.read().select(F.col("raw_text_hash").alias("text_hash")), "text_hash")
     return store.append(extract_cases(fresh, as_of, answer, lexicon, [order]), F.col(order))
 
 

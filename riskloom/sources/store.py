@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.vectors import embedding_text, hash_vector, norm2, space_name
 from ..operators.dedup import content_key, first_per_key, last_per_key, unseen
@@ -37,13 +37,13 @@ class CaseStore:
     def __init__(self, spark: SparkSession, path: str, options: RiskOptions = RiskOptions()):
         self.spark, self.path, self.options = spark, path, options
 
-    def _filled(self) -> bool:
+    def exists(self) -> bool:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
 
     def read(self) -> DataFrame:
         """All stored cases. A filter on fraud_type reads only that partition."""
-        if not self._filled():
+        if not self.exists():
             return self.spark.createDataFrame([], CASE_TABLE)
         return self.spark.read.schema(CASE_TABLE).parquet(self.path)
 
@@ -55,13 +55,13 @@ class CaseStore:
         its hashes are known by then.
         """
         known, batch = None, 0
-        if self._filled():
+        if self.exists():
             known = self.read().select("raw_text_hash")
             batch = (self.read().agg(F.max("batch_id")).first()[0] or 0) + 1
         fresh = with_vectors(new_cases(cases, known, order), self.options).withColumns(
             {"batch_id": F.lit(batch).cast("bigint"), "created_at": F.current_timestamp()}
         )
-        columns = self.spark.createDataFrame([], CASE_TABLE).columns
+        columns = T.StructType.fromDDL(CASE_TABLE).names
         # Adaptive execution sizes the files and splits a crowded type over several tasks.
         fresh.select(*columns).hint("rebalance", "fraud_type").write.mode("append").partitionBy("fraud_type").parquet(
             self.path
