@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from .. import patterns
 from ..lexicon import AGE_MARKERS, DEFAULT, OTHER, PAYMENT_TERMS, Lexicon
-from .text import contained, first_marker
+from .text import bind, contained, first_marker
 
 # Full-width digits count as digits in the patterns; number casts want ASCII.
 _WIDE_DIGITS = "０１２３４５６７８９"
@@ -46,7 +46,10 @@ def best_type(hits: Column) -> Column:
 
 def classify(hits: Column) -> Column:
     """struct(fraud_type, hits, n, score) for an article; no hit at all gives the catch-all type."""
-    best = best_type(hits)
+    return bind(best_type(hits), _classified)
+
+
+def _classified(best: Column) -> Column:
     return F.struct(
         F.when(best["n"] > 0, best["fraud_type"]).otherwise(F.lit(OTHER)).alias("fraud_type"),
         F.when(best["n"] > 0, best["kws"]).otherwise(F.array().cast("array<string>")).alias("hits"),

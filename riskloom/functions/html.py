@@ -16,7 +16,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column, functions as F
 
 from .. import patterns
-from .text import present, strip
+from .text import bind, present, strip
 
 
 _NAMED = "\u0001".join(f"{name}\u0002{chr(code)}" for name, code in name2codepoint.items())
@@ -65,23 +65,27 @@ def denoise(html: Column) -> Column:
 
 def page_title(html: Column) -> Column:
     """First h1 if it has text, else the title element, else empty."""
-    visible = drop_hidden(html)
+    def title(visible: Column) -> Column:
+        def of(pattern: str) -> Column:
+            return F.array_join(text_nodes(F.regexp_extract(visible, pattern, 1)), "")
 
-    def of(pattern: str) -> Column:
-        return F.array_join(text_nodes(F.regexp_extract(visible, pattern, 1)), "")
+        return F.coalesce(bind(of(patterns.H1), present), of(patterns.TITLE))
 
-    return F.coalesce(present(of(patterns.H1)), of(patterns.TITLE))
+    return bind(drop_hidden(html), title)
 
 
 def find_date(text: Column) -> Column:
     """First date as YYYY-MM-DD, digits only checked; null when there is none."""
 
-    def part(i: int) -> Column:
-        return F.regexp_extract(text, patterns.PAGE_DATE, i)
+    def dated(text: Column) -> Column:
+        def part(i: int) -> Column:
+            return F.regexp_extract(text, patterns.PAGE_DATE, i)
 
-    return F.when(
-        part(1) != "", F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0"))
-    )
+        return F.when(
+            part(1) != "", F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0"))
+        )
+
+    return bind(text, dated)
 
 
 def page_date(html: Column) -> Column:
@@ -185,6 +189,10 @@ def main_container(parts: Column) -> Column:
 
 def container_blocks(parts: Column, container: Column) -> Column:
     """Blocks of the chosen container; the whole page unless it holds over 100 characters."""
+    return bind(container, lambda chosen: _blocks_of(parts, chosen))
+
+
+def _blocks_of(parts: Column, container: Column) -> Column:
     return F.when(
         container["len"] > 100,
         F.slice(parts, container["start"] + 1, container["stop"] - container["start"]),
@@ -196,6 +204,6 @@ def block_text(parts: Column) -> Column:
     paragraphs = F.transform(
         F.filter(parts, lambda b: b["name"] == "p"), lambda b: F.array_join(text_nodes(b["body"]), " ")
     )
-    text = F.array_join(F.filter(paragraphs, lambda p: F.length(p) > 10), "\n")
+    text = bind(paragraphs, lambda all_of: F.array_join(F.filter(all_of, lambda p: F.length(p) > 10), "\n"))
     everything = F.array_join(F.flatten(F.transform(parts, lambda b: text_nodes(b["body"]))), "\n")
-    return F.when(text != "", text).otherwise(everything)
+    return bind(text, lambda t: F.when(t != "", t).otherwise(everything))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, functions as F
 
@@ -28,6 +28,15 @@ def lookup(table: dict[str, str | list[str]], key: Column) -> Column:
     return F.try_element_at(F.expr(f"map({', '.join(parts)})"), key)
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` evaluated once, however often the body names it.
+
+    Common-subexpression elimination does not reach into array functions, so an array
+    expression written twice runs twice.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Drop leading and trailing white space of any kind."""
     return F.regexp_replace(text, patterns.EDGE_SPACE, "")

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 from .. import patterns
+from .text import bind
 
 
 def space_name(dim: int) -> str:
@@ -24,8 +25,7 @@ def embedding_text(fraud_type: Column, scenario: Column, summary: Column, script
 
 def tokens(text: Column) -> Column:
     """CJK characters and ASCII words of the lower-cased text, then adjacent pairs joined."""
-    unit = F.regexp_extract_all(F.lower(text), F.lit(patterns.TOKEN), 1)
-    return with_pairs(unit)
+    return bind(F.regexp_extract_all(F.lower(text), F.lit(patterns.TOKEN), 1), with_pairs)
 
 
 def with_pairs(unit: Column) -> Column:
@@ -48,8 +48,12 @@ def bucket_code(token: Column, dim: int) -> Column:
     The digest's first 8 bytes are an unsigned little-endian number h; the bucket
     is h mod dim and the sign is plus when the top bit of h is set.
     """
-    digest = F.md5(token)
-    plus = F.when(F.substring(digest, 15, 1) >= "8", F.lit(1)).otherwise(F.lit(0))
+
+    return bind(F.md5(token), lambda digest: _code_of(digest, dim))
+
+
+def _code_of(digest: Column, dim: int) -> Column:
+    plus = (F.substring(digest, 15, 1) >= "8").cast("int")
     if 256 % dim == 0:
         bucket = _le_word(digest, 0, 1) % dim
     elif 2**32 % dim == 0:
@@ -60,6 +64,12 @@ def bucket_code(token: Column, dim: int) -> Column:
     return (bucket * 2 + plus).cast("int")
 
 
+def bucket_codes(token_list: Column, dim: int) -> Column:
+    """`bucket_code` of every token; digests first, so that each is computed once."""
+    digests = F.transform(token_list, lambda t: F.md5(t))
+    return F.transform(digests, lambda d: _code_of(d, dim))
+
+
 @lru_cache(maxsize=None)
 def _summer(dim: int):
     """Arrow function: lists of bucket codes -> lists of `dim` signed counts."""
@@ -83,8 +93,7 @@ def hash_vector(text: Column, dim: int) -> Column:
     Tokens and digests are JVM expressions; only the summing of a whole Arrow
     batch is numpy. No row leaves its partition, however long the text.
     """
-    codes = F.transform(tokens(F.coalesce(text, F.lit(""))), lambda t: bucket_code(t, dim))
-    return _summer(dim)(codes)
+    return _summer(dim)(bucket_codes(tokens(F.coalesce(text, F.lit(""))), dim))
 
 
 def norm2(vec: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import answers, checks, facts
 from ..functions.pii import redact, scan
-from ..functions.text import case_key, content_hash, lookup, present, words
+from ..functions.text import bind, case_key, content_hash, lookup, present, words
 from ..lexicon import DEFAULT, Lexicon
 from ..schemas import CASE_COLUMNS, MONEY, VICTIM
 
@@ -22,20 +22,30 @@ _FIELDS = [
 
 def redact_docs(docs: DataFrame) -> DataFrame:
     """Redact title and text, then hash the redacted text."""
-    return docs.withColumns(
-        {"title": redact(F.coalesce("title", F.lit(""))), "text": redact(F.col("text"))}
+    return once(
+        docs, {"title": redact(F.coalesce("title", F.lit(""))), "text": redact(F.col("text"))}
     ).withColumn("text_hash", content_hash(F.col("text")))
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """`withColumns` for costly columns that later steps filter on or name repeatedly.
+
+    A generator computes them once per row. Written as a plain projection they would be
+    computed again inside every filter the optimizer pushes below it.
+    """
+    row = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_row")
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, row).select(*kept, *[F.col(f"_row.{n}").alias(n) for n in columns])
+
+
 def rule_fields(title: Column, text: Column, found: Column, lexicon: Lexicon = DEFAULT) -> Column:
     """Case fields by rules as one struct. `found` is `facts.classify` of title + newline + text."""
     whole = F.concat(title, F.lit("\n"), text)
     signals = {t: lexicon.risk_signals.get(t, []) for t in lexicon.types}
     warnings = {t: lexicon.warnings.get(t, "") for t in lexicon.types}
     kind = found["fraud_type"]
-    amount = facts.max_amount(whole)
     summary = facts.lead(text)
-    return F.struct(
+    return bind(facts.max_amount(whole), lambda amount: F.struct(
         F.coalesce(present(title), F.concat(kind, F.lit("案例"))).alias("title"),
         kind.alias("fraud_type"),
         summary.alias("scenario"),
@@ -54,7 +64,7 @@ def rule_fields(title: Column, text: Column, found: Column, lexicon: Lexicon = D
         F.coalesce(lookup(warnings, kind), F.lit("")).alias("recommended_warning"),
         F.round(F.lit(0.3) + F.lit(0.4) * found["score"], 2).alias("confidence"),
         F.lit("rule").alias("extraction_method"),
-    )
+    ))
 
 
 def _classified(docs: DataFrame, lexicon: Lexicon) -> DataFrame:

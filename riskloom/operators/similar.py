@@ -4,7 +4,7 @@ Two routes with the same result, chosen by the measured size of the case side:
 
 * resident: cases whose vectors and attached fields are proven to fit a byte bound
   go to every executor once; queries are scored where they are, nothing is shuffled.
-* partitioned: cases are grouped into cells around pivot cases. A query visits only
+* partitioned: cases are grouped into cells, each around one case as its centre. A query visits only
   the cells that can still hold one of its k best (a bound that never drops a true
   answer), and meets their blocks by an equi-join on cell and block. Each block is bounded
   in rows, so a cell holding a third of all cases is many tasks and not one. Only k
@@ -30,7 +30,7 @@ CHUNK_BYTES = 32 << 20
 @dataclass(frozen=True)
 class TopKOptions:
     resident_bytes: int = 64 << 20
-    pivots: int = 256
+    probes: int = 256  # real cases every query is compared with to bound its k-th best score
     block_rows: int = 4096
     decimals: int | None = None  # set for float vectors: rank by the rounded score
 
@@ -48,11 +48,12 @@ def similar_topk(
     Both sides carry `vec`; cosine is 0 where either vector is zero, and is not
     clamped. Runs a small size check on `cases` at once, so hand in a stored table.
     """
-    snapshot = resident_snapshot(cases, info, options)
+    size = _measure(cases, info)
+    snapshot = resident_snapshot(cases, info, options, size)
     if snapshot is not None:
         score = resident_scorer(queries.sparkSession, snapshot, cases, k, info, options)
         return queries.withColumn("similar", score(F.col("vec")))
-    ranked = _partitioned(queries.select(query_id, "vec"), cases, k, query_id, info, options)
+    ranked = _partitioned(queries.select(query_id, "vec"), cases, size["n"], k, query_id, info, options)
     return queries.join(ranked, query_id, "left")
 
 
@@ -115,10 +116,10 @@ def _measure(cases: DataFrame, info: list[str]):
 
 
 def resident_snapshot(
-    cases: DataFrame, info: list[str], options: TopKOptions = TopKOptions()
+    cases: DataFrame, info: list[str], options: TopKOptions = TopKOptions(), size=None
 ) -> pa.Table | None:
     """The case side ordered by id if it fits the byte bound, else None."""
-    size = _measure(cases, info)
+    size = size or _measure(cases, info)
     if len(size["spaces"]) > 1:
         raise ValueError(f"case vectors come from different spaces: {sorted(size['spaces'])}")
     if size["n"] * size["dim"] * 8 + size["info_bytes"] > options.resident_bytes:
@@ -169,26 +170,28 @@ TIED_CELL = -2  # the k smallest ids: the whole answer for a zero query
 
 
 def _partitioned(
-    queries: DataFrame, cases: DataFrame, k: int, query_id: str, info: list[str], options: TopKOptions
+    queries: DataFrame, cases: DataFrame, n: int, k: int, query_id: str, info: list[str], options: TopKOptions
 ) -> DataFrame:
     spark = queries.sparkSession
     names = ["case_id", *info]
     # A bounded number of real cases, picked by id alone so that a retry picks them again.
     picked = (
-        cases.select("case_id", "vec").orderBy(F.xxhash64("case_id"), "case_id").limit(options.pivots).toArrow()
+        cases.select("case_id", "vec").orderBy(F.xxhash64("case_id"), "case_id").limit(options.probes).toArrow()
     )
     vectors = picked["vec"].combine_chunks()
     dim = len(vectors[0])
-    pivots = _matrix(vectors, dim)
-    pivots = pivots[_squares(pivots) > 0]
-    pivot2 = _squares(pivots)
-    held = spark.sparkContext.broadcast((pivots, pivot2))
+    probes = _matrix(vectors, dim)
+    probes = probes[_squares(probes) > 0]
+    held = spark.sparkContext.broadcast((probes, _squares(probes)))
+    # Cells of about a block each, as far as there are probes to serve as their centres:
+    # every visit moves a query vector, and should find a block's worth of work.
+    centres = min(len(probes), max(1, n // options.block_rows))
 
     placed_type = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())])
 
     @F.arrow_udf(placed_type)
     def place(vecs: pa.Array) -> pa.Array:
-        p, p2 = held.value
+        p, p2 = (side[:centres] for side in held.value)
         m = _matrix(vecs, dim)
         m2 = _squares(m)
         cell = np.full(len(m), ZERO_CELL, np.int32)
@@ -203,7 +206,7 @@ def _partitioned(
         return pa.StructArray.from_arrays([pa.array(cell), pa.array(angle)], ["cell", "angle"])
 
     placed = cases.select(*names, "vec", place("vec").alias("at")).select(*names, "vec", "at.cell", "at.angle")
-    # At most pivots + 1 rows reach the driver.
+    # At most probes + 1 rows reach the driver.
     cells = {r["cell"]: (r["n"], r["radius"]) for r in placed.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")
     ).collect()}
@@ -256,7 +259,7 @@ def _partitioned(
 def _router(held, cells: dict, k: int, dim: int, query_id: str):
     """Per batch of queries: one row per cell with the queries that must visit it.
 
-    Pivots are cases, so the k-th best pivot score is a floor for the k-th best score.
+    Probes are cases, so the k-th best probe score is a floor for the k-th best score.
     A cell of radius r at angle a from the query holds no score above cos(a - r).
     """
     numbered = sorted(c for c in cells if c >= 0)

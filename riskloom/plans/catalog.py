@@ -14,7 +14,7 @@ from ..operators import alerts, cases as ops, dedup
 from ..operators.phrases import phrase_matches
 from ..operators.similar import TopKOptions, similar_topk, top_one
 from ..schemas import RiskOptions
-from ..session import work_folder
+from ..session import spread, work_folder
 from ..sources import articles as src, store as st
 from ..streaming import calls as live
 from . import derived, detect as det, ingest as ing
@@ -42,6 +42,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def busy(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """A table whose rows are costly to process: the scan keeps all cores at work."""
+    return spread(table(spark, folder, name).select(*columns))
+
+
 def docs(spark: SparkSession, folder: str, with_answers: bool = False) -> DataFrame:
     """Redacted articles with hash, source name and read order."""
     read = derived.articles_with_answers if with_answers else derived.articles
@@ -51,7 +56,7 @@ def docs(spark: SparkSession, folder: str, with_answers: bool = False) -> DataFr
 def texts(spark: SparkSession, folder: str) -> DataFrame:
     """All supplied and derived texts: (src, id, text)."""
     sources = [
-        table(spark, folder, "documents").selectExpr("'doc' as src", "doc_id as id", "text"),
+        busy(spark, folder, "documents", "doc_id", "text").selectExpr("'doc' as src", "doc_id as id", "text"),
         derived.articles(spark, folder).selectExpr("'art' as src", "art_id as id", "text"),
         derived.derive(spark, folder, derived.CALLS).selectExpr("'call' as src", "utt_id as id", "text"),
         derived.derive(spark, folder, derived.PERSONAL).selectExpr("'pii' as src", "id", "text"),
@@ -155,7 +160,7 @@ def doc_allowlist(spark, folder):
 
 
 def pages_to_docs(spark, folder):
-    out = ing.pages_to_docs(table(spark, folder, "pages"), seeds(spark, folder), "page_id")
+    out = ing.pages_to_docs(busy(spark, folder, "pages", "page_id", "url", "html"), seeds(spark, folder), "page_id")
     return out.select("page_id", "url", "source_name", "title", "publish_date", "text", "text_hash")
 
 
@@ -252,7 +257,7 @@ def page_main_container(spark, folder):
 
 
 def page_text(spark, folder):
-    return src.clean_pages(table(spark, folder, "pages")).select("page_id", "text")
+    return src.clean_pages(busy(spark, folder, "pages", "page_id", "html")).select("page_id", "text")
 
 
 def page_text_coalesce(spark, folder):
@@ -468,7 +473,7 @@ def hash_bucket(spark, folder):
 
 
 def hash_embed(spark, folder):
-    vec = table(spark, folder, "documents").select("doc_id", vectors.hash_vector(F.col("text"), OPTIONS.dim).alias("vec"))
+    vec = busy(spark, folder, "documents", "doc_id", "text").select("doc_id", vectors.hash_vector(F.col("text"), OPTIONS.dim).alias("vec"))
     return vec.select("doc_id", F.md5(joined(F.col("vec").cast("array<string>"))).alias("vec"), vectors.norm2(F.col("vec")).alias("norm2"))
 
 
@@ -516,7 +521,7 @@ def similar_topk_resident(spark, folder):
 
 def similar_topk_partitioned(spark, folder):
     """The route for case tables beyond any executor, on the same data."""
-    return _ranked(_similar(spark, folder, TopKOptions(resident_bytes=0, pivots=32, block_rows=256)))
+    return _ranked(_similar(spark, folder, TopKOptions(resident_bytes=0, block_rows=512)))
 
 
 def similar_top1(spark, folder):

@@ -10,6 +10,8 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
+
 AS_OF = date(2025, 6, 30)
 
 CALLS = ("events", {
@@ -73,8 +75,10 @@ PERSONAL = ("customer", {
 
 def derive(spark: SparkSession, folder: str, view: tuple[str, dict[str, str]]) -> DataFrame:
     table, columns = view
-    return spark.read.parquet(f"{folder}/{table}.parquet").selectExpr(
-        *[f"{expression} as {name}" for name, expression in columns.items()]
+    return spread(
+        spark.read.parquet(f"{folder}/{table}.parquet").selectExpr(
+            *[f"{expression} as {name}" for name, expression in columns.items()]
+        )
     )
 
 

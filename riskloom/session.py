@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", name: str = "riskloom") -> SparkSession:
@@ -32,10 +32,11 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/riskloom/{purpose}-{uuid.uuid4().hex}"
 
 
-def materialize(df, purpose: str):
-    """Write a table to the shared folder and read it back: lineage ends, nothing is lost
-    with an executor, and statistics of the stored table are exact."""
-    path = work_folder(df.sparkSession, purpose)
-    schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+def spread(scan: DataFrame) -> DataFrame:
+    """A table scan with at least as many partitions as there are cores.
+
+    One small file is one task however much work each of its rows is. Input large
+    enough to keep every core busy is left as it is, and no shuffle is added.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import html
-from ..functions.text import present, strip, url_host
+from ..functions.text import bind, present, strip, url_host
+from ..operators.cases import once
 from ..operators.dedup import first_per_key
 from ..schemas import ARTICLE_FILE, SEED_FILE
 
@@ -83,15 +84,13 @@ def clean_pages(pages: DataFrame, html_column: str = "html", main_text: str | No
     text it is used, and the native text elsewhere.
     """
     page = F.col(html_column)
-    parts = html.blocks(html.denoise(page))
-    staged = pages.withColumn("_parts", parts)
-    staged = staged.withColumn("_kept", html.container_blocks(F.col("_parts"), html.main_container(F.col("_parts"))))
-    text = html.block_text(F.col("_kept"))
+    text = bind(
+        html.blocks(html.denoise(page)),
+        lambda parts: bind(html.container_blocks(parts, html.main_container(parts)), html.block_text),
+    )
     if main_text:
         text = F.coalesce(present(strip(F.col(main_text))), text)
-    return staged.withColumns(
-        {"title": html.page_title(page), "publish_date": html.page_date(page), "text": text}
-    ).drop("_parts", "_kept")
+    return once(pages, {"title": html.page_title(page), "publish_date": html.page_date(page), "text": text})
 
 
 def long_enough(docs: DataFrame) -> DataFrame:

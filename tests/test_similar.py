@@ -30,12 +30,12 @@ def random_side(rng, n, dim, groups):
 
 OPTIONS = [
     TopKOptions(),
-    TopKOptions(resident_bytes=0, pivots=16, block_rows=20),
-    TopKOptions(resident_bytes=0, pivots=3, block_rows=7),  # fewer pivots than k
+    TopKOptions(resident_bytes=0, probes=40, block_rows=15),
+    TopKOptions(resident_bytes=0, probes=3, block_rows=7),  # fewer probes than k
 ]
 
 
-@pytest.mark.parametrize("options", OPTIONS, ids=["resident", "cells", "few-pivots"])
+@pytest.mark.parametrize("options", OPTIONS, ids=["resident", "cells", "few-probes"])
 @pytest.mark.parametrize("k", [1, 5, 20])
 def test_topk_equals_brute_force(spark, options, k):
     rng = np.random.default_rng(3)
