@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from ..lexicon import DEFAULT, OTHER, Lexicon
 from .pii import redact, scan
-from .text import strip
+from .text import bind, strip
 
 # --- fixed values ---------------------------------------------------------
 MAX_AMOUNT = 1e9
@@ -55,10 +55,14 @@ def repair_text(text: Column) -> Column:
 
 def grounded(snippet: Column, text: Column) -> Column:
     """Whether the snippet, or any 6-character piece of it at step 3, occurs in the text."""
-    s = strip(snippet)
-    last = F.greatest(F.length(s) - 5, F.lit(1)) - 1
-    pieces = F.exists(F.sequence(F.lit(0), last, F.lit(3)), lambda i: F.contains(text, F.substring(s, i + 1, F.lit(6))))
-    return (s != "") & (F.contains(text, s) | pieces)
+    def occurs(s: Column) -> Column:
+        last = F.greatest(F.length(s) - 5, F.lit(1)) - 1
+        pieces = F.exists(
+            F.sequence(F.lit(0), last, F.lit(3)), lambda i: F.contains(text, F.substring(s, i + 1, F.lit(6)))
+        )
+        return (s != "") & (F.contains(text, s) | pieces)
+
+    return bind(strip(snippet), occurs)
 
 
 def grounded_share(script: Column, text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from .. import patterns
 from ..lexicon import AGE_MARKERS, DEFAULT, OTHER, PAYMENT_TERMS, Lexicon
-from .text import bind, contained, first_marker
+from .text import bind, contained, contained_in, first_marker
 
 # Full-width digits count as digits in the patterns; number casts want ASCII.
 _WIDE_DIGITS = "０１２３４５６７８９"
@@ -17,16 +17,19 @@ def type_hits(text: Column, lexicon: Lexicon = DEFAULT) -> Column:
 
     A literal lexicon keeps the match inside the scan stage: no join, no shuffle.
     """
-    return F.array(
-        *[
-            F.struct(
-                F.lit(rank).alias("type_rank"),
-                F.lit(name).alias("fraud_type"),
-                contained(text, kws).alias("kws"),
-            )
-            for rank, (name, kws) in enumerate(lexicon.keywords.items())
-        ]
-    )
+    def of(whole: Column) -> Column:
+        return F.array(
+            *[
+                F.struct(
+                    F.lit(rank).alias("type_rank"),
+                    F.lit(name).alias("fraud_type"),
+                    contained_in(whole, kws).alias("kws"),
+                )
+                for rank, (name, kws) in enumerate(lexicon.keywords.items())
+            ]
+        )
+
+    return bind(text, of)
 
 
 def best_type(hits: Column) -> Column:

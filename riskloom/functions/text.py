@@ -49,6 +49,11 @@ def present(text: Column) -> Column:
 
 def contained(text: Column, phrases: Iterable[str]) -> Column:
     """The phrases that occur in `text`, each once, in the given order."""
+    return bind(text, lambda t: contained_in(t, phrases))
+
+
+def contained_in(text: Column, phrases: Iterable[str]) -> Column:
+    """`contained` for a text that is a plain column or bound already."""
     return F.filter(words(phrases), lambda w: F.contains(text, w))
 
 

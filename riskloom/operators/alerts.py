@@ -13,7 +13,8 @@ def rises(windows: DataFrame, call: str, start: str, level: str, span: str = "1
     The first window of a call counts as following a low one. A call is cut into spans
     of time, so a call holding a third of all windows is many small groups: the previous
     level is looked up inside the span, and the first window of a span takes it from the
-    last window of the span before, one row per span.
+    last window of the span before, one row per span. `windows` is read twice, so hand in
+    a stored table rather than a plan that scores them.
     """
     ranked = windows.withColumns(
         {"_rank": level_rank(F.col(level)), "_span": F.window(F.col(start), span)["start"]}

@@ -40,7 +40,10 @@ def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 def rule_fields(title: Column, text: Column, found: Column, lexicon: Lexicon = DEFAULT) -> Column:
     """Case fields by rules as one struct. `found` is `facts.classify` of title + newline + text."""
-    whole = F.concat(title, F.lit("\n"), text)
+    return bind(F.concat(title, F.lit("\n"), text), lambda whole: _rule_fields(title, text, whole, found, lexicon))
+
+
+def _rule_fields(title: Column, text: Column, whole: Column, found: Column, lexicon: Lexicon) -> Column:
     signals = {t: lexicon.risk_signals.get(t, []) for t in lexicon.types}
     warnings = {t: lexicon.warnings.get(t, "") for t in lexicon.types}
     kind = found["fraud_type"]

@@ -499,7 +499,7 @@ def dense_topk(spark, folder):
         vecs.select("vec_id", "vec"), vecs.select(F.col("vec_id").alias("case_id"), "vec", "label"), 5, "vec_id", ["label"],
         TopKOptions(decimals=9),
     )
-    return found.select("vec_id", F.posexplode("similar").alias("pos", "s")).select(
+    return found.select("vec_id", _by_rank("similar")).select(
         "vec_id", (F.col("pos") + 1).alias("rank"), F.col("s.case_id").alias("near_id"), F.round("s.cosine", 6).alias("cosine")
     )
 
@@ -509,8 +509,14 @@ def _similar(spark, folder, topk=TopKOptions()):
     return det.with_similar(calls, stored(spark, folder).read(), "utt_id", OPTIONS, topk)
 
 
+def _by_rank(similar: Column | str) -> Column:
+    """One row per similar case. Exploding a bare column would make the optimizer add a
+    size filter on it and push that below the scorer, which would then run twice."""
+    return F.posexplode(F.slice(similar, 1, OPTIONS.top_k)).alias("pos", "s")
+
+
 def _ranked(found):
-    return found.select("utt_id", F.posexplode("similar").alias("pos", "s")).select(
+    return found.select("utt_id", _by_rank("similar")).select(
         "utt_id", (F.col("pos") + 1).alias("rank"), "s.case_id", F.round(F.greatest("s.cosine", F.lit(0.0)), 6).alias("similarity")
     )
 
@@ -644,9 +650,11 @@ def stream_detect(spark, folder):
 
 
 def risk_escalation(spark, folder):
-    cases = stored(spark, folder).read()
-    scored = live.score_windows(_call_windows(spark, folder), cases)
-    return alerts.rises(scored, "call_id", "window_start", "risk_level").select(
+    """Alerts over the scored windows, kept as a table because they are read twice."""
+    path = work_folder(spark, "scored-windows")
+    scored = live.score_windows(_call_windows(spark, folder), stored(spark, folder).read()).select(*live.ALERT_COLUMNS)
+    scored.write.parquet(path)
+    return alerts.rises(spark.read.schema(live.ALERT).parquet(path), "call_id", "window_start", "risk_level").select(
         "call_id", stamp("window_start"), "risk_level", "fraud_type"
     )
 
