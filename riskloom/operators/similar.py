@@ -48,7 +48,7 @@ def similar_topk(
     Both sides carry `vec`; cosine is 0 where either vector is zero, and is not
     clamped. Runs a small size check on `cases` at once, so hand in a stored table.
     """
-    size = _measure(cases, info)
+    size = measure(cases, info)
     snapshot = resident_snapshot(cases, info, options, size)
     if snapshot is not None:
         score = resident_scorer(queries.sparkSession, snapshot, cases, k, info, options)
@@ -101,27 +101,32 @@ def _chunks(rows: int, width: int):
 # --- resident route -------------------------------------------------------
 
 
-def _measure(cases: DataFrame, info: list[str]):
-    """Row count, vector width and byte size of the case side, in one small aggregate."""
+def measure(cases: DataFrame, info: list[str]):
+    """Row count, vector width and byte size of the case side, in one small aggregate.
+
+    Fails if the vectors come from different spaces: their products would mean nothing.
+    """
     weight = sum(
         (F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) for c in ["case_id", *info]), F.lit(0)
     )
-    spaces = F.collect_set("space") if "space" in cases.columns else F.array()
-    return cases.agg(
+    space = F.col("space") if "space" in cases.columns else F.lit("")
+    size = cases.agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("dim"),
         F.coalesce(F.sum(weight), F.lit(0)).alias("info_bytes"),
-        spaces.alias("spaces"),
+        F.min(space).alias("space"),
+        F.max(space).alias("other_space"),
     ).first()
+    if size["space"] != size["other_space"]:
+        raise ValueError(f"case vectors come from different spaces: {size['space']}, {size['other_space']}")
+    return size
 
 
 def resident_snapshot(
     cases: DataFrame, info: list[str], options: TopKOptions = TopKOptions(), size=None
 ) -> pa.Table | None:
     """The case side ordered by id if it fits the byte bound, else None."""
-    size = size or _measure(cases, info)
-    if len(size["spaces"]) > 1:
-        raise ValueError(f"case vectors come from different spaces: {sorted(size['spaces'])}")
+    size = size or measure(cases, info)
     if size["n"] * size["dim"] * 8 + size["info_bytes"] > options.resident_bytes:
         return None
     return cases.select("case_id", *info, "vec").toArrow().sort_by("case_id").combine_chunks()

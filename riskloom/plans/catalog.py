@@ -504,9 +504,9 @@ def dense_topk(spark, folder):
     )
 
 
-def _similar(spark, folder, topk=TopKOptions()):
+def _similar(spark, folder, topk=TopKOptions(), info=det.RESULT_INFO):
     calls = derived.calls(spark, folder)
-    return det.with_similar(calls, stored(spark, folder).read(), "utt_id", OPTIONS, topk)
+    return det.with_similar(calls, stored(spark, folder).read(), "utt_id", OPTIONS, topk, info=info)
 
 
 def _by_rank(similar: Column | str) -> Column:
@@ -552,7 +552,7 @@ def judge_scores(spark, folder):
 
 
 def judge_requests(spark, folder):
-    return det.judge_requests(_similar(spark, folder)).select("utt_id", "request")
+    return det.judge_requests(_similar(spark, folder, info=det.REQUEST_INFO)).select("utt_id", "request")
 
 
 def risk_fusion(spark, folder):

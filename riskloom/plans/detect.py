@@ -9,7 +9,9 @@ from ..lexicon import DEFAULT, Lexicon
 from ..operators.similar import TopKOptions, similar_topk, top_one
 from ..schemas import RiskOptions
 
-CASE_INFO = ["title", "fraud_type", "summary", "key_risk_signals", "recommended_warning"]
+# What a result shows of a similar case, and what a request to a model quotes of it.
+RESULT_INFO = ["title", "fraud_type", "recommended_warning"]
+REQUEST_INFO = [*RESULT_INFO, "summary", "key_risk_signals"]
 
 
 def valid_transcripts(calls: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -37,13 +39,14 @@ def with_similar(
     options: RiskOptions = RiskOptions(),
     topk: TopKOptions = TopKOptions(),
     text: str = "text",
+    info: list[str] = RESULT_INFO,
 ) -> DataFrame:
-    """Adds `similar`: the k most similar stored cases, best first."""
-    return similar_topk(with_vector(calls, options, text), cases, options.top_k, call_id, CASE_INFO, topk).drop("vec")
+    """Adds `similar`: the k most similar stored cases with their `info` columns, best first."""
+    return similar_topk(with_vector(calls, options, text), cases, options.top_k, call_id, info, topk).drop("vec")
 
 
 def judge_requests(scored: DataFrame, text: str = "text") -> DataFrame:
-    """Adds `request`, the text to put to a model about each call."""
+    """Adds `request`, the text to put to a model about each call. `similar` holds REQUEST_INFO."""
     return scored.withColumn("request", answers.judge_request(F.col(text), F.col("similar")))
 
 
@@ -102,12 +105,13 @@ def detect(
     and with a case table that fits an executor, the plan has no shuffle at all.
     """
     said, _ = valid_transcripts(calls, text)
-    scored = with_similar(with_rule_score(said, lexicon, text), cases, call_id, options, topk, text)
     if judged is None:
-        scored = scored.withColumn("judge", F.lit(None).cast(NO_JUDGE))
+        said = said.withColumn("judge", F.lit(None).cast(NO_JUDGE))
     else:
+        # Joined while a row is still a transcript: it is widest after scoring.
         read = judged.select(call_id, answers.judge_fields(F.col("answer")).alias("judge"))
-        scored = scored.join(read, call_id, "left")
+        said = said.join(read, call_id, "left")
+    scored = with_similar(with_rule_score(said, lexicon, text), cases, call_id, options, topk, text)
     kept = [c for c in calls.columns if c not in RESULT]
     return assess(scored, options).select(*kept, *RESULT)
 

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..lexicon import DEFAULT, Lexicon
 from ..operators.similar import TopKOptions, resident_scorer, resident_snapshot
-from ..plans.detect import CASE_INFO, NO_JUDGE, RESULT, assess, valid_transcripts, with_rule_score, with_vector
+from ..plans.detect import NO_JUDGE, RESULT, RESULT_INFO, assess, valid_transcripts, with_rule_score, with_vector
 from ..schemas import RiskOptions
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -47,12 +47,12 @@ def score_windows(
     """Risk result of every window, as a stateless map: works on a stream and on a table.
 
     A stream scores against a snapshot of the case table taken at its start. A table of
-    cases beyond the resident bound needs `score_batch` in foreachBatch instead.
+    cases beyond the resident bound needs `plans.detect.detect` in foreachBatch instead.
     """
-    snapshot = resident_snapshot(cases, CASE_INFO, topk)
+    snapshot = resident_snapshot(cases, RESULT_INFO, topk)
     if snapshot is None:
         raise ValueError("case table exceeds the resident bound: score micro-batches with plans.detect.detect")
-    scorer = resident_scorer(windows.sparkSession, snapshot, cases, options.top_k, CASE_INFO, topk)
+    scorer = resident_scorer(windows.sparkSession, snapshot, cases, options.top_k, RESULT_INFO, topk)
     said, _ = valid_transcripts(windows)
     scored = with_vector(with_rule_score(said, lexicon), options).withColumn("similar", scorer(F.col("vec")))
     return assess(scored.withColumn("judge", F.lit(None).cast(NO_JUDGE)), options).select(*windows.columns, *RESULT)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.cases import redact_docs
 from riskloom.operators.similar import TopKOptions
-from riskloom.plans.detect import as_json, detect, judge_requests, valid_transcripts, with_similar
+from riskloom.plans.detect import REQUEST_INFO, as_json, detect, judge_requests, valid_transcripts, with_similar
 from riskloom.plans.ingest import ingest, ingest_summary, new_case_lines
 from riskloom.session import work_folder
 from riskloom.sources.store import CaseStore
@@ -111,10 +111,10 @@ def test_judge_changes_score_type_and_reason(spark, calls, store):
 
 
 def test_requests_and_json(spark, calls, store):
-    request = judge_requests(with_similar(calls.filter("id = 1"), store.read(), "id")).first()["request"]
+    request = judge_requests(with_similar(calls.filter("id = 1"), store.read(), "id", info=REQUEST_INFO)).first()["request"]
     assert CALLS[0][1] in request and request.count("- [") == 3
     empty = spark.createDataFrame([], store.read().schema)
-    assert "（无）" in judge_requests(with_similar(calls.filter("id = 1"), empty, "id")).first()["request"]
+    assert "（无）" in judge_requests(with_similar(calls.filter("id = 1"), empty, "id", info=REQUEST_INFO)).first()["request"]
     doc = json.loads(as_json(detect(calls.filter("id = 1"), store.read(), "id")).first()["json"])
     assert doc["risk_level"] == "high" and doc["fraud_type"] == "冒充公检法"
 

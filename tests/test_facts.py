@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import checks, facts, scoring, text as tx
 from riskloom.functions.facts import classify, type_hits
+from riskloom.lexicon import Lexicon
 
 
 @pytest.mark.parametrize(
@@ -89,3 +90,15 @@ def test_host_and_key(one):
     assert one(tx.url_host, "https://a.example.com:8080/x?y#z") == "a.example.com:8080"
     assert one(tx.strip, "\n　 a b\t ") == "a b"
     assert len(one(lambda t: tx.case_key(tx.content_hash(t), t), "x")) == 32
+
+
+def test_own_lexicon(one, spark):
+    rows = spark.createDataFrame(
+        [("甲类", ["暗号"], ["信号"], "当心"), ("乙类", ["口令", "暗号二"], None, None)],
+        "fraud_type string, keywords array<string>, risk_signals array<string>, warning string",
+    ).collect()
+    own = Lexicon.from_rows(rows, ["马上"])
+    assert own.labels == ["甲类", "乙类", "其他"] and own.warnings == {"甲类": "当心", "乙类": ""}
+    got = one(lambda t: scoring.rule_score(type_hits(t, own), scoring.generic_hits(t, own)), "暗号二，口令，马上")
+    assert got["fraud_type"] == "乙类" and got["signals"] == ["暗号", "口令", "暗号二", "马上"]
+    assert own.keyword_table(spark).count() == 3
