@@ -1,0 +1,2 @@
+def test_import():
+    import llm.catalog  # noqa: F401
