@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from llm import substring_dedup
+from llm import substring_dedup, suffix_dedup
 
 QUERIES = {
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
 ORACLES = {

@@ -164,3 +164,26 @@ def words(s: Slice, kind: np.ndarray, lower: bool) -> Words:
         h[i:j] = WORD.spans(WORD.prefix(WORD.byte[data[lo : end[j - 1]]]), start[i:j] - lo, end[i:j] - lo)
         i = j
     return Words(start, end, h, np.searchsorted(start, s.offsets), data)
+
+
+def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal true runs within each text: (text, start, end), counted from the text's start."""
+    if not len(mask):
+        zero = np.zeros(0, np.int64)
+        return zero, zero, zero
+    cuts = offsets[(offsets > 0) & (offsets < len(mask))]
+    first, last = mask.copy(), mask.copy()
+    first[1:] &= ~mask[:-1]
+    first[cuts] = mask[cuts]
+    last[:-1] &= ~mask[1:]
+    last[cuts - 1] = mask[cuts - 1]
+    lo, hi = np.flatnonzero(first), np.flatnonzero(last) + 1
+    doc = np.searchsorted(offsets, lo, "right") - 1
+    return doc, lo - offsets[doc], hi - offsets[doc]
+
+
+def span_lists(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: int) -> pa.Array:
+    """The runs of n texts as a list column of (start, end)."""
+    edge = np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)
+    pairs = pa.StructArray.from_arrays([pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["start", "end"])
+    return pa.ListArray.from_arrays(pa.array(edge), pairs)
