@@ -71,6 +71,14 @@ def _by(slot: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(slot[order[lo]]), order[lo : edge[i + 1] if i + 1 < len(edge) else len(order)]
 
 
+def often(key: np.ndarray, least: int) -> np.ndarray:
+    """Whether each key occurs at least so many times in the array."""
+    if least <= 2:
+        return repeated(key)
+    _, same, count = np.unique(key, return_inverse=True, return_counts=True)
+    return (count >= least)[same.reshape(-1)]
+
+
 def repeated(key: np.ndarray) -> np.ndarray:
     """Whether each key occurs more than once in the array."""
     order = np.argsort(key)
@@ -97,8 +105,8 @@ def _batch(rows: list, schema: str):
 class _Buffer:
     """Entries of the documents seen so far in a task."""
 
-    def __init__(self, buckets: int, slots: int, blocks: bool):
-        self.buckets, self.slots, self.blocks = buckets, slots, blocks
+    def __init__(self, buckets: int, slots: int, blocks: bool, least: int):
+        self.buckets, self.slots, self.blocks, self.least = buckets, slots, blocks, least
         self.clear()
 
     def clear(self):
@@ -119,16 +127,13 @@ class _Buffer:
         ids, doc, pos, key = np.concatenate(self.ids), np.concatenate(self.doc), np.concatenate(self.pos), np.concatenate(self.key)
         extra = np.concatenate(self.extra) if self.blocks else None
         self.clear()
-        rep = repeated(key)
+        rep = often(key, self.least)
         send = ~rep
-        hit = rep
         if self.blocks:  # one document of each repeated key may still be asked for its windows
             where = np.flatnonzero(rep)
             _, first = np.unique(key[where], return_index=True)
             send[where[first]] = True
-            known = np.unique(key[rep])
-        else:
-            known = np.unique(key[rep])
+        known = np.unique(key[rep])
         rows = []
         bucket = _bucket(key, self.buckets)
         of_known = dict(_by(_bucket(known, self.buckets)))
@@ -139,7 +144,7 @@ class _Buffer:
             rows.append((0, b, *pack_docs(ids, doc[at], pos[at]), key[at].tobytes(), extra[at].tobytes() if self.blocks else b"", known[mine].tobytes() if mine is not None else b""))
         for b, mine in of_known.items():
             rows.append((0, b, b"", squeeze(np.zeros(0, np.uint32)), squeeze(np.zeros(0, np.uint32)), b"", b"", known[mine].tobytes()))
-        at = np.flatnonzero(hit)
+        at = np.flatnonzero(rep)
         for s, _, i, n, p in _answers(ids, doc[at], pos[at], HIT, self.slots):
             rows.append((1, s, i, n, p, b"", b"", b""))
         out = _batch(rows, PACKED)
@@ -147,12 +152,12 @@ class _Buffer:
             yield out
 
 
-def packed(rows: DataFrame, emit: Callable, buckets: int, blocks: bool) -> DataFrame:
+def packed(rows: DataFrame, emit: Callable, buckets: int, blocks: bool, least: int = 2) -> DataFrame:
     """emit(batch) yields (ids, doc, pos, key, extra): arrays of one slice of texts, by document and position."""
     slots = parts(rows.sparkSession)
 
     def run(batches):
-        buffer = _Buffer(buckets, slots, blocks)
+        buffer = _Buffer(buckets, slots, blocks, least)
         for batch in batches:
             for entry in emit(batch):
                 buffer.add(*entry)
@@ -198,7 +203,7 @@ def find_repeats(rows: DataFrame, emit: Callable, buckets: int | None = None) ->
         every = repeated(np.concatenate([key, known, known]))[: len(key)]
         return _table(list(_answers(ids, doc[every], pos[every], HIT, slots)), ANSWER)
 
-    return gathered(packed(rows, emit, n, False).groupBy("kind", "slot").applyInArrow(settle, ANSWER)).select("rid1", "rid2", "hit")
+    return gathered(packed(rows, emit, n, False).groupBy("kind", "slot").applyInArrow(settle, ANSWER)).select("rid1", "rid2", "hit", "hits")
 
 
 def find_blocks(rows: DataFrame, emit: Callable, buckets: int | None = None) -> DataFrame:
@@ -247,28 +252,70 @@ def find_blocks(rows: DataFrame, emit: Callable, buckets: int | None = None) ->
     return gathered(first.groupBy("kind", "slot").applyInArrow(settle_anchors, ANSWER))
 
 
+def _merged(table: pa.Table):
+    """(document table, document, position, flag) of all answers of a slot."""
+    ids, doc, pos, flag, docs = [], [], [], [], 0
+    for f, i, n, p in zip(np.asarray(table["flag"]), table["ids"].to_pylist(), table["n"].to_pylist(), table["pos"].to_pylist(), strict=True):
+        a, d, q = open_docs(i, n, p)
+        ids.append(a), doc.append(d + docs), pos.append(q), flag.append(np.full(len(d), f))
+        docs += len(a)
+    ids, doc, pos, flag = (np.concatenate(x) for x in (ids, doc, pos, flag))
+    one, same = np.unique(ids, axis=0, return_inverse=True)
+    return one, same.reshape(-1)[doc], pos, flag
+
+
 def gathered(answers: DataFrame) -> DataFrame:
     """(rid1, rid2, hit, open): the answers to each document, as sorted packed uint32."""
 
     def merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        flags = np.asarray(table["flag"])
-        ids, doc, pos, flag, docs = [], [], [], [], 0
-        for f, i, n, p in zip(flags, table["ids"].to_pylist(), table["n"].to_pylist(), table["pos"].to_pylist(), strict=True):
-            a, d, q = open_docs(i, n, p)
-            ids.append(a), doc.append(d + docs), pos.append(q), flag.append(np.full(len(d), f))
-            docs += len(a)
-        ids, doc, pos, flag = (np.concatenate(x) for x in (ids, doc, pos, flag))
-        table_ids, same = np.unique(ids, axis=0, return_inverse=True)
-        doc = same.reshape(-1)[doc]
+        table_ids, doc, pos, flag = _merged(table)
         order = np.lexsort((pos, flag, doc))
         doc, pos, flag = doc[order], pos[order].astype(np.uint32), flag[order]
         edge = np.searchsorted(doc, np.arange(len(table_ids) + 1))
         hits = np.searchsorted(doc * 2 + flag, np.arange(len(table_ids)) * 2 + 1)
         hit = [squeeze(pos[edge[i] : hits[i]]) for i in range(len(table_ids))]
         still = [squeeze(pos[hits[i] : edge[i + 1]]) for i in range(len(table_ids))]
-        return pa.table({"rid1": pa.array(table_ids[:, 0]), "rid2": pa.array(table_ids[:, 1]), "hit": pa.array(hit, pa.binary()), "open": pa.array(still, pa.binary())})
+        return pa.table({"rid1": pa.array(table_ids[:, 0]), "rid2": pa.array(table_ids[:, 1]), "hit": pa.array(hit, pa.binary()), "open": pa.array(still, pa.binary()), "hits": pa.array(hits - edge[:-1])})
+
+    return answers.groupBy("slot").applyInArrow(merge, "rid1 long, rid2 long, hit binary, open binary, hits long")
+
+
+def find_classes(rows: DataFrame, emit: Callable, cap: int = 6, buckets: int | None = None) -> DataFrame:
+    """(rid1, rid2, pos, cls) of keys that occur more than once: cls is the binary logarithm of how often, at most cap.
+
+    A key seen 2^cap times inside one task has class cap, so its other holders need not be sent.
+    """
+    n = buckets or 2 * parts(rows.sparkSession)
+    slots = parts(rows.sparkSession)
+    kinds = "slot int, flag int, ids binary, n binary, pos binary"
+
+    def classes(key: np.ndarray, known: np.ndarray) -> np.ndarray:
+        _, same, count = np.unique(key, return_inverse=True, return_counts=True)
+        cls = np.minimum(cap, np.floor(np.log2(count)).astype(np.int64))[same.reshape(-1)]
+        cls[np.isin(key, known)] = cap
+        return cls
+
+    def settle(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        if key[0].as_py() == 1:
+            return _through(table).set_column(1, "flag", pa.array([cap] * len(table), pa.int32()))
+        ids, doc, pos, key, _, known = _opened(table)
+        cls = classes(key, known)
+        rows = []
+        for c in range(1, cap + 1):
+            at = np.flatnonzero(cls == c)
+            rows += _answers(ids, doc[at], pos[at], c, slots)
+        return _table(rows, kinds)
 
-    return answers.groupBy("slot").applyInArrow(merge, "rid1 long, rid2 long, hit binary, open binary")
+    def merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        ids, doc, pos, cls = _merged(table)
+        order = np.lexsort((pos, doc))
+        doc, pos, cls = doc[order], pos[order].astype(np.uint32), cls[order].astype(np.uint8)
+        edge = np.searchsorted(doc, np.arange(len(ids) + 1))
+        cut_up = [[a[edge[i] : edge[i + 1]].tobytes() for i in range(len(ids))] for a in (pos, cls)]
+        return pa.table({"rid1": pa.array(ids[:, 0]), "rid2": pa.array(ids[:, 1]), "pos": pa.array(cut_up[0], pa.binary()), "cls": pa.array(cut_up[1], pa.binary())})
+
+    entries = packed(rows, emit, n, False, 1 << cap)
+    return entries.groupBy("kind", "slot").applyInArrow(settle, kinds).groupBy("slot").applyInArrow(merge, "rid1 long, rid2 long, pos binary, cls binary")
 
 
 def minimum_of(values: np.ndarray, width: int) -> np.ndarray:

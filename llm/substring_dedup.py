@@ -130,7 +130,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     done, before = [], None
     for level in _levels(start, target):
         found = find_repeats(rows, _emitter(level, target, before))
-        rows = rows.drop("hit").join(found, ["rid1", "rid2"], "left")
+        rows = rows.drop("hit").join(found.drop("hits"), ["rid1", "rid2"], "left")
         if level < target:  # texts without a candidate are through and travel no more
             rows = cut(rows, "windows")
             done.append(rows.where("hit is null"))

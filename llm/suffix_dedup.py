@@ -148,10 +148,10 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ta
     kept holds the remaining bytes; a cut may fall inside a character. spans are removed byte ranges.
     """
     rows = keyed(docs, doc_id, text)
-    found = find_blocks(rows, _emit_blocks(target, anchor))
+    found = find_blocks(rows, _emit_blocks(target, anchor)).drop("hits")
     rows = cut(rows.join(found, ["rid1", "rid2"], "left"), "blocks")
     touched = rows.where("hit is not null or open is not null")
-    found = find_repeats(touched.where("open is not null"), _emit_suffixes(target, anchor)).withColumnRenamed("hit", "suffix")
+    found = find_repeats(touched.where("open is not null"), _emit_suffixes(target, anchor)).drop("hits").withColumnRenamed("hit", "suffix")
     done = rows.where("hit is null and open is null").withColumn("suffix", F.lit(None).cast("binary"))
     rows = touched.join(found, ["rid1", "rid2"], "left").unionByName(done)
     result = RESULT.format(id=rows.schema["id"].dataType.simpleString())
