@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from llm import jaccard_join, substring_dedup, suffix_dedup
+from llm import decontam, jaccard_join, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
+    "op8_decontamination": decontam.op8_decontamination,
 }
 
 ORACLES = {
     "op7_substring_dedup": substring_dedup.ORACLE,
+    "op8_decontamination": decontam.ORACLE,
 }
