@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from llm import decontam, jaccard_join, pii_spans, substring_dedup, suffix_dedup
+from llm import decontam, jaccard_join, pii_spans, quality, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_pii": pii_spans.op3_pii,
+    "op4_quality": quality.op4_quality,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op8_decontamination": decontam.op8_decontamination,
 }
