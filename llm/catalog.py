@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from llm import decontam, jaccard_join, pii_spans, quality, substring_dedup, suffix_dedup, toxicity
+from llm import decontam, jaccard_join, license_scan, pii_spans, quality, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_pii": pii_spans.op3_pii,
     "op4_quality": quality.op4_quality,
+    "op6_license_scan": license_scan.op6_license_scan,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op8_decontamination": decontam.op8_decontamination,
 }
