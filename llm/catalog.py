@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from llm import decontam, jaccard_join, license_scan, pii_spans, quality, substring_dedup, suffix_dedup, toxicity
+from llm import decontam, jaccard_join, license_scan, mixing, pii_spans, quality, substring_dedup, suffix_dedup, toxicity, vector_forest
 
 QUERIES = {
-    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
-    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op1_mixing": mixing.op1_mixing,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_pii": pii_spans.op3_pii,
     "op4_quality": quality.op4_quality,
-    "op6_license_scan": license_scan.op6_license_scan,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
+    "op6_license_scan": license_scan.op6_license_scan,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_decontamination": decontam.op8_decontamination,
+    "op9_vector_forest": vector_forest.op9_vector_forest,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
 ORACLES = {
+    "op1_mixing": mixing.ORACLE,
     "op7_substring_dedup": substring_dedup.ORACLE,
     "op8_decontamination": decontam.ORACLE,
 }

@@ -49,12 +49,16 @@ class Poly:
     """Window hashes from prefix sums with an odd base, for sequences of any length."""
 
     def __init__(self, seed: int):
+        self.seed = seed
         rng = np.random.default_rng(seed)
         self.byte = rng.integers(1, 2**63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
         self.base = int(rng.integers(2**61, 2**62)) * 2 + 1
         self.inverse = pow(self.base, -1, 2**64)
         self._pow = self._inv = np.ones(1, U)
 
+    def __reduce__(self):
+        return Poly, (self.seed,)
+
     def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self._pow) < n:
             n = 1 << max(10, (n - 1).bit_length())
