@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.shared import cut, keyed
+from llm.shared import cut, keyed, small, with_keys
 from llm.textkernel import ALNUM, U, mix, runs, slices, words
 
 WINDOW, NEAR = 10, 8
@@ -275,6 +275,12 @@ def decontaminate(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", tex
     return out.withColumn("n_hit", F.coalesce(covered("spans"), F.lit(0).cast("long"))).withColumns({"items": F.coalesce("items", empty), "near": F.coalesce("near", empty)})
 
 
+def uncontaminated(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that hold no benchmark window."""
+    hit = decontaminate(docs, bench, doc_id, text).where("n_hit > 0").select("rid1", "rid2").distinct()
+    return with_keys(docs, doc_id, text).join(small(hit), ["rid1", "rid2"], "left_anti").select("row.*")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document of `documents`: words inside benchmark windows and the items these come from."""
     out = decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -25,12 +25,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from llm.components import components
 from llm.repeats import find_classes, find_repeats, rids
-from llm.shared import cut, keyed, small
+from llm.shared import cut, keyed, small, with_keys
 from llm.textkernel import NON_SPACE, WINDOW, U, mix, slices, words
 
 SHINGLE, PERCENT = 5, 80
@@ -256,6 +256,20 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select("id", "rid1", "rid2", F.col("n").alias("n_shingles"), "node", "root", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, without those linked to a row that stays.
+
+    Of each group the smallest id stays (an id before none); texts without words all stay.
+    """
+    groups = jaccard_groups(docs, doc_id, text)
+    order = F.struct(F.col("id").isNull().alias("x"), "id", "rid1", "rid2")
+    alone = groups.where("n_shingles = 0").select("rid1", "rid2", F.lit(True).alias("alone")).distinct()
+    stay = groups.where("n_shingles > 0").groupBy("root").agg(F.min(order).alias("m")).select("m.rid1", "m.rid2", F.lit(False).alias("alone"))
+    kept = with_keys(docs, doc_id, text).join(stay.unionByName(alone), ["rid1", "rid2"])
+    first = F.row_number().over(Window.partitionBy("rid1", "rid2").orderBy("rid1"))  # rows repeated as a whole share their key
+    return kept.withColumn("n", first).where("alone or n = 1").select("row.*")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document of `documents`: the size of its shingle set and the smallest id it is linked with."""
     out = jaccard_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))

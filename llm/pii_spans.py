@@ -253,6 +253,15 @@ def redacted(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
+def redact(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """The rows of docs with every span of the text replaced by its kind; n_chars, if there, follows the text."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    found = cut(docs.select(row, candidates(F.col(text)).alias("found")), "candidates")
+    out = found.select("row", chosen(F.col("found"), train(found)).alias("spans")).withColumn("body", redacted(F.col(f"row.{text}"), F.col("spans")))
+    swap = {text: F.col("body"), n_chars: F.when(F.size("spans") > 0, F.length("body").cast(dict(docs.dtypes).get(n_chars, "long"))).otherwise(F.col(f"row.{n_chars}")) if n_chars in docs.columns else None}
+    return out.select(*[swap[c].alias(c) if swap.get(c) is not None else F.col(f"row.`{c}`") for c in docs.columns])
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document of `documents`: base spans by kind, their digest, and all spans."""
     out = pii_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -45,13 +45,20 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     Rows that repeat in both columns share their key and have the same result. Null text is empty.
     """
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select(
-        F.col(doc_id).alias("id"),
-        F.xxhash64(F.col(doc_id), F.lit(1)).alias("rid1"),
-        F.xxhash64(body, F.col(doc_id).isNull()).alias("rid2"),
-        body.alias("text"),
-    )
+    return docs.select(F.col(doc_id).alias("id"), *_keys(doc_id, text), _body(text).alias("text"))
+
+
+def with_keys(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(row, rid1, rid2): whole rows, whatever their columns are called, beside their keys."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_keys(doc_id, text))
+
+
+def _body(text: str) -> Column:
+    return F.coalesce(F.col(text).cast("string"), F.lit(""))
+
+
+def _keys(doc_id: str, text: str) -> list[Column]:
+    return [F.xxhash64(F.col(doc_id), F.lit(1)).alias("rid1"), F.xxhash64(_body(text), F.col(doc_id).isNull()).alias("rid2")]
 
 
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:

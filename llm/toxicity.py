@@ -24,9 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from llm.samples import PER_CLASS, labelled_sample
-from llm.shared import arrow_schema, held_out
+from llm.shared import held_out
 from llm.textkernel import ALNUM, U, Words, mix, runs, slices, words
 
 BITS, BLOCK = 16, 128
@@ -270,9 +272,18 @@ def _score(m: Model, schema: pa.Schema):
 
 def toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, score, spans): each document's score and the offending character ranges with their largest marginal."""
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    result = f"id {rows.schema['id'].dataType.simpleString()}, score double, spans array<struct<start:int,end:int,marginal:double>>"
-    return rows.mapInArrow(_score(model, arrow_schema(result)), result)
+    return _scored(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), model)
+
+
+def clean(docs: DataFrame, model: Model, text: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below the limit."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
+    return _scored(rows, model).where(F.col("score") < limit).select("row.*")
+
+
+def _scored(rows: DataFrame, model: Model) -> DataFrame:
+    schema = StructType([*(f for f in rows.schema if f.name != "text"), *StructType.fromDDL("score double, spans array<struct<start:int,end:int,marginal:double>>")])
+    return rows.mapInArrow(_score(model, to_arrow_schema(schema)), schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
