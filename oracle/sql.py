@@ -277,19 +277,19 @@ TABLES["near"] = (
 )
 TABLES["top1"] = "select text, greatest(cosine, 0) as sim, fraud_type as sim_type, title as sim_title from near where rank = 1"
 TABLES["judged0"] = (
-    "select utt_id, case when json_valid(answer) then answer::json end as j from judge_syn"
+    "select utt_id, case when json_valid(answer) and answer <> '{}' then answer::json end as j from judge_syn"
 )
 TABLES["judged"] = """
 select utt_id, case when s is not null then greatest(0, least(s, 1)) end as score, case when s is not null then j->>'$.fraud_type' end as fraud_type,
  case when s is not null then coalesce(j->>'$.reason', '') end as reason from
- (select utt_id, j, case when j is null then null when json_type(j, '$.score') is null then 0.0 else try_cast(j->>'$.score' as double) end as s from judged0)
+ (select utt_id, j, case when j is null then null when json_type(j, '$.score') is null then 0.0 when json_type(j, '$.score') = 'BOOLEAN' then (j->>'$.score' = 'true')::int::double else try_cast(j->>'$.score' as double) end as s from judged0)
 """
 
 
 def assessed(judge: str) -> dict[str, str]:
     """Result tables with (judge = 'judged') or without a judge."""
     j = judge if judge == "judged" else "(select null::bigint as utt_id, null::double as score, null::varchar as fraud_type, null::varchar as reason)"
-    base = f"{scoring.W_RULE}::double * r.score + {scoring.W_SIMILAR}::double * t.sim"
+    base = f"0.45::double * r.score + 0.35::double * t.sim"
     return {
         "scored": f"""
 select c.utt_id, c.text, r.signals, t.sim, t.sim_title, j.reason as judge_reason,
@@ -302,9 +302,9 @@ from calls_syn c join ph_rule r on r.src = 'call' and r.id = c.utt_id join top1
 select l.utt_id, risk_level, {r3('raw_score')} as risk_score, l.fraud_type, {joined('signals')} as matched_signals,
  (select string_agg(case_id, '|' order by rank) from ranked n where n.text = l.text) as similar_cases,
  coalesce(nullif(judge_reason, ''), case when risk_level = 'low' then {q(scoring.TEXT_LOW_REASON)} else
-  concat_ws('；', '对话符合“' || nullif(l.fraud_type, '') || '”的特征',
-   case when len(signals) > 0 then '出现：' || array_to_string(signals[1:6], '、') end,
-   case when sim > 0.3 then '接近已有案例《' || sim_title || '》' end) || '。' end) as reason,
+  concat_ws('；', '类型=' || nullif(l.fraud_type, ''),
+   case when len(signals) > 0 then '词语=' || array_to_string(signals[1:6], '、') end,
+   case when sim > 0.3 then '近例=' || sim_title end) || '。' end) as reason,
  case risk_level when 'high' then {q(scoring.TEXT_HIGH_ADVICE)} || coalesce((select arg_min(recommended_warning, rank) from near n
    where n.text = l.text and n.fraud_type = l.fraud_type and recommended_warning <> ''), '')
   when 'medium' then {q(scoring.TEXT_MEDIUM_ADVICE)} else {q(scoring.TEXT_LOW_ADVICE)} end as suggested_action
@@ -425,7 +425,8 @@ from win w join wh_rule r on r.id = w.text join wtop t on t.text = w.text
     out["wlevel"] = "select *, case when raw_score >= 0.7 then 'high' when raw_score >= 0.4 then 'medium' else 'low' end as risk_level from wscore"
     out["walert"] = (
         "select * from (select *, case risk_level when 'high' then 2 when 'medium' then 1 else 0 end as lv,"
-        " lag(lv, 1, 0) over (partition by call_id order by window_start) as before from wlevel) where lv >= 1 and lv > before"
+        " case when epoch_ms(window_start) - lag(epoch_ms(window_start) + 7200000) over calls <= 21600000 then lag(lv) over calls else 0 end as before"
+        " from wlevel window calls as (partition by call_id order by window_start)) where lv >= 1 and lv > before"
     )
     return out
 
@@ -491,7 +492,7 @@ ORACLES: dict[str, str] = {
         "select *, sha256(text) as text_hash from page_docs qualify row_number() over (partition by text order by page_id) = 1"
     ),
     "case_upsert": sql(
-        "select case_id, fraud_type, text_hash as raw_text_hash, case when contains(text, '刷单') then 1 else 0 end as batch_id from cases"
+        "select case_id, fraud_type, text_hash as raw_text_hash, case when contains(text, '点赞赚钱') then 1 else 0 end as batch_id from cases"
     ),
     "doc_source_name": sql(
         f"select p.page_id, p.url, coalesce(s.name, {HOST.replace('url', 'p.url')}) as source_name from pages p left join seed_names s on s.url = p.url"

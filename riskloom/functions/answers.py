@@ -16,6 +16,7 @@ from .text import present, words
 MAX_ARTICLE_CHARS = 6000
 JUDGE_CASES, JUDGE_SIGNALS = 3, 5
 NO_CASES = "（无）"
+NUMBER = r"(?i)^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?\s*$"
 
 # Wording of this project.
 EXTRACT_REQUEST = (
@@ -58,8 +59,11 @@ def parse_object(answer: Column) -> Column:
 
 
 def to_float(value: Column) -> Column:
-    """Number from text, null if it is none."""
-    return value.try_cast("double")
+    """Number from text, null if it is none.
+
+    The cast alone would also take Java's type letters, as in `12d`.
+    """
+    return F.when(value.rlike(NUMBER), value.try_cast("double"))
 
 
 def _text(v: Column, path: str) -> Column:
@@ -131,11 +135,15 @@ def answer_fields(v: Column, doc_title: Column, lexicon: Lexicon = DEFAULT) -> C
 def judge_fields(answer: Column) -> Column:
     """struct(score, fraud_type, reason) of a judge answer; null when it cannot be used.
 
-    A missing score counts as 0; a score that is no number voids the answer.
+    A missing score counts as 0 and a boolean as 1 or 0; a score that is no number voids
+    the answer, and so does an object without any field.
     """
-    v = parse_object(answer)
+    parsed = parse_object(answer)
+    v = F.when(F.schema_of_variant(parsed) != "OBJECT<>", parsed)
+    flag = _kind(v, "$.score") == "BOOLEAN"
     absent = v.isNotNull() & F.variant_get(v, "$.score", "variant").isNull()
-    score = F.when(absent, F.lit(0.0)).otherwise(_number(v, "$.score"))
+    number = F.when(flag, F.when(_text(v, "$.score") == "true", 1.0).otherwise(0.0)).otherwise(_number(v, "$.score"))
+    score = F.when(absent, F.lit(0.0)).otherwise(number)
     return F.when(
         score.isNotNull(),
         F.struct(

@@ -168,7 +168,7 @@ def case_upsert(spark, folder):
     """Two overlapping batches; the second adds only what the first did not hold."""
     store = st.CaseStore(spark, work_folder(spark, "cases"), OPTIONS)
     all_docs = docs(spark, folder, True)
-    earlier = all_docs.filter(~F.contains("text", F.lit("刷单")))
+    earlier = all_docs.filter(~F.contains("text", F.lit("点赞赚钱")))
     ing.ingest(store, earlier, derived.AS_OF, "art_id", "answer")
     ing.ingest(store, all_docs, derived.AS_OF, "art_id", "answer")
     return store.read().select("case_id", "fraud_type", "raw_text_hash", "batch_id")
@@ -654,7 +654,7 @@ def risk_escalation(spark, folder):
     path = work_folder(spark, "scored-windows")
     scored = live.score_windows(_call_windows(spark, folder), stored(spark, folder).read()).select(*live.ALERT_COLUMNS)
     scored.write.parquet(path)
-    return alerts.rises(spark.read.schema(live.ALERT).parquet(path), "call_id", "window_start", "risk_level").select(
+    return alerts.rises(spark.read.schema(live.ALERT).parquet(path), "call_id", "window_start", "window_end", "risk_level").select(
         "call_id", stamp("window_start"), "risk_level", "fraud_type"
     )
 
@@ -666,7 +666,7 @@ def stream_alerts(spark, folder):
     stream = _stream_of(spark, derived.calls(spark, folder), "calls")
     scored = live.score_windows(live.transcript_windows(stream, WINDOW, SLIDE, late=WINDOW), cases)
     out, mark = work_folder(spark, "alerts"), work_folder(spark, "alerts-checkpoint")
-    live.run_to_table(live.rise_alerts(scored, keep_ms=400 * 86_400_000), out, mark)
+    live.run_to_table(live.rise_alerts(scored), out, mark)
     done = spark.read.schema(live.ALERT).parquet(out)
     return done.select("call_id", stamp("window_start"), "risk_level", "fraud_type")
 

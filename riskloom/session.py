@@ -25,13 +25,30 @@ def local_session(cores: str = "*", name: str = "riskloom") -> SparkSession:
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A new, unused path in the folder all executors share.
 
-    The cluster names that folder in `spark.checkpoint.dir`. Only where it is unset,
-    as in local tests, a temporary folder of this machine stands in.
+    The cluster names that folder in `spark.checkpoint.dir` (or by `setCheckpointDir`). Only a
+    local session may do without: a temporary folder of this machine, removed at exit, stands in.
     """
-    base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="riskloom-")
+    base = spark.conf.get("spark.checkpoint.dir", "") or _set_on_context(spark) or _local_folder(spark)
     return f"{base.rstrip('/')}/riskloom/{purpose}-{uuid.uuid4().hex}"
 
 
+def _set_on_context(spark: SparkSession) -> str:
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return folder.get() if folder.isDefined() else ""
+
+
+_LOCAL: list[tempfile.TemporaryDirectory] = []
+
+
+def _local_folder(spark: SparkSession) -> str:
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.TemporaryDirectory(prefix="riskloom-"))
+    return _LOCAL[0].name
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A table scan with at least as many partitions as there are cores.
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..lexicon import DEFAULT, Lexicon
+from ..operators.alerts import KEEP_MS
 from ..operators.similar import TopKOptions, resident_scorer, resident_snapshot
 from ..plans.detect import NO_JUDGE, RESULT, RESULT_INFO, assess, valid_transcripts, with_rule_score, with_vector
 from ..schemas import RiskOptions
@@ -68,23 +69,24 @@ class RiseAlert(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "rank int")
+        self.last = handle.getValueState("last", "rank int, end_ms bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.last.get()
-        last = held[0] if held else 0
         # A micro-batch promises no order. Sort its windows by start; what is sorted is
-        # the few windows of one call that closed since the last micro-batch.
+        # the windows of one call that closed since the last micro-batch.
         batch = pd.concat(list(rows)).sort_values("window_start", kind="stable")
-        rank = batch["risk_level"].map(self.RANKS)
-        before = rank.shift(1, fill_value=last)
-        self.last.update((int(rank.iloc[-1]),))
+        rank, end = batch["risk_level"].map(self.RANKS), batch["end_ms"]
+        held = self.last.get() or (0, 0)
+        before, ended = rank.shift(1, fill_value=held[0]), end.shift(1, fill_value=held[1])
+        gap = batch["start_ms"] - ended
+        before = before.where(gap <= self.keep_ms, 0)
+        self.last.update((int(rank.iloc[-1]), int(end.iloc[-1])))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int(batch["end_ms"].iloc[-1]) + self.keep_ms)
+        self.handle.registerTimer(int(end.iloc[-1]) + self.keep_ms + 1)
         out = batch[(rank >= 1) & (rank > before)]
         if len(out):
-            yield out.drop(columns="end_ms")
+            yield out.drop(columns=["start_ms", "end_ms"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.last.clear()
@@ -98,14 +100,15 @@ ALERT = "call_id bigint, window_start timestamp, window_end timestamp, risk_leve
 ALERT_COLUMNS = ["call_id", "window_start", "window_end", "risk_level", "risk_score", "fraud_type"]
 
 
-def rise_alerts(scored: DataFrame, keep_ms: int = 6 * 3600 * 1000) -> DataFrame:
-    """Alerts of a stream of scored windows.
+def rise_alerts(scored: DataFrame, keep_ms: int = KEEP_MS) -> DataFrame:
+    """Alerts of a stream of scored windows, by the same rule as `operators.alerts.rises`.
 
-    A call that says nothing for `keep_ms` of event time has ended: its state is
-    cleared, so the state holds live calls only.
+    A call that says nothing for `keep_ms` of event time has ended. Its next window follows
+    a low one by that rule, so clearing its state then changes no result; the state holds
+    live calls only.
     """
     return (
-        scored.select(*ALERT_COLUMNS, F.unix_millis("window_end").alias("end_ms"))
+        scored.select(*ALERT_COLUMNS, F.unix_millis("window_start").alias("start_ms"), F.unix_millis("window_end").alias("end_ms"))
         .groupBy("call_id")
         .transformWithStateInPandas(
             statefulProcessor=RiseAlert(keep_ms), outputStructType=ALERT, outputMode="Append", timeMode="EventTime"

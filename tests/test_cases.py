@@ -9,7 +9,7 @@ from riskloom.operators.cases import accepted_cases, answer_cases, chosen_cases,
 AS_OF = date(2025, 6, 30)
 DOCS = [
     # own sentences: one per kind of article, one that is no fraud
-    (1, "local://1", "假冒警方", "年轻职员周某收到电话13800001234，对方自称公安，说涉嫌洗钱，要“转入安全账户”，先后通过银行转账3.2万元。", "2025-03-01"),
+    (1, "local://1", "记事本", "年轻书店店主周某的记事本写着13800001234、通缉、案件编号、“转入安全账户”，另记银行转账3.2万元。", "2025-03-01"),
     (2, "local://2", "", "兼职刷单要先垫付，佣金返利，已付800元。", "2031-01-01"),
     (3, "local://3", "天气", "今天晴，市里办了长跑比赛。", None),
     (4, "local://4", "单词", "客服来电。", None),
@@ -55,7 +55,7 @@ def test_answers(spark, docs):
     by_model = {r["id"]: r for r in answer_cases(both).collect()}
     assert set(by_model) == {1, 3}
     assert by_model[1]["fraud_type"] == "其他" and by_model[1]["fraud_script"] == ["无中生有的一句话"]
-    assert by_model[1]["confidence"] == 0.5 and by_model[1]["title"] == "假冒警方"
+    assert by_model[1]["confidence"] == 0.5 and by_model[1]["title"] == "记事本"
     chosen = validate_cases(chosen_cases(both), AS_OF)
     rows = {r["id"]: r for r in chosen.collect()}
     assert {i: r["extraction_method"] for i, r in rows.items()} == {1: "llm", 2: "rule", 3: "llm"}

@@ -11,19 +11,19 @@ from riskloom.plans.ingest import ingest, ingest_summary, new_case_lines
 from riskloom.session import work_folder
 from riskloom.sources.store import CaseStore
 
-# Own articles of the five usual shapes.
+# Five types, one article each, and calls that use the same words.
 ARTICLES = [
-    (1, "假警方来电", "职员赵某接到公安来电，称其涉嫌洗钱，需配合调查，让其把钱转到安全账户，“不许告诉家里人”，损失4万元。"),
-    (2, "返利陷阱", "主妇被拉进刷单群，做任务拿佣金，后来被要求垫付大额连单，对方称“完成才能返利”，损失1.5万元。"),
-    (3, "假客服来电", "来电自称平台客服，说误开通会员每月扣费，不取消会影响征信，让其打开屏幕共享，损失6万元。"),
-    (4, "炒股群骗局", "导师在炒股群发内幕消息，称稳赚不赔，诱导在投资平台充值入金，最后无法提现，损失20万元。"),
-    (5, "冒充领导", "财务收到消息：“我是你领导，我换号码了，急用钱”，随即转款9万元。"),
+    (1, "传真", "律所收到传真：通缉令附案件编号，资金清查表要求核验款进安全账户，“回执盖章后寄回”，金额4万元。"),
+    (2, "接龙", "接龙表写明点赞赚钱、连单、佣金三栏，末行“垫付名次表”，金额1.5万元。"),
+    (3, "短信", "短信列出自动续费、扣费、取消订单、百万保障四个链接，金额6万元。"),
+    (4, "名额帖", "帖子列出虚拟币、USDT、炒股群、充值入金四项，金额20万元。"),
+    (5, "来信", "来信第一句“猜猜我是谁”，第二句微信没零钱，第三句急用钱，金额9万元。"),
 ]
 CALLS = [
-    (1, "我这里是公安局，你的卡涉嫌洗钱，请配合调查，要保密，不要告诉家人，把钱转到安全账户。"),
-    (2, "您好我是客服，您误开通了会员，不取消会扣费并影响征信，请打开屏幕共享。"),
-    (3, "今天加班，晚饭你们先吃。"),
-    (4, "导师说有内幕消息，稳赚，让我去投资平台充值入金。"),
+    (1, "通缉名单含案件编号，资金清查表须保密，汇款到安全账户。"),
+    (2, "自动续费扣费提醒：取消订单请点百万保障，客服共享屏幕演示。"),
+    (3, "图书馆周六盘点，闭馆一天。"),
+    (4, "炒股群名额，虚拟币和USDT都能充值入金。"),
     (5, "  \n　"),
 ]
 
@@ -56,7 +56,7 @@ def test_ingest_again_adds_nothing(spark, store):
 
 def test_hot_copies_and_personal_data_collapse(spark):
     store = CaseStore(spark, work_folder(spark, "test-cases"))
-    text = "客服{}来电说误开通会员，要退款，请打开屏幕共享。"
+    text = "工单{}：自动续费、扣费与退款三项合并处理。"
     rows = [(i, f"标题{i}", text.format(13800000000 + i)) for i in range(300)]
     added = ingest(store, docs_of(spark, rows).repartition(7), date(2025, 6, 30), "id").collect()
     assert [r["title"] for r in added] == ["标题0"]

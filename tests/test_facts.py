@@ -39,7 +39,7 @@ def test_payment_takes_list_order(one):
 
 
 def test_classify_article_and_tie(one):
-    got = one(lambda t: classify(type_hits(t)), "来电称是公安，说涉嫌洗钱，请配合调查并转到安全账户")
+    got = one(lambda t: classify(type_hits(t)), "通缉令附刑事案件编号与资金清查表")
     assert got["fraud_type"] == "冒充公检法" and got["n"] == 4 and got["score"] == 1.0
     # one hit each: the earlier type wins
     assert one(lambda t: classify(type_hits(t))["fraud_type"], "理赔") == "冒充客服"

@@ -2,13 +2,16 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.alerts import rises
 from riskloom.plans import catalog
+from riskloom.session import work_folder
+from riskloom.streaming import calls as live
 
 
 def test_rises_across_spans_and_calls(spark):
     levels = ["low", "medium", "medium", "high", "low", "high", "high", "medium", "high"]
     rows = [(c, f"2024-01-{1 + i * 7 // 24 + c:02d} {i * 7 % 24:02d}:00:00", lv) for c in (1, 2) for i, lv in enumerate(levels)]
     df = spark.createDataFrame(rows, "call_id bigint, s string, risk_level string").withColumn("window_start", F.to_timestamp("s"))
-    got = {c: [r["risk_level"] for r in rises(df.repartition(5), "call_id", "window_start", "risk_level", span).filter(F.col("call_id") == c).orderBy("window_start").collect()]
+    df = df.withColumn("window_end", F.col("window_start") + F.expr("interval 1 hour"))
+    got = {c: [r["risk_level"] for r in rises(df.repartition(5), "call_id", "window_start", "window_end", "risk_level", span).filter(F.col("call_id") == c).orderBy("window_start").collect()]
            for c in (1, 2) for span in ("1 day", "10 hours")}
     assert got == {1: ["medium", "high", "high", "high"], 2: ["medium", "high", "high", "high"]}
 
@@ -20,3 +23,25 @@ def rows_of(df):
 def test_stream_equals_table(spark, data):
     """Windows, scores and alerts run as one stream give what the table plan gives."""
     assert rows_of(catalog.stream_alerts(spark, data)) == rows_of(catalog.risk_escalation(spark, data))
+
+
+def test_silence_ends_a_call_however_the_stream_is_cut(spark):
+    """A high window, silence longer than is kept, a high window: two alerts from table and stream alike."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.ROCKSDB)
+    hours = [(1, 1, "high"), (1, 2, "high"), (2, 3, "medium"), (2, 9, "low"), (2, 20, "medium"), (1, 30, "high"), (1, 33, "medium"), (1, 34, "high")]
+    shape = live.ALERT
+    df = spark.createDataFrame(hours, "call_id bigint, h int, risk_level string").selectExpr(
+        "call_id", "timestamp_seconds(1704067200 + h * 3600) as window_start", "timestamp_seconds(1704067200 + h * 3600 + 3600) as window_end",
+        "risk_level", "0.5D as risk_score", "'x' as fraud_type",
+    )
+    want = rows_of(rises(df, "call_id", "window_start", "window_end", "risk_level").select("call_id", "window_start"))
+    assert len(want) == 5
+    for parts in (1, 4):
+        path, out = work_folder(spark, "gap"), work_folder(spark, "gap-out")
+        ordered = [r for r in sorted(df.collect(), key=lambda r: r["window_start"])]
+        size = -(-len(ordered) // parts)
+        for i in range(0, len(ordered), size):
+            spark.createDataFrame(ordered[i : i + size], shape).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(path).withWatermark("window_end", "1 minute")
+        live.run_to_table(live.rise_alerts(stream), out, work_folder(spark, "gap-mark"))
+        assert rows_of(spark.read.schema(shape).parquet(out).select("call_id", "window_start")) == want
