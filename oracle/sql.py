@@ -468,6 +468,13 @@ CASE_OUT = (
     f" {joined('fraud_script')} as fraud_script, {joined('key_risk_signals')} as key_risk_signals, payment_method, amount, loss_amount, summary,"
     " recommended_warning, confidence, text_hash as raw_text_hash, extraction_method"
 )
+NEAR_DOCS = {
+    "doc_src": "select doc_id as id, text from documents", "turn_src": "select distinct text as id, text from conversations",
+    **vectors("dv", "doc_src"), **vectors("tv", "turn_src"),
+    "near_docs": "select t.id as text, d.id as doc_id, case when t.norm2 * d.norm2 > 0"
+    " then list_dot_product(t.vec::double[], d.vec::double[]) / sqrt((t.norm2 * d.norm2)::double) else 0 end as cosine"
+    " from tv_vec t, dv_vec d qualify row_number() over (partition by t.id order by cosine desc, d.id) = 1",
+}
 WITH_JUDGE, NO_JUDGE = assessed("judged"), assessed("none")
 WIN = windowed()
 VEC = "md5(array_to_string(vec, '|'))"
@@ -650,4 +657,9 @@ select event_id, (v % 256)::int as b256, (v % 100)::int as b100, (v % 1024)::int
     ),
     "risk_escalation": sql(f"select call_id, {STAMP.format('window_start')}, risk_level, fraud_type from walert", WIN),
     "stream_alerts": sql(f"select call_id, {STAMP.format('window_start')}, risk_level, fraud_type from walert", WIN),
+    "stream_detect_partitioned": sql(
+        f"select call_id, {STAMP.format('window_start')}, risk_level, {r3('raw_score')} as risk_score, fraud_type from wlevel", WIN
+    ),
+    "risk_escalation_partitioned": sql(f"select call_id, {STAMP.format('window_start')}, risk_level, fraud_type from walert", WIN),
+    "similar_documents": sql("select conv_id, turn, doc_id, round(cosine, 6) as cosine from conversations join near_docs using (text)", NEAR_DOCS),
 }

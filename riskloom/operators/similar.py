@@ -4,15 +4,18 @@ Two routes with the same result, chosen by the measured size of the case side:
 
 * resident: cases whose vectors and attached fields are proven to fit a byte bound
   go to every executor once; queries are scored where they are, nothing is shuffled.
-* partitioned: cases are grouped into cells, each around one case as its centre. A query visits only
-  the cells that can still hold one of its k best (a bound that never drops a true
-  answer), and meets their blocks by an equi-join on cell and block. Each block is bounded
-  in rows, so a cell holding a third of all cases is many tasks and not one. Only k
-  candidates per query and block leave the scorer.
+* partitioned: both sides are packed into blocks of bounded size and laid on a grid, so
+  that a block crosses the network once per row or column of the grid and not once per
+  opposite block. Each distinct query vector is scored once, however many queries share
+  it, and only k candidates per query and case block leave a scorer.
+
+Exact search compares every distinct query vector with every case: no bound on angles
+around centres prunes anything at these widths. Repeated texts and the grid save
+traffic, not the products themselves.
 
 Scores are float64 products. With integer vectors every product is exact, so the
 result depends neither on block boundaries nor on the route. Ties go to the smaller
-case id.
+case id. Queries are told apart by their rows: repeated or null ids do not matter.
 """
 
 from __future__ import annotations
@@ -23,15 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-SLACK = 1e-6  # widens every bound by more than float64 rounding can err
 CHUNK_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
 class TopKOptions:
     resident_bytes: int = 64 << 20
-    probes: int = 256  # real cases every query is compared with to bound its k-th best score
     block_rows: int = 4096
+    grid: int = 16  # rows and columns at most: how often a block is sent
     decimals: int | None = None  # set for float vectors: rank by the rounded score
 
 
@@ -45,16 +47,17 @@ def similar_topk(
 ) -> DataFrame:
     """`queries` plus `similar`: array of struct(case_id, *info, cosine), best first.
 
-    Both sides carry `vec`; cosine is 0 where either vector is zero, and is not
-    clamped. Runs a small size check on `cases` at once, so hand in a stored table.
+    Both sides carry `vec`, of one width and one `space` where both name theirs; cosine
+    is 0 where either vector is zero, and is not clamped. Runs a small size check on
+    `cases` at once, so hand in a stored table. `query_id` may repeat or be null.
     """
     size = measure(cases, info)
     snapshot = resident_snapshot(cases, info, options, size)
     if snapshot is not None:
         score = resident_scorer(queries.sparkSession, snapshot, cases, k, info, options)
         return queries.withColumn("similar", score(F.col("vec")))
-    ranked = _partitioned(queries.select(query_id, "vec"), cases, size["n"], k, query_id, info, options)
-    return queries.join(ranked, query_id, "left")
+    ranked = _partitioned(queries.select("vec"), cases, size["n"], k, info, options)
+    return queries.join(ranked.withColumnRenamed("vec", "_vec"), F.col("vec") == F.col("_vec"), "left").drop("_vec")
 
 
 # --- shared numpy helpers -------------------------------------------------
@@ -170,168 +173,79 @@ def resident_scorer(spark, snapshot: pa.Table, cases: DataFrame, k: int, info: l
 
 # --- partitioned route ----------------------------------------------------
 
-ZERO_CELL = -1  # cases with a zero vector: they score 0 against everything
-TIED_CELL = -2  # the k smallest ids: the whole answer for a zero query
-
 
-def _partitioned(
-    queries: DataFrame, cases: DataFrame, n: int, k: int, query_id: str, info: list[str], options: TopKOptions
-) -> DataFrame:
-    spark = queries.sparkSession
+def _partitioned(queries: DataFrame, cases: DataFrame, n: int, k: int, info: list[str], options: TopKOptions) -> DataFrame:
+    """(vec, similar) of every distinct query vector."""
     names = ["case_id", *info]
-    # A bounded number of real cases, picked by id alone so that a retry picks them again.
-    picked = (
-        cases.select("case_id", "vec").orderBy(F.xxhash64("case_id"), "case_id").limit(options.probes).toArrow()
-    )
-    vectors = picked["vec"].combine_chunks()
-    dim = len(vectors[0])
-    probes = _matrix(vectors, dim)
-    probes = probes[_squares(probes) > 0]
-    held = spark.sparkContext.broadcast((probes, _squares(probes)))
-    # Cells of about a block each, as far as there are probes to serve as their centres:
-    # every visit moves a query vector, and should find a block's worth of work.
-    centres = min(len(probes), max(1, n // options.block_rows))
-
-    placed_type = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())])
-
-    @F.arrow_udf(placed_type)
-    def place(vecs: pa.Array) -> pa.Array:
-        p, p2 = (side[:centres] for side in held.value)
-        m = _matrix(vecs, dim)
-        m2 = _squares(m)
-        cell = np.full(len(m), ZERO_CELL, np.int32)
-        angle = np.zeros(len(m))
-        if len(p):
-            for part in _chunks(len(m), len(p)):
-                cos = np.clip(_cosines(m[part], m2[part], p, p2, None), -1.0, 1.0)
-                near = cos.argmax(axis=1)
-                live = m2[part] > 0
-                cell[part] = np.where(live, near, ZERO_CELL)
-                angle[part] = np.where(live, np.arccos(np.take_along_axis(cos, near[:, None], 1)[:, 0]), 0.0)
-        return pa.StructArray.from_arrays([pa.array(cell), pa.array(angle)], ["cell", "angle"])
-
-    placed = cases.select(*names, "vec", place("vec").alias("at")).select(*names, "vec", "at.cell", "at.angle")
-    # At most probes + 1 rows reach the driver.
-    cells = {r["cell"]: (r["n"], r["radius"]) for r in placed.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")
-    ).collect()}
-    subs = {c: -(-n // options.block_rows) for c, (n, _) in cells.items()} | {TIED_CELL: 1}
-    sub_count = F.create_map(*[F.lit(x) for c, s in subs.items() for x in (c, s)])
-    blocks = (
-        placed.withColumn("sub", F.pmod(F.xxhash64("case_id"), F.element_at(sub_count, F.col("cell")).cast("bigint")))
-        .groupBy("cell", "sub")
-        .agg(F.collect_list(F.struct(*names, "vec")).alias("block"))
+    blocks = max(1, -(-n // options.block_rows))
+    columns = min(options.grid, blocks)
+    case_side = (
+        cases.select(*names, "vec")
+        .groupBy(F.pmod(F.xxhash64("case_id"), F.lit(blocks)).alias("_block"))
+        .agg(F.collect_list(F.struct(*names, "vec")).alias("block"))  # block_rows of them in the mean
+        .select((F.col("_block") % columns).cast("int").alias("col"), F.explode(F.sequence(F.lit(0), F.lit(options.grid - 1))).alias("row"), "block")
     )
-    tied = (
-        cases.select(*names, "vec").orderBy("case_id").limit(k)
-        .agg(F.collect_list(F.struct(*names, "vec")).alias("block"))
-        .select(F.lit(TIED_CELL).alias("cell"), F.lit(0).cast("bigint").alias("sub"), "block")
+    # Packed where they are after the distinct: blocks are bounded without counting the queries.
+    packed = T.StructType([T.StructField("row", T.IntegerType()), T.StructField("vecs", T.ArrayType(queries.schema["vec"].dataType))])
+    query_side = queries.distinct().mapInArrow(_packer(options), packed).withColumn(
+        "col", F.explode(F.sequence(F.lit(0), F.lit(columns - 1)))
     )
-    block_side = blocks.unionByName(tied)
-
-    id_type = queries.schema[query_id].dataType
-    route = _router(held, cells, k, dim, query_id)
-    packed = queries.mapInArrow(
-        route,
-        T.StructType([
-            T.StructField("cell", T.IntegerType()),
-            T.StructField("ids", T.ArrayType(id_type)),
-            T.StructField("vecs", T.ArrayType(queries.schema["vec"].dataType)),
-        ]),
-    )
-    # One join key per block, so a crowded cell spreads over as many tasks as it has blocks;
-    # a block wanted by very many queries is split on the query side by adaptive execution.
-    addressed = packed.withColumn(
-        "sub", F.explode(F.sequence(F.lit(0).cast("bigint"), F.element_at(sub_count, F.col("cell")).cast("bigint") - 1))
-    )
-    meeting = addressed.join(block_side, ["cell", "sub"]).select("ids", "vecs", "block")
+    meeting = query_side.join(case_side, ["row", "col"]).select("vecs", "block")
     candidates = meeting.mapInArrow(
-        _block_scorer(k, dim, query_id, names, options.decimals),
-        T.StructType([
-            T.StructField(query_id, id_type), *_similar_type(cases, info).elementType.fields,
-        ]),
+        _block_scorer(k, names, options.decimals),
+        T.StructType([queries.schema["vec"], *_similar_type(cases, info).elementType.fields]),
     )
-    rank = Window.partitionBy(query_id).orderBy(F.desc("cosine"), F.asc("case_id"))
+    # A rank below a constant is also taken in each task before the shuffle.
+    rank = Window.partitionBy("vec").orderBy(F.desc("cosine"), F.asc("case_id"))
     return (
         candidates.withColumn("_rank", F.row_number().over(rank))
         .filter(F.col("_rank") <= k)
-        .groupBy(query_id)
+        .groupBy("vec")
         .agg(F.array_sort(F.collect_list(F.struct("_rank", *names, "cosine"))).alias("s"))
-        .select(query_id, F.transform("s", lambda s: F.struct(*[s[n].alias(n) for n in [*names, "cosine"]])).alias("similar"))
+        .select("vec", F.transform("s", lambda s: F.struct(*[s[n].alias(n) for n in [*names, "cosine"]])).alias("similar"))
     )
 
 
-def _router(held, cells: dict, k: int, dim: int, query_id: str):
-    """Per batch of queries: one row per cell with the queries that must visit it.
+def _packer(options: TopKOptions):
+    def run(batches):
+        turn = 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, options.block_rows):
+                vecs = batch.column(0).slice(start, options.block_rows)
+                # which row does not change the result; the sum spreads blocks and is the same in a retry
+                row = (int(np.abs(vecs.flatten().to_numpy(zero_copy_only=False)).sum()) + turn) % options.grid
+                turn += 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(vecs)], pa.int32()), vecs)], ["row", "vecs"]
+                )
 
-    Probes are cases, so the k-th best probe score is a floor for the k-th best score.
-    A cell of radius r at angle a from the query holds no score above cos(a - r).
-    """
-    numbered = sorted(c for c in cells if c >= 0)
-    radius = np.array([cells[c][1] for c in numbered])
-    zero_cell = ZERO_CELL in cells
+    return run
 
-    def route(batches):
-        p, p2 = held.value
-        for batch in batches:
-            ids, vecs = batch.column(batch.schema.get_field_index(query_id)), batch.column(batch.schema.get_field_index("vec"))
-            q = _matrix(vecs, dim)
-            q2 = _squares(q)
-            visits = np.zeros((len(q), len(numbered)), bool)
-            floor = np.full(len(q), -np.inf)
-            if numbered:
-                for part in _chunks(len(q), len(p)):
-                    cos = np.clip(_cosines(q[part], q2[part], p, p2, None), -1.0, 1.0)
-                    if len(p) >= k:
-                        floor[part] = np.partition(cos, len(p) - k, axis=1)[:, len(p) - k]
-                    gap = np.maximum(np.arccos(cos[:, numbered]) - radius - SLACK, 0.0)
-                    visits[part] = np.cos(gap) >= floor[part, None] - SLACK
-            live = q2 > 0
-            targets = [(c, np.flatnonzero(visits[:, i] & live)) for i, c in enumerate(numbered)]
-            if zero_cell:
-                targets.append((ZERO_CELL, np.flatnonzero(live & (floor <= SLACK))))
-            targets.append((TIED_CELL, np.flatnonzero(~live)))
-            targets = [(c, rows) for c, rows in targets if len(rows)]
-            if not targets:
-                continue
-            order = pa.array(np.concatenate([rows for _, rows in targets]))
-            offsets = pa.array(np.cumsum([0, *[len(rows) for _, rows in targets]]), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([c for c, _ in targets], pa.int32()),
-                    pa.ListArray.from_arrays(offsets, ids.take(order)),
-                    pa.ListArray.from_arrays(offsets, vecs.take(order)),
-                ],
-                ["cell", "ids", "vecs"],
-            )
-
-    return route
-
-
-def _block_scorer(k: int, dim: int, query_id: str, names: list[str], decimals: int | None):
+
+def _block_scorer(k: int, names: list[str], decimals: int | None):
     """Score a block of queries against a block of cases; k rows per query leave."""
 
     def run(batches):
         for batch in batches:
-            ids, vecs, blocks = batch.columns
+            vecs, blocks = batch.columns
             for i in range(batch.num_rows):
-                query_ids, q = ids[i].values, _matrix(vecs[i].values, dim)
                 block = blocks[i].values
                 ranked = block.take(pa.array(np.argsort(block.field("case_id").to_numpy(zero_copy_only=False), kind="stable")))
-                c = _matrix(ranked.field("vec"), dim)
+                dim = len(ranked.field("vec")[0])
+                own = vecs[i].values
+                q, c = _matrix(own, dim), _matrix(ranked.field("vec"), dim)
                 q2, c2 = _squares(q), _squares(c)
                 for part in _chunks(len(q), len(c)):
                     s = _cosines(q[part], q2[part], c, c2, decimals)
                     pick = _best(s, k)
-                    rows = np.repeat(np.arange(part.start, part.stop), pick.shape[1])
                     taken = ranked.take(pa.array(pick.ravel()))
                     yield pa.RecordBatch.from_arrays(
                         [
-                            query_ids.take(pa.array(rows)),
+                            own.take(pa.array(np.repeat(np.arange(part.start, part.stop), pick.shape[1]))),
                             *[taken.field(n) for n in names],
                             pa.array(np.take_along_axis(s, pick, axis=1).ravel()),
                         ],
-                        [query_id, *names, "cosine"],
+                        ["vec", *names, "cosine"],
                     )
 
     return run

@@ -504,6 +504,16 @@ def dense_topk(spark, folder):
     )
 
 
+def similar_documents(spark, folder):
+    """The nearest document of every conversation turn, by the route for large tables on both sides."""
+    docs = busy(spark, folder, "documents", "doc_id", "text").select(F.col("doc_id").alias("case_id"), vectors.hash_vector(F.col("text"), OPTIONS.dim).alias("vec"))
+    path = work_folder(spark, "document-vectors")
+    docs.write.parquet(path)
+    turns = busy(spark, folder, "conversations", "conv_id", "turn", "text").withColumn("vec", vectors.hash_vector(F.col("text"), OPTIONS.dim))
+    found = similar_topk(turns, spark.read.schema(docs.schema).parquet(path), 1, "conv_id", [], TopKOptions(resident_bytes=0, block_rows=2048))
+    return found.select("conv_id", "turn", F.posexplode("similar").alias("pos", "s")).select("conv_id", "turn", F.col("s.case_id").alias("doc_id"), F.round("s.cosine", 6).alias("cosine"))
+
+
 def _similar(spark, folder, topk=TopKOptions(), info=det.RESULT_INFO):
     calls = derived.calls(spark, folder)
     return det.with_similar(calls, stored(spark, folder).read(), "utt_id", OPTIONS, topk, info=info)
@@ -649,10 +659,26 @@ def stream_detect(spark, folder):
     return done.select("call_id", stamp("window_start"), "risk_level", "risk_score", "fraud_type")
 
 
-def risk_escalation(spark, folder):
+#: Takes the route for case tables beyond any executor.
+BEYOND = TopKOptions(resident_bytes=0, block_rows=256)
+
+
+def stream_detect_partitioned(spark, folder):
+    """The same windows, scored one micro-batch at a time against a case table beyond the bound."""
+    stream = _stream_of(spark, derived.calls(spark, folder), "calls")
+    windows = live.transcript_windows(stream, WINDOW, SLIDE, late=WINDOW)
+    done = live.score_stream(windows, stored(spark, folder).read(), work_folder(spark, "scored"), work_folder(spark, "scored-checkpoint"), topk=BEYOND)
+    return done.select("call_id", stamp("window_start"), "risk_level", "risk_score", "fraud_type")
+
+
+def risk_escalation_partitioned(spark, folder):
+    return risk_escalation(spark, folder, BEYOND)
+
+
+def risk_escalation(spark, folder, topk=TopKOptions()):
     """Alerts over the scored windows, kept as a table because they are read twice."""
     path = work_folder(spark, "scored-windows")
-    scored = live.score_windows(_call_windows(spark, folder), stored(spark, folder).read()).select(*live.ALERT_COLUMNS)
+    scored = live.score_windows(_call_windows(spark, folder), stored(spark, folder).read(), topk=topk).select(*live.ALERT_COLUMNS)
     scored.write.parquet(path)
     return alerts.rises(spark.read.schema(live.ALERT).parquet(path), "call_id", "window_start", "window_end", "risk_level").select(
         "call_id", stamp("window_start"), "risk_level", "fraud_type"
@@ -750,4 +776,7 @@ QUERIES = {
     "stream_detect": stream_detect,
     "risk_escalation": risk_escalation,
     "stream_alerts": stream_alerts,
+    "stream_detect_partitioned": stream_detect_partitioned,
+    "risk_escalation_partitioned": risk_escalation_partitioned,
+    "similar_documents": similar_documents,
 }

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..lexicon import DEFAULT, Lexicon
 from ..operators.alerts import KEEP_MS
 from ..operators.similar import TopKOptions, resident_scorer, resident_snapshot
-from ..plans.detect import NO_JUDGE, RESULT, RESULT_INFO, assess, valid_transcripts, with_rule_score, with_vector
+from ..plans.detect import NO_JUDGE, RESULT, RESULT_INFO, assess, detect, valid_transcripts, with_rule_score, with_vector
 from ..schemas import RiskOptions
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -45,14 +45,18 @@ def score_windows(
     options: RiskOptions = RiskOptions(),
     topk: TopKOptions = TopKOptions(),
 ) -> DataFrame:
-    """Risk result of every window, as a stateless map: works on a stream and on a table.
+    """Risk result of every window. A table of windows is scored against cases of any size.
 
-    A stream scores against a snapshot of the case table taken at its start. A table of
-    cases beyond the resident bound needs `plans.detect.detect` in foreachBatch instead.
+    A stream is scored inside its plan, against a snapshot of the case table taken at its
+    start; that takes a case table within the resident bound. `score_stream` runs a stream
+    against cases of any size, one micro-batch at a time.
     """
+    if not windows.isStreaming:
+        found = detect(windows, cases, "call_id", lexicon=lexicon, options=options, topk=topk)
+        return found.select(*windows.columns, *RESULT)
     snapshot = resident_snapshot(cases, RESULT_INFO, topk)
     if snapshot is None:
-        raise ValueError("case table exceeds the resident bound: score micro-batches with plans.detect.detect")
+        raise ValueError("case table exceeds the resident bound: use score_stream")
     scorer = resident_scorer(windows.sparkSession, snapshot, cases, options.top_k, RESULT_INFO, topk)
     said, _ = valid_transcripts(windows)
     scored = with_vector(with_rule_score(said, lexicon), options).withColumn("similar", scorer(F.col("vec")))
@@ -130,3 +134,19 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str):
     )
     query.awaitTermination()
     return query
+
+
+def score_stream(
+    windows: DataFrame, cases: DataFrame, path: str, checkpoint: str, columns: list[str] = ALERT_COLUMNS, topk: TopKOptions = TopKOptions()
+) -> DataFrame:
+    """Score a stream of windows against a case table of any size into a Parquet table at `path`.
+
+    Every micro-batch is a table of its own and takes the same route as a batch. It has its own
+    folder, which a repeated batch overwrites, so a restart leaves no row twice. Returns the table.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        score_windows(batch, cases, topk=topk).select(*columns).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    windows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return windows.sparkSession.read.parquet(path).select(*columns)

@@ -30,12 +30,12 @@ def random_side(rng, n, dim, groups):
 
 OPTIONS = [
     TopKOptions(),
-    TopKOptions(resident_bytes=0, probes=40, block_rows=15),
-    TopKOptions(resident_bytes=0, probes=3, block_rows=7),  # fewer probes than k
+    TopKOptions(resident_bytes=0, block_rows=15),
+    TopKOptions(resident_bytes=0, block_rows=300, grid=3),  # one block of cases
 ]
 
 
-@pytest.mark.parametrize("options", OPTIONS, ids=["resident", "cells", "few-probes"])
+@pytest.mark.parametrize("options", OPTIONS, ids=["resident", "grid", "one-block"])
 @pytest.mark.parametrize("k", [1, 5, 20])
 def test_topk_equals_brute_force(spark, options, k):
     rng = np.random.default_rng(3)
@@ -58,6 +58,28 @@ def test_fewer_cases_than_k_and_none(spark, options):
     assert got == {1: ["b", "a"], 2: ["a", "b"]}
 
 
+@pytest.mark.parametrize("options", OPTIONS)
+def test_repeated_and_null_query_ids(spark, options):
+    queries = spark.createDataFrame([(1, [1, 0]), (1, [0, 1]), (None, [1, 1]), (1, [0, 1])], "qid bigint, vec array<int>")
+    cases = spark.createDataFrame([("a", [1, 0]), ("b", [0, 1]), ("c", [2, 2])], "case_id string, vec array<int>")
+    got = similar_topk(queries, cases, 1, "qid", [], options).collect()
+    rows = sorted((str(r["qid"]), r["vec"], r["similar"][0]["case_id"]) for r in got)
+    assert rows == [("1", [0, 1], "b"), ("1", [0, 1], "b"), ("1", [1, 0], "a"), ("None", [1, 1], "c")]
+
+
+@pytest.mark.parametrize("options", [TopKOptions(decimals=9), TopKOptions(resident_bytes=0, block_rows=50, decimals=9)])
+def test_float_vectors(spark, options):
+    v = np.random.default_rng(5).standard_normal((400, 16)).astype(np.float32)
+    v[200:] = v[:200]  # every vector twice: ties
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "qid bigint, vec array<float>")
+    found = similar_topk(table.repartition(3), table.withColumnRenamed("qid", "case_id"), 3, "qid", [], options).collect()
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    cosine = np.round(unit @ unit.T, 9)
+    for r in found:
+        want = sorted((-c, j) for j, c in enumerate(cosine[r["qid"]]))[:3]
+        assert [s["case_id"] for s in r["similar"]] == [j for _, j in want]
+
+
 def test_no_cases(spark):
     queries = spark.createDataFrame([(1, [1, 0])], "qid bigint, vec array<int>")
     cases = spark.createDataFrame([], "case_id string, vec array<int>, title string")
