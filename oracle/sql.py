@@ -373,10 +373,11 @@ def paged(source: str) -> dict[str, str]:
 
 
 TABLES |= paged("pages")
-TABLES["seed_list"] = (
+TABLES["seed_all"] = (
     "select page_id as pos, url, case when contains("
-    + HOST + f", 'example.com') then '' else '源-' || {HOST} end as source_name from pages where url like 'https%'"
+    + HOST + f", 'example.com') then '' else '源-' || {HOST} end as source_name from pages"
 )
+TABLES["seed_list"] = "select * from seed_all where url like 'https%'"
 TABLES["seed_names"] = "select url, arg_max(source_name, pos) as name from seed_list group by url"
 TITLE = (
     "coalesce(nullif(" + element(drop("html", ["script", "style"]), "h1") + ", ''), "
@@ -494,7 +495,7 @@ ORACLES: dict[str, str] = {
         f" case when art_id % 5 = 2 then {q(DEFAULT_SOURCE)} else '某站' end as source_name,"
         " case when art_id % 5 = 3 then '' else title end as title, publish_date, text_hash from docs where art_id % 5 <> 4"
     ),
-    "src_seed_sources": sql("select url, source_name from seed_list"),
+    "src_seed_sources": sql("select url, source_name from seed_all"),
     "pages_to_docs": sql(
         "select *, sha256(text) as text_hash from page_docs qualify row_number() over (partition by text order by page_id) = 1"
     ),
@@ -517,7 +518,13 @@ ORACLES: dict[str, str] = {
         " left join best b using (page_id) left join blocks t on t.page_id = b.page_id and t.pos = b.start"
     ),
     "page_text": sql("select page_id, text from page_texts"),
-    "page_text_coalesce": sql("select page_id, case when page_id % 3 = 0 then url else text end as text from page_texts join pages using (page_id)"),
+    "page_text_coalesce": sql(
+        "select page_id, case when page_id % 3 = 0 then url else text end as text,"
+        f" case when page_id % 3 <> 0 then {TITLE} when page_id % 2 = 0 then url else '' end as title,"
+        f" case when page_id % 3 <> 0 then {page_date('html')} when page_id % 4 = 0 then '2020-02-02'"
+        " else printf('20%02d-%02d-%02d', page_id % 40, page_id % 12 + 1, page_id % 28 + 1) end as publish_date"
+        " from page_texts join pages using (page_id)"
+    ),
     "doc_min_length": "select doc_id from documents where length(text) >= 80",
     "pii_redact": sql(f"select src, id, {redact('text')} as text from texts"),
     **{
@@ -579,7 +586,7 @@ select vec_id, rank, near_id, round(c, 6) as cosine from (select a.vec_id, b.vec
 """,
     "content_hash": "select doc_id, sha256(text) as text_hash from documents",
     "extract_quotes": sql(
-        f"select src, id, {joined(f'''regexp_extract_all(text, '{QUOTE}', 1)[1:8]''')} as quotes from texts where src in ('doc', 'art')"
+        f"select src, id, {joined(f'''regexp_extract_all(text, '{QUOTE}', 1)[1:8]''')} as quotes from texts"
     ),
     "extract_age": sql(f"select art_id, {first_of('whole', lx.AGE_MARKERS)} as age_group from docs"),
     "extract_payment": sql(f"select art_id, {first_of('whole', [(t, t) for t in lx.PAYMENT_TERMS])} as payment_method from docs"),
@@ -605,7 +612,7 @@ select vec_id, rank, near_id, round(c, 6) as cosine from (select a.vec_id, b.vec
     "judge_scores": sql("select utt_id, score, fraud_type, reason from judged"),
     "validate_required": sql("select art_id, accepted from valid"),
     "validate_enum": sql(
-        f"select art_id, case when f in ({LABELS}) then f else '{lx.OTHER}' end as fraud_type from (select art_id, j->>'$.fraud_type' as f from ans) where f is not null"
+        f"select art_id, case when f in ({LABELS}) then f else '{lx.OTHER}' end as fraud_type from (select art_id, j->>'$.fraud_type' as f from ans)"
     ),
     "validate_amount": sql("select art_id, loss_amount, amount from valid"),
     "validate_date": sql(
@@ -636,15 +643,14 @@ with h as (select event_id, md5(event_id::varchar) as d from events),
 w as (select event_id, d, ('0x' || d[15:16] || d[13:14] || d[11:12] || d[9:10] || d[7:8] || d[5:6] || d[3:4] || d[1:2])::ubigint as v from h)
 select event_id, (v % 256)::int as b256, (v % 100)::int as b100, (v % 1024)::int as b1024, (v >> 63)::int as plus from w
 """,
-    "risk_fusion": sql(
-        "select id as utt_id, round(case when id % 2 = 0 then b + 0.2::double * ((id % 11) / 11.0::double) else b / 0.8::double end, 6) as score from"
-        " (select id, 0.45::double * score + 0.35::double * ((id % 101) / 101.0::double) as b from ph_rule where src = 'call')"
-    ),
-    "risk_level": "select event_id, case when event_id % 1001 >= 700 then 'high' when event_id % 1001 >= 400 then 'medium' else 'low' end as risk_level from events",
+    "risk_fusion": sql("select utt_id, risk_score as score from results", WITH_JUDGE),
+    "risk_level": sql("select utt_id, risk_level from results", WITH_JUDGE),
     "risk_type": sql("select utt_id, fraud_type from results", WITH_JUDGE),
     "detect_reason": sql("select utt_id, reason from results", NO_JUDGE),
-    "transcript_valid": "select conv_id, turn, turn % 3 <> 1 and regexp_matches(text, '\\S') as valid from conversations",
+    "transcript_valid": "select conv_id, turn, coalesce(regexp_matches(text, '\\S'), false) as valid from conversations"
+    " union all select conv_id, -1 - turn, false from conversations",
     "detect_calls": sql("select * from results", WITH_JUDGE),
+    "detect_json": sql("select * from results", WITH_JUDGE),
     "ingest_cases": sql(f"select {CASE_OUT}, v.norm2, {VEC.replace('vec', 'v.vec')} as vec from cases join cv_vec v on v.id = case_id"),
     "case_provenance": sql(
         "select case_id, url as source_url, source_name, text_hash as raw_text_hash, extraction_method, true as stamped from cases"

@@ -2,27 +2,57 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+#: Keywords of one pass over the texts. A pass is a map with its keywords at hand.
+PASS_KEYWORDS = 50_000
 
-def phrase_matches(texts: DataFrame, keywords: DataFrame, keys: list[str], longest: int) -> DataFrame:
-    """Which keywords occur in which text: (*keys, keyword columns), each pair once.
 
-    For lexicons too large to sit in an expression. A keyword starts somewhere in the
-    text, so every position sends the `longest` characters from there, and these meet
-    keywords by an equi-join on the first two characters: no text meets the whole
-    lexicon, and a long text costs its length. One-character keywords need `kw` of
-    length 1 on both sides and are joined on that character.
+def phrase_matches(texts: DataFrame, keywords: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """Which keywords occur in which text: (*keys, keyword columns), each pair once per text row.
 
-    `keywords` has a column `kw`; `longest` is at least the length of the longest.
+    For lexicons too large to sit in an expression. `keywords` has a column `kw`; null and
+    empty ones match nothing. Its rows are taken in passes of a bounded number, by hash of
+    the keyword; in a pass each text runs once through an automaton of the keywords, so no
+    text leaves its task and a text costs its length, whatever the lexicon's size.
     """
-    heads = keywords.withColumn("_start", F.substring("kw", 1, 2))
-    places = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)))
-    windows = F.array_distinct(F.transform(places, lambda i: F.substring(F.col("text"), i, F.lit(longest))))
-    placed = texts.select(*keys, F.explode(windows).alias("_window"))
-    starts = placed.select(
-        *keys, "_window",
-        F.explode(F.array_distinct(F.array(F.substring("_window", 1, 2), F.substring("_window", 1, 1)))).alias("_start"),
-    )
-    met = starts.join(heads, "_start").filter(F.startswith("_window", F.col("kw")))
-    return met.select(*keys, *keywords.columns).distinct()
+    usable = keywords.filter(F.col("kw") != "")
+    passes = max(1, -(-usable.count() // PASS_KEYWORDS))
+    found = None
+    for turn in range(passes):
+        rows = usable.filter(F.pmod(F.xxhash64("kw"), F.lit(passes)) == turn).toArrow()
+        part = _one_pass(texts, rows, keys, text)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _one_pass(texts: DataFrame, rows: pa.Table, keys: list[str], text: str) -> DataFrame:
+    places: dict[str, list[int]] = {}
+    for i, word in enumerate(rows["kw"].to_pylist()):
+        places.setdefault(word, []).append(i)
+
+    @F.arrow_udf("array<int>")
+    def hits(column: pa.Array) -> pa.Array:
+        find = _finder(places)
+        return pa.array([None if t is None else find(t) for t in column.to_pylist()], pa.list_(pa.int32()))
+
+    numbered = rows.append_column("_place", pa.array(range(len(rows)), pa.int32()))
+    # at most PASS_KEYWORDS rows
+    lexicon = F.broadcast(texts.sparkSession.createDataFrame(numbered))
+    return texts.select(*keys, F.explode(hits(F.col(text))).alias("_place")).join(lexicon, "_place").drop("_place")
+
+
+def _finder(places: dict[str, list[int]]):
+    """Function text -> sorted rows of the keywords in it."""
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda t: sorted(i for word, own in places.items() if word in t for i in own)
+    machine = ahocorasick.Automaton()
+    for word, own in places.items():
+        machine.add_word(word, own)
+    if not places:
+        return lambda t: []
+    machine.make_automaton()
+    return lambda t: sorted({i for _, own in machine.iter(t) for i in own})

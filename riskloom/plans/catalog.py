@@ -75,8 +75,13 @@ def phrase_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def seeds(spark: SparkSession, folder: str) -> DataFrame:
-    """An allow-list: every page served by https, those of one domain without a name."""
-    return table(spark, folder, "pages").filter(F.col("url").startswith("https")).select(
+    """An allow-list: every page served by https."""
+    return seed_list(spark, folder).filter(F.col("url").startswith("https"))
+
+
+def seed_list(spark: SparkSession, folder: str) -> DataFrame:
+    """A seed for every page, those of one domain without a name."""
+    return table(spark, folder, "pages").select(
         F.col("page_id").alias("pos"),
         "url",
         F.when(F.contains(tx.url_host(F.col("url")), F.lit("example.com")), F.lit(""))
@@ -147,7 +152,7 @@ def src_articles(spark, folder):
 def src_seed_sources(spark, folder):
     path = work_folder(spark, "seeds")
     named = F.when(F.col("source_name") != "", F.col("source_name")).alias("source_name")
-    seeds(spark, folder).select(F.to_json(F.array(F.struct("url", named)))).write.text(path)
+    seed_list(spark, folder).select(F.to_json(F.array(F.struct("url", named)))).write.text(path)
     return src.read_seeds(spark, path, one_per_file=False).select("url", "source_name")
 
 
@@ -265,7 +270,11 @@ def page_text_coalesce(spark, folder):
     other = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("  \t"), "url", F.lit("\n"))).when(
         F.col("page_id") % 3 == 1, F.lit(" \n　")
     )
-    return src.clean_pages(pages.withColumn("other", other), main_text="other").select("page_id", "text")
+    # A date that stands in an attribute only, for pages whose other extractor has text but no date.
+    page = F.concat(F.format_string("<meta content='20%02d-%d-%d'>", F.col("page_id") % 40, F.col("page_id") % 12 + 1, F.col("page_id") % 28 + 1), "html")
+    named, dated = F.when(F.col("page_id") % 2 == 0, F.col("url")), F.when(F.col("page_id") % 4 == 0, F.lit("2020-02-02"))
+    pages = pages.withColumns({"html": page, "other": other, "named": named, "dated": dated})
+    return src.clean_pages(pages, "html", "other", "named", "dated").select("page_id", "title", "publish_date", "text")
 
 
 def doc_min_length(spark, folder):
@@ -296,8 +305,7 @@ def phrase_hits(spark, folder):
 
 def phrase_hits_join(spark, folder):
     """The same hits with the lexicon as a table, for lexicons too large for a literal."""
-    longest = max(len(w) for kws in DEFAULT.keywords.values() for w in kws)
-    found = phrase_matches(phrase_texts(spark, folder), DEFAULT.keyword_table(spark), ["src", "id"], longest)
+    found = phrase_matches(phrase_texts(spark, folder), DEFAULT.keyword_table(spark), ["src", "id"])
     return found.select("src", "id", "fraud_type", "kw_rank", "kw")
 
 
@@ -349,9 +357,7 @@ def _art(**columns):
 
 
 def extract_quotes(spark, folder):
-    """Articles (curly quotes) and the supplied documents (straight quotes)."""
-    both = texts(spark, folder).filter(F.col("src").isin("doc", "art"))
-    return both.select("src", "id", joined(facts.quotes(F.col("text"))).alias("quotes"))
+    return texts(spark, folder).select("src", "id", joined(facts.quotes(F.col("text"))).alias("quotes"))
 
 
 def extract_summary(spark, folder):
@@ -408,7 +414,7 @@ def validate_enum(spark, folder):
     raw = derived.derive(spark, folder, derived.LLM_ANSWERS).select(
         "art_id", answers._text(answers.parse_object(F.col("answer")), "$.fraud_type").alias("given")
     )
-    return raw.filter("given is not null").select("art_id", checks.repair_type(F.col("given")).alias("fraud_type"))
+    return raw.select("art_id", checks.repair_type(F.col("given")).alias("fraud_type"))
 
 
 def validate_amount(spark, folder):
@@ -566,16 +572,12 @@ def judge_requests(spark, folder):
 
 
 def risk_fusion(spark, folder):
-    """Phrase score of every call fused with a derived similarity, with and without judge."""
-    ruled = det.with_rule_score(derived.calls(spark, folder)).withColumn("sim", (F.col("utt_id") % 101) / F.lit(101.0))
-    judge = F.when(F.col("utt_id") % 2 == 0, (F.col("utt_id") % 11) / F.lit(11.0))
-    score = scoring.fuse(F.col("rule.score"), F.col("sim"), judge)
-    return ruled.select("utt_id", F.round(score, 6).alias("score"))
+    """Fused score of every call, from its phrases, its nearest case and its judge."""
+    return _assessed(spark, folder).select("utt_id", F.col("risk_score").alias("score"))
 
 
 def risk_level(spark, folder):
-    value = (F.col("event_id") % 1001) / F.lit(1000.0)
-    return table(spark, folder, "events").select("event_id", scoring.level(value).alias("risk_level"))
+    return _assessed(spark, folder).select("utt_id", "risk_level")
 
 
 def risk_type(spark, folder):
@@ -591,20 +593,28 @@ def detect_action(spark, folder):
 
 
 def detect_calls(spark, folder):
-    return _assessed(spark, folder).select(
+    return _result_out(_assessed(spark, folder))
+
+
+def _result_out(results):
+    return results.select(
         "utt_id", "risk_level", "risk_score", "fraud_type", joined("matched_signals").alias("matched_signals"),
         joined(F.transform("similar_cases", lambda c: c["case_id"])).alias("similar_cases"), "reason", "suggested_action",
     )
 
 
 def detect_json(spark, folder):
-    return det.as_json(_assessed(spark, folder).drop("ts", "text", "call_id"))
+    """Results written as JSON files and read back by their schema."""
+    path = work_folder(spark, "results")
+    results = _assessed(spark, folder).drop("ts", "text", "call_id")
+    det.write_json(results, path)
+    return _result_out(det.read_json(results, path))
 
 
 def transcript_valid(spark, folder):
-    turns = table(spark, folder, "conversations").select(
-        "conv_id", "turn", F.when(F.col("turn") % 3 == 1, F.lit(" \t\n")).otherwise(F.col("text")).alias("text")
-    )
+    """All turns, and as many blank ones beside them."""
+    said = table(spark, folder, "conversations").select("conv_id", "turn", "text")
+    turns = said.unionByName(said.select("conv_id", (-1 - F.col("turn")).alias("turn"), F.lit(" \t\n").alias("text")))
     valid, blank = det.valid_transcripts(turns)
     return valid.select("conv_id", "turn", F.lit(True).alias("valid")).unionByName(
         blank.select("conv_id", "turn", F.lit(False).alias("valid"))

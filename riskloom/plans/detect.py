@@ -119,3 +119,13 @@ def detect(
 def as_json(results: DataFrame) -> DataFrame:
     """One JSON text per result, non-ASCII characters kept."""
     return results.select(F.to_json(F.struct(*results.columns), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def write_json(results: DataFrame, path: str) -> None:
+    """Results as JSON lines, nulls and non-ASCII characters kept."""
+    results.write.option("ignoreNullFields", "false").json(path)
+
+
+def read_json(results: DataFrame, path: str) -> DataFrame:
+    """What `write_json` wrote for `results`, by its declared schema."""
+    return results.sparkSession.read.schema(results.schema).json(path)

@@ -48,7 +48,7 @@ def ingest(
     fresh = docs
     if store.exists():
         fresh = unseen(docs, store.read().select(F.col("raw_text_hash").alias("text_hash")), "text_hash")
-    return store.append(extract_cases(fresh, as_of, answer, lexicon, [order]), F.col(order))
+    return store.append(extract_cases(fresh, as_of, answer, lexicon, [order]), F.col(order), all_new=True)
 
 
 def ingest_summary(docs: DataFrame, added: DataFrame, stored: DataFrame) -> DataFrame:
@@ -70,6 +70,3 @@ def new_case_lines(added: DataFrame) -> DataFrame:
         F.format_string("+ [%s] %s (confidence=%.2f)", "fraud_type", "title", "confidence").alias("line"),
     )
 
-
-def sequence_of(*columns: Column | str) -> Column:
-    return F.struct(*columns)

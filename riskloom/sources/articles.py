@@ -20,8 +20,10 @@ def read_articles(
     """Article files as rows; `_rejected` marks those without text.
 
     `one_per_file` reads a JSON object per file; otherwise JSON lines, which large
-    inputs should use. `seq` is (file name, position): the read order, and the rule for
-    "first seen" later on. A missing url becomes local://<file name>.
+    inputs should use. `seq` is the read order, and the rule for "first seen" later on: the
+    file name, and among the lines of one file url and content, since a line has no stable
+    number when a file is read in pieces. It depends on the data alone, so any partitioning
+    and any retry orders alike. A missing url becomes local://<file name>.
     """
     raw = (
         spark.read.schema(ARTICLE_FILE)
@@ -36,7 +38,7 @@ def read_articles(
         F.coalesce("title", F.lit("")).alias("title"),
         "publish_date",
         "text",
-        F.struct(file.alias("file"), F.col("_metadata.file_block_start").alias("block")).alias("seq"),
+        F.struct(file.alias("file"), "url", F.sha2(F.to_json(F.struct("title", "source_name", "publish_date", "text")), 256).alias("line")).alias("seq"),
         F.col("text").isNull().alias("_rejected"),
     )
 
@@ -77,20 +79,30 @@ def with_source_name(pages: DataFrame, seeds: DataFrame) -> DataFrame:
     ).drop("_name")
 
 
-def clean_pages(pages: DataFrame, html_column: str = "html", main_text: str | None = None) -> DataFrame:
+def clean_pages(
+    pages: DataFrame, html_column: str = "html", main_text: str | None = None, main_title: str | None = None, main_date: str | None = None
+) -> DataFrame:
     """Adds title, publish_date and text of each page. One projection, no shuffle.
 
-    `main_text` names an optional column filled by another extractor: where it has
-    text it is used, and the native text elsewhere.
+    `main_text`, `main_title` and `main_date` name optional columns filled by another
+    extractor. Where it has text, text, title and date are its own, a missing title being
+    empty and a missing date the first one anywhere in the raw html, attributes included;
+    elsewhere all three are native.
     """
     page = F.col(html_column)
     text = bind(
         html.blocks(html.denoise(page)),
         lambda parts: bind(html.container_blocks(parts, html.main_container(parts)), html.block_text),
     )
+    title, day = html.page_title(page), html.page_date(page)
     if main_text:
-        text = F.coalesce(present(strip(F.col(main_text))), text)
-    return once(pages, {"title": html.page_title(page), "publish_date": html.page_date(page), "text": text})
+        other = present(strip(F.col(main_text)))
+        given = F.coalesce(F.col(main_title), F.lit("")) if main_title else F.lit("")
+        dated = present(F.col(main_date)) if main_date else F.lit(None).cast("string")
+        title = F.when(other.isNotNull(), given).otherwise(title)
+        day = F.when(other.isNotNull(), F.coalesce(dated, html.find_date(page))).otherwise(day)
+        text = F.coalesce(other, text)
+    return once(pages, {"title": title, "publish_date": day, "text": text})
 
 
 def long_enough(docs: DataFrame) -> DataFrame:

@@ -31,6 +31,10 @@ def replace_by_id(stored: DataFrame) -> DataFrame:
     return last_per_key(stored, F.col("case_id"), F.struct("batch_id", "raw_text_hash"))
 
 
+#: Beside a table in which cases were replaced stands a folder of this ending.
+REPLACED = "-replaced"
+
+
 class CaseStore:
     """Append-only case table at a path. Reads are plain DataFrames."""
 
@@ -42,31 +46,63 @@ class CaseStore:
         return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
 
     def read(self) -> DataFrame:
-        """All stored cases. A filter on fraud_type reads only that partition."""
+        """All stored cases, of replaced ones the latest version.
+
+        Without replacements a filter on fraud_type reads only that partition.
+        """
         if not self.exists():
             return self.spark.createDataFrame([], CASE_TABLE)
+        return replace_by_id(self._versions()) if self._replaces() else self._versions()
+
+    def _versions(self) -> DataFrame:
+        """All rows ever written: replaced cases too."""
         return self.spark.read.schema(CASE_TABLE).parquet(self.path)
 
-    def append(self, cases: DataFrame, order: Column) -> DataFrame:
+    def _next_batch(self) -> int:
+        return (self._versions().agg(F.max("batch_id")).first()[0] or 0) + 1 if self.exists() else 0
+
+    def append(self, cases: DataFrame, order: Column, batch: int | None = None, all_new: bool = False) -> DataFrame:
         """Add the cases not stored yet, with their vectors. Returns the rows added.
 
-        Every call is a batch with the next number, and its rows are read back by that
-        number, so nothing is computed twice. Running the same input again adds nothing:
-        its hashes are known by then.
+        Every call is a batch, and its rows are read back by its number, so nothing is
+        computed twice. Running the same input again adds nothing: its hashes are known by
+        then; `all_new` says that the caller has left out known hashes. One writer at a
+        time: the number is the next one, unless the caller hands out numbers.
         """
-        known, batch = None, 0
-        if self.exists():
-            known = self.read().select("raw_text_hash")
-            batch = (self.read().agg(F.max("batch_id")).first()[0] or 0) + 1
-        fresh = with_vectors(new_cases(cases, known, order), self.options).withColumns(
+        known = self._versions().select("raw_text_hash") if self.exists() and not all_new else None
+        return self._write(new_cases(cases, known, order), self._next_batch() if batch is None else batch)
+
+    def replace(self, cases: DataFrame, batch: int | None = None) -> DataFrame:
+        """Store cases in place of those with the same id; others are added. One row per id in `cases`."""
+        number = self._next_batch() if batch is None else batch
+        done = self._write(cases, number)
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}{REPLACED}/{number}")
+        hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
+        return done
+
+    def _replaces(self) -> bool:
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}{REPLACED}")
+        return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+    def _write(self, cases: DataFrame, batch: int) -> DataFrame:
+        dims = self._space()
+        if dims not in (None, space_name(self.options.dim)):
+            raise ValueError(f"stored vectors are of space {dims}, new ones of {space_name(self.options.dim)}")
+        fresh = with_vectors(cases, self.options).withColumns(
             {"batch_id": F.lit(batch).cast("bigint"), "created_at": F.current_timestamp()}
         )
         columns = T.StructType.fromDDL(CASE_TABLE).names
         # Adaptive execution sizes the files and splits a crowded type over several tasks.
-        fresh.select(*columns).hint("rebalance", "fraud_type").write.mode("append").partitionBy("fraud_type").parquet(
-            self.path
-        )
-        return self.read().filter(F.col("batch_id") == batch)
+        # Ids and hashes are hashes themselves: only a bloom filter lets a lookup skip row groups.
+        writer = fresh.select(*columns).hint("rebalance", "fraud_type").write.mode("append").partitionBy("fraud_type")
+        for name in ("case_id", "raw_text_hash"):
+            writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
+        writer.parquet(self.path)
+        return self._versions().filter(F.col("batch_id") == batch)
+
+    def _space(self) -> str | None:
+        row = self._versions().select("space").first() if self.exists() else None
+        return row["space"] if row else None
 
     def count(self) -> int:
         return self.read().count()

@@ -1,8 +1,12 @@
 import json
 
+import pytest
+
 from riskloom.operators.dedup import first_per_key, last_per_key, unseen
 from riskloom.operators.phrases import phrase_matches
-from riskloom.sources.articles import allow_listed, long_enough, read_articles, read_seeds, split_rejected, with_source_name
+from riskloom.session import work_folder
+from riskloom.sources.articles import allow_listed, clean_pages, dedup_docs, long_enough, read_articles, read_seeds, split_rejected, with_source_name
+from riskloom.sources.store import CaseStore
 from pyspark.sql import functions as F
 
 
@@ -51,6 +55,59 @@ def test_phrase_join_equals_contains(spark):
     texts = [(1, "稳赚通道稳赚"), (2, "无"), (3, ""), (4, "快递员送包裹，快递丢失"), (5, "赚")]
     words = [("稳赚",), ("稳赚通道",), ("快递",), ("赚",), ("包裹，快递丢失",)]
     df = spark.createDataFrame(texts, "id int, text string")
-    got = phrase_matches(df, spark.createDataFrame(words, "kw string"), ["id"], 8).collect()
+    got = phrase_matches(df, spark.createDataFrame(words, "kw string"), ["id"]).collect()
     want = {(i, w) for i, t in texts for (w,) in words if w in t}
     assert {(r["id"], r["kw"]) for r in got} == want and len(got) == len(want)
+
+
+def test_first_copy_is_the_same_for_any_partitioning(spark):
+    path = work_folder(spark, "copies")
+    rows = [(f"u{i}", "t", "same text") for i in range(100)]
+    spark.createDataFrame(rows, "url string, title string, text string").coalesce(1).write.json(path)
+    kept = set()
+    for n in (1, 3, 7, 13):
+        usable, _ = split_rejected(read_articles(spark, path, one_per_file=False))
+        docs = usable.repartition(n).withColumn("text_hash", F.sha2("text", 256))
+        kept |= {r["url"] for r in dedup_docs(docs).collect()}
+        assert usable.select("seq").distinct().count() == 100
+    assert kept == {"u0"}
+
+
+def test_preferred_extractor(spark):
+    page = '<html><head><meta content="2021-03-04"><title>own</title></head><body><p>' + "word " * 40 + "</p></body></html>"
+    rows = [(1, page, "their text", "theirs", "2020-01-01"), (2, page, "their text", None, ""), (3, page, " ", "theirs", "2020-01-01")]
+    out = clean_pages(spark.createDataFrame(rows, "id int, html string, t string, h string, d string"), "html", "t", "h", "d")
+    got = {r["id"]: (r["title"], r["publish_date"], r["text"][:10]) for r in out.collect()}
+    assert got == {1: ("theirs", "2020-01-01", "their text"), 2: ("", "2021-03-04", "their text"), 3: ("own", None, "word word ")}
+
+
+def test_store_replaces_by_id(spark):
+    store = CaseStore(spark, work_folder(spark, "replace"))
+    case = {f.name: None for f in store.read().schema}
+    rows = [{**case, "case_id": i, "summary": "old", "fraud_type": "其他", "raw_text_hash": i, "scenario": "", "fraud_script": [], "key_risk_signals": []} for i in ("a", "b")]
+    shape = store.read().drop("vec", "norm2", "space", "batch_id", "created_at").schema
+    names = shape.names
+    make = lambda rs: spark.createDataFrame([tuple(r[n] for n in names) for r in rs], shape)
+    store.append(make(rows), F.col("case_id"))
+    store.replace(make([{**rows[0], "summary": "new", "fraud_type": "杀猪盘"}]))
+    assert {r["case_id"]: r["summary"] for r in store.read().collect()} == {"a": "new", "b": "old"}
+    assert store.get("a").count() == 1 and store.count() == 2
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    class Nothing:
+        def isDefined(self):
+            return False
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda *_: "")
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            class _jsc:
+                sc = staticmethod(lambda: type("C", (), {"getCheckpointDir": staticmethod(Nothing)}))
+
+    with pytest.raises(ValueError):
+        work_folder(Session, "x")
