@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.shared import parts, small
+from llm.shared import cut, parts, small
 
 SEED, POWER, EPOCHS, STEP = 17, 0.5, 1.0, 300.0
 ADDED = ["copy_no", "n_copies", "order_key"]
@@ -42,9 +42,10 @@ def rates(docs: DataFrame, source: str = "source", text: str = "text", weights:
         for name, w in weights.items():
             weight = F.when(F.col("source_key") == f"s{name}", F.lit(float(w))).otherwise(weight)
     size = size.withColumn("weight", F.when(F.col("chars") > 0, weight).otherwise(0.0))
-    total = size.agg(F.sum("chars").alias("all_chars"), F.sum("weight").alias("all_weight"))
-    rate = F.col("weight") / F.col("all_weight") * epochs * F.col("all_chars") / F.col("chars")
-    return size.join(F.broadcast(total)).select("source_key", F.when(F.col("chars") > 0, rate).alias("rate"))
+    size = cut(size, "sizes")  # a row for each source
+    total = size.agg(F.sum("chars").alias("chars"), F.sum("weight").alias("weight")).first()
+    rate = F.col("weight") / F.lit(total["weight"]) * epochs * F.lit(total["chars"]) / F.col("chars")
+    return size.select("source_key", F.when(F.col("chars") > 0, rate).alias("rate"))
 
 
 def _key(source: Column) -> Column:
