@@ -142,9 +142,9 @@ class _Plan:
             rows.append(part)
             owner.append(np.full(len(part), i))
             size.append(np.full(len(part), n))
-        self.body, self.owner, self.size = np.concatenate(rows), np.concatenate(owner), np.concatenate(size)
+        self.body, self.owner, self.size = np.concatenate(rows).astype(np.int32), np.concatenate(owner).astype(np.int32), np.concatenate(size).astype(np.int32)
         rare = np.where(self.body < 0, np.iinfo(np.int64).max, counts[self.body])
-        self.order = np.argsort(rare, axis=1, kind="stable")
+        self.order = np.argsort(rare, axis=1, kind="stable").astype(np.int16)
 
     def anchored(self, rank: int):
         """Windows by their rank-th rarest term: list bounds by term, windows, offsets."""

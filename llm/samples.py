@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from llm.shared import held_out
 
 #: Rows of each class that a classifier is fitted on, and the longest text among them (in characters).
-PER_CLASS, LONGEST = 1500, 50_000
+PER_CLASS, LONGEST = 1500, 10_000
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id", text: str = "text", per_class: int = PER_CLASS, longest: int = LONGEST) -> tuple[pa.Array, np.ndarray]:

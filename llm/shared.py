@@ -15,17 +15,22 @@ from pyspark.sql.types import StructType
 SMALL_ROWS = 10_000
 
 
+_LOCAL: list[tempfile.TemporaryDirectory] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir`.
 
-    Only a local session may leave it unset; then a temporary folder of this machine stands in.
+    Only a local session may leave it unset; then a temporary folder of this machine, removed at exit,
+    stands in.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _LOCAL:
+            _LOCAL.append(tempfile.TemporaryDirectory(prefix="llm-"))
+        base = _LOCAL[0].name
     return base.rstrip("/")
 
 

@@ -31,6 +31,8 @@ from llm.shared import cut
 
 THRESHOLD, TREES, LEAF, SAMPLE, SEED = 0.98, 5, 512, 20_000, 5
 MAX_LEVELS, MAX_ROUNDS = 10, 30
+#: The sample is as many vectors as fit this, at most SAMPLE.
+SAMPLE_BYTES = 32 << 20
 
 
 def _matrix(column) -> np.ndarray:
@@ -98,8 +100,8 @@ def _project(turn: int):
 
 def leaves(nodes: DataFrame, threshold: float) -> DataFrame:
     """(node, leaf): every leaf each node is in."""
-    n = nodes.count()
-    some = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("dim", "label", "unit").toPandas()
+    n, widest = nodes.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first()
+    some = nodes.orderBy(F.xxhash64("node"), "node").limit(max(1, min(SAMPLE, SAMPLE_BYTES // (8 * widest)))).select("dim", "label", "unit").toPandas()
     sample = {int(dim): _matrix(part["unit"]) for dim, part in some.groupby("dim")}
     groups = max(1, some[["dim", "label"]].drop_duplicates().shape[0])
     levels = int(np.clip(np.ceil(np.log2(max(1.0, n / groups / LEAF))), 0, MAX_LEVELS))

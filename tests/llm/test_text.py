@@ -17,7 +17,8 @@ from llm.textkernel import ALNUM, Poly, slices, words
 def test_base_spans(docs, pairs, same):
     line = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
     base = lambda s: s["kind"].isin(pii_spans.BASE)
-    n = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)) for k in pii_spans.BASE]
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind))
+    n = [count(k) for k in pii_spans.BASE]
     out = pii_spans.pii_spans(docs).select("id", *n, F.sha2(F.encode(F.array_join(F.transform(F.filter("spans", base), line), ","), "utf-8"), 256))
     same(out.collect(), brute.personal(pairs))
 
