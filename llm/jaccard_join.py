@@ -34,7 +34,7 @@ from llm.shared import cut, keyed, small, with_keys
 from llm.textkernel import NON_SPACE, WINDOW, U, mix, slices, words
 
 SHINGLE, PERCENT = 5, 80
-LEADERS, ROUNDS, TILE = 4, 2, 256
+LEADERS, ROUNDS, TILE, FIRST = 4, 2, 256, 16
 #: Left documents are looked up by a broadcast of their two-number keys up to this many, else by a shuffle.
 BROADCAST_KEYS = 200_000
 
@@ -153,7 +153,8 @@ def _verify(percent: int):
     def run(batches):
         for batch in batches:
             keep = []
-            for x, y, p, q in zip(*(_column(batch, c).to_pylist() for c in ("items_a", "items_b", "bits_a", "bits_b")), strict=True):
+            pairs = (part for lo in range(0, batch.num_rows, 256) for part in zip(*(_column(batch, c).slice(lo, 256).to_pylist() for c in ("items_a", "items_b", "bits_a", "bits_b")), strict=True))
+            for x, y, p, q in pairs:
                 n, m, size = len(x) // 8, len(y) // 8, min(len(p), len(q))
                 p, q = (_fold(np.frombuffer(z, np.uint8), size) for z in (p, q))
                 ok = bool(may_link(n, p, np.array([m]), q[None], percent)[0])
@@ -167,7 +168,11 @@ def _verify(percent: int):
 
 
 def _tile(percent: int):
-    """Pairs of a tile that lie in different components and pass the bitmap bound."""
+    """Pairs of a tile that lie in different components and pass the bitmap bound.
+
+    Documents that meet under many shingles would be named under each; a pair is left to a smaller
+    shingle that both list among their first ones.
+    """
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         node, root, n, side = (np.asarray(table[c]) for c in ("node", "root", "n", "side"))
@@ -175,9 +180,16 @@ def _tile(percent: int):
         size = min(len(x) for x in raw)
         maps = np.stack([_fold(x, size) for x in raw]).view(U)
         ones, others = np.flatnonzero(side < 2), np.flatnonzero(side % 2 == 0)
+        item = key[0].as_py()
+        lists = table["first"].to_pylist()
+        earlier = np.array(sorted({v for x in lists for v in x if v < item}), np.int64)
+        member = np.zeros((len(node), len(earlier)), bool)
+        for i, x in enumerate(lists):
+            member[i, np.searchsorted(earlier, [v for v in x if v < item])] = True
         a, b = [], []
         for i in ones:
             at = others[(root[others] != root[i]) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))]
+            at = at[~(member[at] & member[i]).any(axis=1)]
             at = at[may_link(n[i], maps[i], n[at], maps[at], percent)]
             a.append(np.minimum(node[i], node[at]))
             b.append(np.maximum(node[i], node[at]))
@@ -199,9 +211,11 @@ def _with_root(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def _still_open(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Postings of shingles under which different components meet."""
+    """Postings of shingles under which different components meet; of shingles with the same documents, one."""
     now = _with_root(postings.select("item", "node"), roots)
-    mixed = now.groupBy("item").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).where("x <> y").select("item", "m")
+    name = F.xxhash64("node")
+    mixed = now.groupBy("item").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m"), F.bit_xor(name).alias("p"), F.sum(name % 1000003).alias("q")).where("x <> y")
+    mixed = mixed.groupBy("m", "p", "q").agg(F.min("item").alias("item")).select("item", "m")
     return now.join(mixed, "item")
 
 
@@ -215,15 +229,17 @@ def linked_sets(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         found = cut(_checked(pairs, sets, percent), "linked")
         links = found if links is None else links.unionByName(found)
         roots = components(links)
-    rest = cut(_still_open(postings, roots).join(sets.select("node", "n", "bits"), "node"), "open")
+    rest = cut(_still_open(postings, roots), "open")
+    first = rest.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("item")), 1, FIRST).alias("first"))
+    rest = rest.join(sets.select("node", "n", "bits").join(first, "node"), "node")
     band = F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int")
     blocks = F.ceil(F.col("m") / TILE).cast("int")
     block = F.pmod(F.xxhash64("node"), blocks).cast("int")
     rest = rest.withColumns({"band": band, "blocks": blocks}).withColumn("block", block)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     # a tile is (band, block) against (the same or the next band, block); side 0: both, 1: first, 2: second
-    rest = rest.select("item", "node", "root", "n", "bits", "band", "block", other)
-    body = ["item", "node", "root", "n", "bits"]
+    body = ["item", "node", "root", "n", "bits", "first"]
+    rest = rest.select(*body, "band", "block", other)
     tiles = rest.select(*body, "band", F.lit(0).alias("step"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"))
     tiles = tiles.unionByName(rest.select(*body, "band", F.lit(1).alias("step"), F.col("block").alias("i"), F.col("other").alias("j"), F.lit(1).alias("side")))
     tiles = tiles.unionByName(rest.select(*body, (F.col("band") - 1).alias("band"), F.lit(1).alias("step"), F.col("other").alias("i"), F.col("block").alias("j"), F.lit(2).alias("side")))
