@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from llm.shared import parts
 
 U = np.uint64
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 PACKED = "kind int, slot int, ids binary, n binary, pos binary, key binary, extra binary, known binary"
 ANSWER = "slot int, flag int, ids binary, n binary, pos binary"
 HIT, OPEN = 0, 1
