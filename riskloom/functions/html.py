@@ -99,7 +99,8 @@ def blocks(clean_html: Column) -> Column:
     `name` is the lower-case tag ('/p' for a close tag, '' for the part before the
     first block tag); `body` is the html up to the next block tag.
     """
-    pieces = F.split(F.regexp_replace(clean_html, patterns.BLOCK_CUT, "\u0001<"), "\u0001", -1)
+    marked = F.regexp_replace(F.translate(clean_html, "\u0001", ""), patterns.BLOCK_CUT, "\u0001<")
+    pieces = F.split(marked, "\u0001", -1)
     return F.transform(
         pieces,
         lambda p, i: F.struct(

@@ -208,7 +208,8 @@ def ingest_summary(spark, folder):
     all_docs = docs(spark, folder, True)
     store = st.CaseStore(spark, work_folder(spark, "cases"), OPTIONS)
     added = ing.ingest(store, all_docs, derived.AS_OF, "art_id", "answer")
-    return ing.ingest_summary(all_docs, added, store.read())
+    # Counted before redaction: the number of articles needs none of it.
+    return ing.ingest_summary(derived.articles(spark, folder), added, store.read())
 
 
 def ingest_new_cases(spark, folder):
@@ -317,8 +318,7 @@ def type_info_join(spark, folder):
     typed = phrase_texts(spark, folder).select(
         "src", "id", facts.classify(facts.type_hits(F.col("text")))["fraud_type"].alias("fraud_type")
     )
-    # One row per fraud type: a bound of the lexicon, not of the data.
-    info = F.broadcast(DEFAULT.info_table(spark))
+    info = DEFAULT.info_table(spark)
     return typed.join(info, "fraud_type").select("src", "id", "fraud_type", joined("risk_signals").alias("signals"), "warning")
 
 

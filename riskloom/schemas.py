@@ -10,8 +10,6 @@ MONEY = "struct<payment_method:string,amount:double>"
 ARTICLE_FILE = "title string, source_name string, url string, publish_date string, text string"
 SEED_FILE = "array<struct<url:string,source_name:string>>"
 
-DOC_COLUMNS = ["url", "source_name", "title", "publish_date", "text", "text_hash"]
-
 CASE_COLUMNS = [
     "case_id", "title", "source_url", "source_name", "publish_date", "fraud_type", "scenario",
     "victim_profile", "fraud_script", "key_risk_signals", "money_flow", "loss_amount", "summary",

@@ -52,3 +52,8 @@ def test_short_container_means_whole_page(spark):
 def test_unclosed_markup_is_harmless(spark):
     page = "<div>" * 500 + "<p>字" * 500 + "<" + "</div>" * 900
     assert clean_pages(spark.createDataFrame([(page,)], "html string")).select(F.length("text")).first()[0] > 0
+
+
+def test_control_character_is_no_cut(spark):
+    page = "<div><p>甲乙丙丁戊己\u0001庚辛壬癸子丑寅卯</p></div>"
+    assert clean_pages(spark.createDataFrame([(page,)], "html string")).first()["text"] == "甲乙丙丁戊己庚辛壬癸子丑寅卯"
