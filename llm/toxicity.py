@@ -104,10 +104,10 @@ def _forward_backward(e, offsets, moves, pairs):
     t = np.exp(moves)
     eye = np.eye(2)
 
-    def step(t_steps, left):
-        """A block's product of steps, rows by starting state."""
+    def products():
+        """Each block's product of steps, rows by starting state."""
         prod = np.broadcast_to(eye, (total, 2, 2)).copy()
-        for k in range(t_steps):
+        for k in range(BLOCK):
             nxt = prod @ t
             nxt[:, :, 1] *= w[k][:, None]
             nxt /= nxt.max(axis=(1, 2), keepdims=True)
@@ -119,7 +119,7 @@ def _forward_backward(e, offsets, moves, pairs):
     alpha0[first[per > 0]] = [1.0, 0.0]
     beta1 = np.ones((total, 2))
     if several.any():  # join the blocks of longer texts
-        prod = step(BLOCK, True)
+        prod = products()
         longest = int(per.max())
         for k in range(1, longest):
             b = first[per > k] + k
