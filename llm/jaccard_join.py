@@ -34,7 +34,7 @@ from llm.shared import cut, keyed, small, with_keys
 from llm.textkernel import NON_SPACE, WINDOW, U, mix, slices, words
 
 SHINGLE, PERCENT = 5, 80
-LEADERS, ROUNDS, TILE, FIRST = 4, 2, 256, 16
+LEADERS, ROUNDS, TILE, FIRST = 4, 2, 1024, 16
 #: Left documents are looked up by a broadcast of their two-number keys up to this many, else by a shuffle.
 BROADCAST_KEYS = 200_000
 
