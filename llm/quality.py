@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.samples import PER_CLASS, labelled_sample
+from llm.samples import PER_CLASS, fitted, labelled_sample
 from llm.shared import arrow_schema, held_out
 from llm.textkernel import NON_SPACE, U, Slice, mix, slices, words
 
@@ -95,7 +95,7 @@ def fit(texts: pa.Array, y: np.ndarray, steps: int = 150, ridge: float = 1e-4) -
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", per_class: int = PER_CLASS) -> Model:
-    return fit(*labelled_sample(docs, labels, label, doc_id, text, per_class))
+    return Model(**fitted(labelled_sample(docs, labels, label, doc_id, text, per_class), fit))
 
 
 def _grade(m: Model, schema: pa.Schema, wanted: int | None):

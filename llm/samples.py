@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,19 +15,30 @@ from llm.shared import held_out
 PER_CLASS, LONGEST = 1500, 10_000
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id", text: str = "text", per_class: int = PER_CLASS, longest: int = LONGEST) -> tuple[pa.Array, np.ndarray]:
-    """(texts, labels) of training rows: for each label, those with the smallest hashes of their ids.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id", text: str = "text", per_class: int = PER_CLASS, longest: int = LONGEST) -> DataFrame | None:
+    """(text, y) of training rows: for each label, those with the smallest hashes of their ids.
 
     Rows of the test fold (`held_out`) and rows without id, label or text are left out. An id with
     several labels has the largest. At most a hundred labels and per_class rows of each are taken.
+    None if there is no label.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).where(~held_out(F.col(doc_id)))
     known = known.groupBy(F.col(doc_id).alias("key")).agg(F.max(label).cast("int").alias("y"))
     body = docs.where(F.length(text).between(1, longest)).select(F.col(doc_id).alias("key"), F.col(text).alias("text"))
-    texts, ys = [], []
+    out = None
     for y in sorted(r["y"] for r in known.select("y").distinct().limit(100).collect()):
         some = known.where(F.col("y") == y).orderBy(F.xxhash64("key"), "key").limit(per_class)
-        rows = body.join(F.broadcast(some), "key").orderBy(F.xxhash64("key", "text")).limit(per_class).select("text").toArrow()
-        texts += rows["text"].to_pylist()
-        ys += [y] * len(rows)
-    return pa.array(texts, pa.string()), np.array(ys, np.int64)
+        rows = body.join(F.broadcast(some), "key").orderBy(F.xxhash64("key", "text")).limit(per_class).select("text", "y")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def fitted(sample: DataFrame | None, fit) -> dict:
+    """The fields of the model that fit(texts, labels) makes of a bounded sample, in one task of an executor."""
+    def run(batches):
+        rows = pa.Table.from_batches(list(batches), pa.schema([("text", pa.string()), ("y", pa.int32())])).sort_by([("y", "ascending"), ("text", "ascending")])
+        model = fit(rows["text"].combine_chunks(), np.asarray(rows["y"]).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(model))], pa.binary())], ["model"])
+
+    row = sample.coalesce(1).mapInArrow(run, "model binary").first() if sample is not None else None
+    return pickle.loads(row["model"]) if row else vars(fit(pa.array([], pa.string()), np.zeros(0, np.int64)))

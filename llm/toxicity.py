@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from llm.samples import PER_CLASS, labelled_sample
+from llm.samples import PER_CLASS, fitted, labelled_sample
 from llm.shared import held_out
 from llm.textkernel import ALNUM, U, Words, mix, runs, slices, words
 
@@ -241,7 +241,7 @@ def fit(texts: pa.Array, y: np.ndarray, epochs: int = 25) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", per_class: int = PER_CLASS) -> Model:
-    return fit(*labelled_sample(docs, labels, label, doc_id, text, per_class))
+    return Model(**fitted(labelled_sample(docs, labels, label, doc_id, text, per_class), fit))
 
 
 def _score(m: Model, schema: pa.Schema):
