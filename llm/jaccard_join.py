@@ -4,8 +4,9 @@ Exact, without comparing all pairs:
 
 1. Documents with equal sets form one class; one of each class goes on.
 2. A linked document has at most a fifth of its shingles for itself. Of each document the 30 % with
-   the smallest hashes are looked up in the corpus; it drops out if more than a fifth of its set are
-   found to be unique there. What is left are near copies and little else.
+   the smallest hashes are looked up among those of all others; it drops out if more than a fifth of
+   its set, and one more, are found nowhere (`alone` says why one more). What is left are near copies
+   and little else.
 3. Left documents order their shingles by how often they occur among them (rare first, by powers of
    two up to 64, then by hash). Linked sets share a shingle among the first fifth, plus one, of that
    order, so documents meet under those shingles only.
@@ -88,6 +89,19 @@ def sample(n: int, percent: int) -> int:
     return min(n, (n * (100 - percent) * 3 // 2) // 100 + 2)
 
 
+def alone(n: int, percent: int) -> int:
+    """At most so many sampled shingles of a linked set of n are in no other set's sample.
+
+    Let a partner of m have a shingles that the set lacks, and lack b of the set's; f = (100 - percent) %,
+    s = sample. A shared shingle in the set's sample is among the first s(n) - b' + a of the partner, if b' of
+    the sample are not shared, so at most max(b, s(n) + a - s(m)) are missed. b <= fn. For a sample that is
+    not the whole set s(n) <= 1.5fn + 2 and s(m) > 1.5fm + 1, so the other term is below 1 + a - 1.5f(m - n);
+    a linear program over a + b <= f(n + a), with its ends at b = 0 and a = 0, holds that below 1 + fn for
+    f up to 2/3; where s(m) = m the term is at most n + a - m = b.
+    """
+    return n * (100 - percent) // 100 + 1
+
+
 def _emit_sets(batch: pa.RecordBatch):
     sets = [np.frombuffer(x, U) for x in _column(batch, "items").to_pylist()]
     n = np.array([len(x) for x in sets])
@@ -258,7 +272,8 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # 2. those without too many shingles of their own
     found = find_repeats(rows, _emit_sample(shingle, percent)).select("rid1", "rid2", "hits")
     taken = F.least("n", F.floor(F.col("n") * (100 - percent) * 3 / 2 / 100).cast("long") + 2)
-    left = cut(one.join(found, ["rid1", "rid2"]).where((taken - F.col("hits")) * 100 <= F.col("n") * (100 - percent)).select("rid1", "rid2", "node"), "left")
+    most = F.floor(F.col("n") * (100 - percent) / 100) + 1  # as in alone()
+    left = cut(one.join(found, ["rid1", "rid2"]).where(taken - F.col("hits") <= most).select("rid1", "rid2", "node"), "left")
     sets = rows.join(small(left, BROADCAST_KEYS), ["rid1", "rid2"]).dropDuplicates(["node"]).select("node", "rid1", "rid2", "text")
     sets = cut(sets.mapInArrow(_sets(shingle), "node long, rid1 long, rid2 long, n long, items binary, bits binary"), "items")
     # 3. where they meet

@@ -49,6 +49,30 @@ def test_jaccard_groups(docs, pairs, same, monkeypatch, rounds, tile):
     same(out.collect(), want)
 
 
+def overlaps(sizes, percent=80):
+    """(n, m, shared) of all pairs of set sizes that link."""
+    return [(n, m, o) for n in sizes for m in range(n, n * 100 // percent + 1) for o in range(1, n + 1) if 100 * o >= percent * (n + m - o)]
+
+
+@pytest.mark.parametrize("percent", [50, 70, 80, 90])
+def test_bound_of_shingles_found_nowhere(percent):
+    for n, m, o in overlaps(range(1, 121), percent):
+        for x, y in ((n, m), (m, n)):
+            missed = max(x - o, jaccard_join.sample(x, percent) + y - o - jaccard_join.sample(y, percent))
+            assert missed <= jaccard_join.alone(x, percent)
+
+
+def test_small_sets_of_all_sizes_and_overlaps(spark):
+    rows = []
+    for n, m, o in overlaps(range(1, 31)):
+        for turn in range(4):
+            w = [f"w{len(rows)}x{k}" for k in range(n + m - o + 4)]  # no other pair has these words
+            rows += [(len(rows), " ".join(w[: n + 4])), (len(rows) + 1, " ".join(w[n - o :]))]
+    out = jaccard_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    lost = out.where("n_shingles > 0 and component_id <> id - id % 2").count()
+    assert (out.count(), lost) == (len(rows), 0)
+
+
 def test_benchmark_windows(spark, docs, pairs, same, monkeypatch):
     text = {i: t for i, t in pairs if t}
     items = [(1, text[105]), (2, "one two"), (3, None), (4, "?!"), (5, text[105]), (6, text[405][3000:3600]), (70, text[405][3100:3300]), (8, "ha ha ha")]
