@@ -6,7 +6,9 @@ terms of the benchmark and a few others. `search_index` takes the benchmark's wi
 at most `SLICE_WORDS` words. For a slice it counts its terms over the whole index; each window
 starts from the posting list of its rarest term, shifted by the term's offset, and is intersected
 with the shifted lists of the next rarest terms until all agree (an exact phrase) or none is left.
-Starts that keep at least `near` of ten terms in place are proximity matches.
+Starts that keep at least `near` of `window` terms in place, but not all, are proximity matches; items
+shorter than `window` must keep the same share (with 8 of 10: all but one of 5 to 9 words, all of fewer).
+With k terms allowed to differ, one of the k + 1 rarest is in place, so the lists of these give all starts.
 
 All lists of a document lie in one row, so intersecting needs no shuffle; only matches travel.
 
@@ -28,6 +30,8 @@ from llm.textkernel import ALNUM, U, mix, runs, slices, words
 
 WINDOW, NEAR = 10, 8
 SLICE_WORDS = 100_000
+#: Starts of proximity matches that are looked at together.
+STARTS = 1_000_000
 BITS = 24
 INDEX = "id {id}, rid1 long, rid2 long, n_words long, terms binary, counts binary, places binary"
 MATCHES = "rid1 long, rid2 long, spans array<struct<start:int,end:int>>, items array<string>, near array<string>"
@@ -148,7 +152,18 @@ class _Plan:
 
     def anchored(self, rank: int):
         """Windows by their rank-th rarest term: list bounds by term, windows, offsets."""
-        some = np.flatnonzero(self.size > rank)
+        return self._lists(np.flatnonzero(self.size > rank), rank)
+
+    def spared(self, near: int) -> np.ndarray:
+        """How many terms of each window a proximity match may lack."""
+        return self.size * (self.body.shape[1] - near) // self.body.shape[1]
+
+    def near_anchors(self, near: int) -> list:
+        """Lists as of `anchored` that hold, for each window, one rank more than it may lack terms."""
+        spared = self.spared(near)
+        return [self._lists(np.flatnonzero((self.size > rank) & (spared >= rank) & (spared > 0)), rank) for rank in range(spared.max(initial=0) + 1)]
+
+    def _lists(self, some: np.ndarray, rank: int):
         offset = self.order[some, rank]
         term = self.body[some, offset]
         by = np.argsort(term, kind="stable")
@@ -156,8 +171,8 @@ class _Plan:
 
 
 def _search(plan: _Plan, near: int):
-    first, second = plan.anchored(0), plan.anchored(1)
-    width = plan.body.shape[1]
+    first, width = plan.anchored(0), plan.body.shape[1]
+    anchors, spared = (plan.near_anchors(near), plan.spared(near)) if near else ([], None)
 
     def starts(term, place, doc, begin, n_words, lists):
         """Every (window, document, start) that the shifted posting lists of the anchors give."""
@@ -170,6 +185,11 @@ def _search(plan: _Plan, near: int):
         fits = (start >= 0) & (start + plan.size[win] <= n_words[doc[posting]])
         return win[fits], doc[posting][fits], start[fits]
 
+    def pieces(n):
+        """Slices of postings that give about STARTS starts each, n starts a posting."""
+        edge = np.flatnonzero(np.diff(np.cumsum(n) // STARTS, prepend=0))
+        return [slice(a, b) for a, b in zip(np.r_[0, edge], np.r_[edge, len(n)], strict=True) if b > a]
+
     def run(batches):
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
@@ -198,14 +218,18 @@ def _search(plan: _Plan, near: int):
                     agree = (plan.size[win] <= rank) | (at_place[begin[d] + start + offset] == plan.body[win, offset])
                     win, d, start = win[agree], d[agree], start[agree]
                 exact = win, d, start
-                parts = [starts(number, place, doc, begin, n_words, x) for x in (first, second)] if near else []
-                full = [plan.size[p[0]] == width for p in parts]
-                win, d, start = (np.concatenate([p[k][f] for p, f in zip(parts, full, strict=True)]) if parts else np.zeros(0, np.int64) for k in range(3))
-                agree = np.zeros(len(win), np.int8)
-                for offset in range(width):
-                    agree += at_place[begin[d] + start + offset] == plan.body[win, offset]
-                close = (agree >= near) & (agree < width)
-                out = _rows(plan, n_words, exact, (win[close], d[close]))
+                close = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+                for lists in anchors:
+                    for part in pieces(np.diff(lists[0])[number]):
+                        win, d, start = starts(number[part], place[part], doc[part], begin, n_words, lists)
+                        lacks = np.zeros(len(win), np.int8)
+                        for rank in range(width):  # from the rarest on
+                            offset = plan.order[win, rank]
+                            lacks += (plan.size[win] > rank) & (at_place[begin[d] + start + offset] != plan.body[win, offset])
+                            still = lacks <= spared[win]
+                            win, d, start, lacks = win[still], d[still], start[still], lacks[still]
+                        close.append((win[lacks > 0], d[lacks > 0]))
+                out = _rows(plan, n_words, exact, tuple(np.concatenate(x) for x in zip(*close, strict=True)))
                 if out:
                     rid = [np.asarray(_column(batch, c)) for c in ("rid1", "rid2")]
                     docs = [o[0] for o in out]

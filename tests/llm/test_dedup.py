@@ -92,6 +92,34 @@ def test_proximity(spark):
     assert got == {1: ([], ["a"]), 2: (["a"], []), 3: ([], [])}
 
 
+def test_proximity_of_all_replaced_places(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "STARTS", 7)  # starts in several pieces
+    items = [("ten", [f"w{i}" for i in range(10)]), ("twelve", [f"v{i}" for i in range(12)]), ("seven", [f"u{i}" for i in range(7)]), ("four", [f"t{i}" for i in range(4)])]
+    rows = []
+    for _, w in items:
+        for i in range(len(w)):
+            for j in range(i, len(w)):
+                for k in {j, len(w) - 1}:
+                    rows.append((len(rows), " ".join(["a", *["other" if p in (i, j, k) else x for p, x in enumerate(w)], "b"])))
+    rows += [(len(rows) + k, " ".join(w)) for k, (_, w) in enumerate(items)]
+
+    def found(text):
+        d, out = text.split(), set()
+        for name, w in items:
+            n = min(10, len(w))
+            for k in range(len(w) - n + 1):
+                kept = [sum(x == y for x, y in zip(w[k : k + n], d[s : s + n], strict=True)) for s in range(len(d) - n + 1)]
+                out |= {name for x in kept if x < n and 10 * x >= 8 * n}
+        return sorted(out)
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id string, text string")
+    got = {r["id"]: sorted(r["near"]) for r in decontam.decontaminate(docs, bench).collect()}
+    want = {i: found(t) for i, t in rows}
+    assert {x for v in want.values() for x in v} == {"ten", "twelve", "seven"}
+    assert got == want
+
+
 def test_empty_tables(docs):
     none = docs.where("false")
     assert substring_dedup.substring_dedup(none).count() == 0
