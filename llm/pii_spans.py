@@ -36,10 +36,10 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": rf"[0-9][0-9{JOIN}]{{12,}}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "email_spelled": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[(\[](?:at|AT)[)\]] ?[A-Za-z0-9-]{1,63}\.[A-Za-z]{2,24}",
+    "email_spelled": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[(\[](?:at|AT)[)\]] ?[A-Za-z0-9-]{1,63}\.[A-Za-z]{2,24}",
     "phone_local": r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "id_number": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "secret": r"(?i)\b(?:token|secret|password|api[_-]?key) ?[=:] ?\"?[A-Za-z0-9_/+-]{16,512}",
+    "secret": r"(?i)\b(?:token|secret|password|api[_-]?key) ?[=:] ?\"?[A-Za-z0-9_/+-]{16,}+",
 }
 ENDINGS = "com|org|net|edu|gov|io|info|eu|uk|de|fr|es|it|nl|ch|at"
 CODES = "1|7|20|27|3[0-469]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"

@@ -37,6 +37,14 @@ def test_classifier_adds_and_redacts(spark):
     assert got[3] == "my [SECRET]\" and mail [EMAIL] now" and got[99] == "nothing here" and got[98] is None
 
 
+def test_long_secrets_and_addresses_go_whole(spark):
+    rows = [(i, f"my token = \"{'ab12' * 8}\" and mail jo{i} (at) site.org now") for i in range(30)]
+    rows += [(98, f"my token = \"{'ab12' * 1000}\" end"), (99, f"mail {'x' * 90} (at) site.org now")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii_spans.redact(docs).collect()}
+    assert got[98] == "my [SECRET]\" end" and got[99] == "mail [EMAIL_SPELLED] now"
+
+
 def test_reliabilities_decide():
     w = pii_spans.fit([("secret", "??111", 200), ("secret", "???00", 100), ("email", "11111", 300), ("ip", "01?11", 20)])
     p = lambda kind, votes: w["bias"] + w[kind] + sum(w[n] * (1 if v == "1" else -1) for n, v in zip(pii_spans.LABELERS, votes, strict=True) if v != "?")
