@@ -258,7 +258,8 @@ def _rows(plan: _Plan, n_words: np.ndarray, exact, close) -> list:
 def search_index(index: DataFrame, bench: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW, near: int = NEAR) -> DataFrame:
     """(rid1, rid2, spans, items, near) of documents with matches: word ranges and items of exact phrases, items of proximity matches."""
     source = bench.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(text).alias("text"))
-    phrases = cut(source.mapInArrow(_phrases(window, SLICE_WORDS // 10), "item string, body binary, n long"), "phrases")
+    # distinct: items count once, and rows repeated as a whole would all fall into one slice
+    phrases = cut(source.mapInArrow(_phrases(window, SLICE_WORDS // 10), "item string, body binary, n long").distinct(), "phrases")
     total = phrases.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     found = None
     slices_n = -(-total // SLICE_WORDS)

@@ -13,23 +13,25 @@ def phrase_matches(texts: DataFrame, keywords: DataFrame, keys: list[str], text:
     """Which keywords occur in which text: (*keys, keyword columns), each pair once per text row.
 
     For lexicons too large to sit in an expression. `keywords` has a column `kw`; null and
-    empty ones match nothing. Its rows are taken in passes of a bounded number, by hash of
-    the keyword; in a pass each text runs once through an automaton of the keywords, so no
-    text leaves its task and a text costs its length, whatever the lexicon's size.
+    empty ones match nothing. Its distinct keywords are taken in passes of a bounded number, by
+    hash of the keyword; in a pass each text runs once through an automaton of the keywords, so
+    no text leaves its task and a text costs its length, whatever the lexicon's size. The rows
+    of a keyword, however many, join its hits afterwards.
     """
     usable = keywords.filter(F.col("kw") != "")
-    passes = max(1, -(-usable.count() // PASS_KEYWORDS))
+    distinct = usable.select(F.col("kw").alias("_kw")).distinct()
+    passes = max(1, -(-distinct.count() // PASS_KEYWORDS))
     found = None
     for turn in range(passes):
-        rows = usable.filter(F.pmod(F.xxhash64("kw"), F.lit(passes)) == turn).toArrow()
+        rows = distinct.filter(F.pmod(F.xxhash64("_kw"), F.lit(passes)) == turn).toArrow()
         part = _one_pass(texts, rows, keys, text)
         found = part if found is None else found.unionByName(part)
-    return found
+    return found.join(usable.withColumn("_kw", F.col("kw")), "_kw").drop("_kw")
 
 
 def _one_pass(texts: DataFrame, rows: pa.Table, keys: list[str], text: str) -> DataFrame:
     places: dict[str, list[int]] = {}
-    for i, word in enumerate(rows["kw"].to_pylist()):
+    for i, word in enumerate(rows["_kw"].to_pylist()):
         places.setdefault(word, []).append(i)
 
     @F.arrow_udf("array<int>")
@@ -38,7 +40,7 @@ def _one_pass(texts: DataFrame, rows: pa.Table, keys: list[str], text: str) -> D
         return pa.array([None if t is None else find(t) for t in column.to_pylist()], pa.list_(pa.int32()))
 
     numbered = rows.append_column("_place", pa.array(range(len(rows)), pa.int32()))
-    # at most PASS_KEYWORDS rows
+    # about PASS_KEYWORDS rows at most: keywords are distinct
     lexicon = F.broadcast(texts.sparkSession.createDataFrame(numbered))
     return texts.select(*keys, F.explode(hits(F.col(text))).alias("_place")).join(lexicon, "_place").drop("_place")
 

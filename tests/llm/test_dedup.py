@@ -120,6 +120,16 @@ def test_proximity_of_all_replaced_places(spark, monkeypatch):
     assert got == want
 
 
+def test_repeated_items_reach_the_driver_once(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(30))
+    bench = spark.createDataFrame([(None, text)] * 50 + [("b", text)], "item_id string, text string")
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    sizes, plan = [], decontam._Plan.__init__
+    monkeypatch.setattr(decontam._Plan, "__init__", lambda self, items, *rest: (sizes.append(len(items)), plan(self, items, *rest))[1])
+    assert decontam.decontaminate(docs, bench).select("n_hit", F.array_sort("items")).collect() == [(30, ["", "b"])]
+    assert sum(sizes) == 2
+
+
 def test_empty_tables(docs):
     none = docs.where("false")
     assert substring_dedup.substring_dedup(none).count() == 0

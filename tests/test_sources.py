@@ -111,3 +111,16 @@ def test_no_local_folder_on_a_cluster(monkeypatch):
 
     with pytest.raises(ValueError):
         work_folder(Session, "x")
+
+
+def test_many_rows_of_one_keyword_stay_in_the_lexicon(spark, monkeypatch):
+    from riskloom.operators import phrases
+
+    sizes, one_pass = [], phrases._one_pass
+    monkeypatch.setattr(phrases, "_one_pass", lambda texts, rows, *rest: (sizes.append(len(rows)), one_pass(texts, rows, *rest))[1])
+    texts = spark.createDataFrame([(1, "red car"), (2, "car"), (3, None)], "id long, text string")
+    lexicon = spark.createDataFrame([("car", i) for i in range(40)] + [("red", 99), ("", 7), (None, 8)], "kw string, weight int")
+    got = phrase_matches(texts, lexicon, ["id"])
+    assert got.columns == ["id", "kw", "weight"]
+    assert sorted(map(tuple, got.collect())) == sorted([(i, "car", w) for i in (1, 2) for w in range(40)] + [(1, "red", 99)])
+    assert sum(sizes) == 2
