@@ -1,20 +1,17 @@
-"""Removes byte strings of `target` bytes that start anywhere else too, by blockwise suffix sorting.
-
-The suffixes compared are cut at `target` bytes. A full suffix array of the corpus would send every
-byte position through a shuffle; here the positions are covered by a sparse sample, ranked first:
-
-* Cover sample: in each window of `target` bytes the place of its smallest `ANCHOR`-byte hash. It is
-  a difference cover by content: equal windows hold their sample point at equal offsets, for all
-  phases, with about two points per `target - ANCHOR` bytes. Consecutive windows with the same
-  sample point form a block.
-* Sample ranks: a block's whole content is hashed and ranked against all others. Where it stands
-  twice, all its windows do; that settles the inside of long copies without comparing suffixes.
-* Suffix buckets: only blocks that share their sample string with a different block remain (ends of
-  passages, places around edits), and one of each set of equal blocks beside them. Their suffixes
-  go to buckets of the key space, and a bucket is sorted alone, so its size bounds memory.
-
-Sampling by position (p mod v in D) instead would rank 1/13 of all suffixes at v = 128; by content
-it is under 1/150.
+"""Removes byte strings of `target` bytes that start anywhere else too, by fingerprints of windows.
+
+No suffix is sorted: windows of `target` bytes are equal if their 64-bit hashes are. A suffix array, or a
+hash of each window, would send every byte position through a shuffle; here windows are taken in blocks:
+
+* Anchors: in each window of `target` bytes the place of its smallest `ANCHOR`-byte hash. Equal
+  windows hold their anchor at equal offsets, with about two anchors per `target - ANCHOR` bytes.
+  Consecutive windows with the same anchor form a block.
+* Blocks: a block's whole content is hashed. Where the hash occurs twice, all its windows do; that
+  settles the inside of long copies without looking at single windows.
+* Single windows: only blocks that share their anchor string with a different block remain (ends of
+  passages, places around edits), and one of each set of equal blocks beside them. The hashes of
+  their windows go to buckets by bits of the hash, and a bucket is sorted alone, so its size bounds
+  memory.
 
 Handled cases: null and empty texts have no bytes; texts shorter than `target` keep all; repeated
 rows are separate documents; null and repeated ids stay a row per row; other columns are not looked
