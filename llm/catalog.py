@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from llm import decontam, jaccard_join, license_scan, mixing, pii_spans, quality, substring_dedup, suffix_dedup, toxicity, vector_forest
+from llm import collocations, decontam, jaccard_join, license_scan, mixing, packing, pii_spans, quality, substring_dedup, suffix_dedup, toxicity, vector_codes, vector_forest
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_decontamination": decontam.op8_decontamination,
     "op9_vector_forest": vector_forest.op9_vector_forest,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_packing": packing.op11_packing,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 ORACLES = {
     "op1_mixing": mixing.ORACLE,
     "op7_substring_dedup": substring_dedup.ORACLE,
     "op8_decontamination": decontam.ORACLE,
+    "op12_vector_codes": vector_codes.ORACLE,
+    "op13_collocations": collocations.ORACLE,
 }

@@ -1,6 +1,8 @@
 """Plain Python versions of the operators, over lists of rows; each row is a document of its own."""
 
+import bisect
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -141,3 +143,64 @@ def licences(rows):
         f = [(k, name) for p, name in PHRASES.items() for k in range(len(w)) if tuple(w[k : k + len(p)]) == p]
         out.append((i, len(w), len(f), min((x for x, _ in f), default=None), max((x for x, _ in f), default=None), ",".join(sorted({x for _, x in f}))))
     return out
+
+
+def phrases(rows, least=30, top=2000):
+    """rows of (lang, text)."""
+    f, n = Counter(), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(text)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            f.update((lang, *w[i : i + k]) for k in (1, 2, 3, 4) for i in range(len(w) - k + 1))
+    best = defaultdict(list)
+    cands = [p for p, c in f.items() if c >= least and len(p) > 2]
+    around = defaultdict(int)
+    for p in cands:
+        for k in range(2, len(p) - 1):
+            for i in range(1, len(p) - k + 1):
+                around[(p[0], *p[i : i + k])] = max(around[(p[0], *p[i : i + k])], f[p])
+    for p in cands:
+        a = f[p]
+        if 100 * around.get(p, 0) >= 80 * a:
+            continue
+        cuts = [(2000000 * a // (f[p[: k + 1]] + f[(p[0], *p[k + 1 :])]), k) for k in range(1, len(p) - 1)]
+        score, k = min(cuts)
+        best[p[0]].append((-score, -a, " ".join(p[1:]).encode(), f[p[: k + 1]], f[(p[0], *p[k + 1 :])]))
+    return [(lang, rank, ph.decode(), -a, left, right, n[lang], -s) for lang, x in best.items() for rank, (s, a, ph, left, right) in enumerate(sorted(x)[:top], 1)]
+
+
+def codes(rows, parts=16, entries=64, rounds=2):
+    """rows of (vec_id, vector, label), all of one width; ids not null."""
+    kept = [(i, [math.floor(256 * x) for x in v], y) for i, v, y in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    if not kept:
+        return []
+    step = len(kept[0][1]) // parts
+    cut = lambda v, p: v[p * step : (p + 1) * step]
+    first = sorted(kept, key=lambda r: (r[0], r[1]))[:entries]
+    books = [[cut(v, p) for _, v, _ in first] for p in range(parts)]
+    near = lambda x, book: min((sum((a - b) ** 2 for a, b in zip(x, e, strict=True)), k) for k, e in enumerate(book))
+    for _ in range(rounds):
+        for p in range(parts):
+            mine = defaultdict(list)
+            for _, v, _ in kept:
+                mine[near(cut(v, p), books[p])[1]].append(cut(v, p))
+            books[p] = [[sum(c) // len(c) for c in zip(*mine[k], strict=True)] if k in mine else e for k, e in enumerate(books[p])]
+    out, by_label = [], Counter()
+    for i, v, y in kept:
+        found = [near(cut(v, p), books[p]) for p in range(parts)]
+        out.append((i, "".join(f"{k:02x}" for _, k in found), sum(d for d, _ in found), y))
+        by_label[y] += out[-1][2]
+    digest = sha(",".join(str(c) for book in books for e in book for c in e))
+    return [(i, c, e, by_label[y], digest) for i, c, e, y in out]
+
+
+def best_fit(lengths, capacity):
+    """Sequences that best-fit decreasing needs."""
+    rooms, n = [], 0
+    for x in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(rooms, x)
+        n += at == len(rooms)
+        bisect.insort(rooms, (rooms.pop(at) if at < len(rooms) else capacity) - x)
+    return n
