@@ -49,8 +49,8 @@ CAPACITY, END_ID, TOKENIZER = 4096, 1, "word_bpe_49k.json"
 GROUPS, SMALL_PARTS, NEAR = 128, (3, 4, 8), 1.0005
 #: Pieces of one length are numbered in buckets of about so many.
 BUCKET = 4096
-#: Distinct chunks a task keeps the ids of.
-CHUNKS = 500_000
+#: Distinct chunks a task keeps the ids of, and how many are tokenised at a time; bytes of texts at a time.
+CHUNKS, AT_ONCE, SLICE = 200_000, 8192, 1 << 21
 #: Configurations that column generation tries at most; fewer only make the plan less tight.
 TURNS = 3000
 
@@ -81,13 +81,15 @@ class ChunkTokenizer:
         coded = chunks.flatten().dictionary_encode()
         known = pc.index_in(coded.dictionary, value_set=self.seen)
         new = coded.dictionary.filter(pc.is_null(known))
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast(new.to_pylist(), add_special_tokens=False)]
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
+        ids, size = [self.ids], [self.count]
+        for lo in range(0, len(new), AT_ONCE):
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(new.slice(lo, AT_ONCE).to_pylist(), add_special_tokens=False)]
+            size.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+            ids.append(np.fromiter(chain.from_iterable(lists), np.uint32, int(size[-1].sum())))
         place = np.asarray(known.fill_null(-1)).astype(np.int64)
         place[place < 0] = len(self.seen) + np.arange(len(new))
         self.seen = pa.concat_arrays([self.seen, new])
-        self.ids = np.r_[self.ids, np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum()))]
-        self.count = np.r_[self.count, size]
+        self.ids, self.count = np.concatenate(ids), np.concatenate(size)
         first = np.cumsum(self.count) - self.count
         at = place[np.asarray(coded.indices)]
         n = self.count[at]
@@ -99,7 +101,7 @@ def _tokenise(path: str, capacity: int, end_id: int, schema: pa.Schema):
     def run(batches):
         tokens = ChunkTokenizer(path)
         for batch in batches:
-            for s in slices(batch["text"]):
+            for s in slices(batch["text"], SLICE):
                 texts = batch["text"].slice(s.rows[0], len(s.rows))
                 ids, edge = tokens(texts)
                 row, piece, start, size, crc, part = [], [], [], [], [], []
