@@ -36,7 +36,7 @@ from llm.textkernel import CHUNK, WINDOW, Poly, U, Words, mix, slices, words
 
 LONGEST, LEAST, TOP, SHARE = 4, 30, 2000, 80
 COUNTERS, BUCKET_BITS, MAP_BITS = 1 << 20, 20, 27
-FLUSH = 1 << 22
+FLUSH = 1 << 21
 OTHER = Poly(59)
 OTHER_WINDOW = Poly(61)
 
