@@ -49,8 +49,8 @@ CAPACITY, END_ID, TOKENIZER = 4096, 1, "word_bpe_49k.json"
 GROUPS, SMALL_PARTS, NEAR = 128, (3, 4, 8), 1.0005
 #: Pieces of one length are numbered in buckets of about so many.
 BUCKET = 4096
-#: Distinct chunks a task keeps the ids of, and how many are tokenised at a time; bytes of texts at a time.
-CHUNKS, AT_ONCE, SLICE = 200_000, 8192, 1 << 21
+#: Distinct chunks a task keeps the ids of, and how many are tokenised at a time; bytes of texts taken together.
+CHUNKS, AT_ONCE, SLICE = 1_000_000, 8192, 1 << 23
 #: Configurations that column generation tries at most; fewer only make the plan less tight.
 TURNS = 3000
 
