@@ -7,6 +7,9 @@ bounded by the number of buckets. The answers are packed the same way by documen
 Keys that repeat inside one task are settled there: the task sends one copy of the key, marked
 as known to repeat, and answers its documents itself. A key that a third of all documents hold
 thus reaches its bucket once per task and not once per document.
+
+Buckets, and the slots that answers are packed into, are as many as the bytes of the texts ask for, whatever
+the number of partitions; a packed row holds at least one key or answer.
 """
 
 from __future__ import annotations
@@ -19,10 +22,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.shared import parts
 
 U = np.uint64
 FLUSH = 1_000_000
+#: Bytes of texts (or of sets) whose keys make a bucket.
+BUCKET_BYTES = 16 << 20
 PACKED = "kind int, slot int, ids binary, n binary, pos binary, key binary, extra binary, known binary"
 ANSWER = "slot int, flag int, ids binary, n binary, pos binary"
 HIT, OPEN = 0, 1
@@ -152,9 +156,18 @@ class _Buffer:
             yield out
 
 
+def buckets_of(rows: DataFrame, column: str = "text", weight: int = 1) -> int:
+    """How many buckets the keys of these rows need; weight: how dense the keys are, 1 for a few to each word."""
+    size = rows.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return int(size) * weight // BUCKET_BYTES + 1
+
+
 def packed(rows: DataFrame, emit: Callable, buckets: int, blocks: bool, least: int = 2) -> DataFrame:
-    """emit(batch) yields (ids, doc, pos, key, extra): arrays of one slice of texts, by document and position."""
-    slots = parts(rows.sparkSession)
+    """emit(batch) yields (ids, doc, pos, key, extra): arrays of one slice of texts, by document and position.
+
+    There are as many slots as buckets.
+    """
+    slots = buckets
 
     def run(batches):
         buffer = _Buffer(buckets, slots, blocks, least)
@@ -193,8 +206,7 @@ def _table(rows: list, schema: str) -> pa.Table:
 
 def find_repeats(rows: DataFrame, emit: Callable, buckets: int | None = None) -> DataFrame:
     """(rid1, rid2, hit): the positions, as packed uint32, whose key occurs anywhere else too."""
-    n = buckets or 2 * parts(rows.sparkSession)
-    slots = parts(rows.sparkSession)
+    n = slots = buckets or buckets_of(rows)
 
     def settle(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         if key[0].as_py() == 1:
@@ -212,8 +224,7 @@ def find_blocks(rows: DataFrame, emit: Callable, buckets: int | None = None) ->
     hit: the block occurs anywhere else too. open: the block's anchor also stands in a different
     block, so single windows must be compared; of equal blocks, one is enough and only that is asked.
     """
-    n = buckets or 2 * parts(rows.sparkSession)
-    slots = parts(rows.sparkSession)
+    n = slots = buckets or buckets_of(rows)
 
     def settle(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         if key[0].as_py() == 1:
@@ -285,8 +296,7 @@ def find_classes(rows: DataFrame, emit: Callable, cap: int = 6, buckets: int | N
 
     A key seen 2^cap times inside one task has class cap, so its other holders need not be sent.
     """
-    n = buckets or 2 * parts(rows.sparkSession)
-    slots = parts(rows.sparkSession)
+    n = slots = buckets or buckets_of(rows, "items")
     kinds = "slot int, flag int, ids binary, n binary, pos binary"
 
     def classes(key: np.ndarray, known: np.ndarray) -> np.ndarray:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.repeats import find_blocks, find_repeats, loose, minimum_of, rids
+from llm.repeats import buckets_of, find_blocks, find_repeats, loose, minimum_of, rids
 from llm.shared import arrow_schema, cut, keyed
 from llm.textkernel import U, Poly, Slice, mix, runs, slices, span_lists
 
@@ -148,7 +148,8 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ta
     found = find_blocks(rows, _emit_blocks(target, anchor)).drop("hits")
     rows = cut(rows.join(found, ["rid1", "rid2"], "left"), "blocks")
     touched = rows.where("hit is not null or open is not null")
-    found = find_repeats(touched.where("open is not null"), _emit_suffixes(target, anchor)).drop("hits").withColumnRenamed("hit", "suffix")
+    asked = touched.where("open is not null")
+    found = find_repeats(asked, _emit_suffixes(target, anchor), buckets_of(asked, weight=4)).drop("hits").withColumnRenamed("hit", "suffix")
     done = rows.where("hit is null and open is null").withColumn("suffix", F.lit(None).cast("binary"))
     rows = touched.join(found, ["rid1", "rid2"], "left").unionByName(done)
     result = RESULT.format(id=rows.schema["id"].dataType.simpleString())

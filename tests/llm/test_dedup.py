@@ -4,7 +4,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from llm import decontam, jaccard_join, repeats, substring_dedup, suffix_dedup
+from llm import decontam, jaccard_join, repeats, shared, substring_dedup, suffix_dedup
 
 
 def sha(c):
@@ -138,3 +138,25 @@ def test_empty_tables(docs):
     bench = docs.select(F.col("doc_id").alias("item_id"), "text").where("false")
     assert decontam.decontaminate(none, bench).count() == 0
     assert decontam.decontaminate(docs, bench).where("n_hit > 0").count() == 0
+
+
+def test_answer_rows_do_not_follow_the_partitions(spark, data, monkeypatch):
+    """Packed answers are as many at 8 and at 128 shuffle partitions."""
+    docs = shared.keyed(spark.read.parquet(f"{data}/documents.parquet"), "doc_id", "text")
+    monkeypatch.setattr(repeats, "BUCKET_BYTES", 1 << 17)
+    made, gathered = [], repeats.gathered
+
+    def counting(answers):
+        made.append(answers.count())
+        return gathered(answers)
+
+    monkeypatch.setattr(repeats, "gathered", counting)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (8, 32, 128):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            hits = repeats.find_repeats(docs, jaccard_join._emit_sample(5, 80)).agg({"hits": "sum"}).first()[0]
+            assert hits > 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert max(made) <= 2 * min(made) and min(made) > 0
