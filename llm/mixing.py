@@ -10,7 +10,8 @@ Rates above `STEP` are drawn as sums of independent smaller draws, so no rate is
 Handled cases: null sources are a source of their own; a null id is replaced by a hash of the text;
 rows repeated with the same id get the same number of copies; null and empty texts count no
 characters, and a source without any is kept once per document; sources missing from given weights
-have weight 0. Input columns that are named like an added one get the suffix _in.
+have weight 0, and if no source with characters has a weight, none of their documents is copied. Input columns
+that are named like an added one get the suffix _in.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ def rates(docs: DataFrame, source: str = "source", text: str = "text", weights:
     Targets are `weights` by source (any scale), or else the source's characters to the given power,
     which lifts small sources. The output has `epochs` times the input's characters in the mean.
     """
-    size = docs.groupBy(_key(F.col(source)).alias("source_key")).agg(F.sum(F.coalesce(F.length(text), F.lit(0))).alias("chars"))
+    size = docs.groupBy(_key(F.col(source)).alias("source_key")).agg(F.sum(F.coalesce(F.length(F.col(text)), F.lit(0))).alias("chars"))
     if weights is None:
         weight = F.pow(F.col("chars").cast("double"), F.lit(power))
     else:
@@ -44,7 +45,10 @@ def rates(docs: DataFrame, source: str = "source", text: str = "text", weights:
     size = size.withColumn("weight", F.when(F.col("chars") > 0, weight).otherwise(0.0))
     size = cut(size, "sizes")  # a row for each source
     total = size.agg(F.sum("chars").alias("chars"), F.sum("weight").alias("weight")).first()
-    rate = F.col("weight") / F.lit(total["weight"]) * epochs * F.lit(total["chars"]) / F.col("chars")
+    if not total["weight"]:  # no source with characters has a weight
+        rate = F.lit(0.0)
+    else:
+        rate = F.col("weight") / F.lit(total["weight"]) * epochs * F.lit(total["chars"]) / F.col("chars")
     return size.select("source_key", F.when(F.col("chars") > 0, rate).alias("rate"))
 
 
@@ -67,16 +71,18 @@ def _cdf(rate: Column) -> Column:
 def mix_sources(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: int = SEED, weights: dict[str, float] | None = None, power: float = POWER, epochs: float = EPOCHS) -> DataFrame:
     """The rows of docs, each repeated by its drawn count, in a random order (by partition, then order_key)."""
     rate = rates(docs, source, text, weights, power, epochs).select("source_key", "rate", F.greatest(F.lit(1), F.ceil(F.col("rate") / STEP)).cast("int").alias("draws"))
-    table = rate.select("source_key", "rate", "draws", F.when(F.col("rate").isNotNull(), _cdf(F.col("rate") / F.col("draws"))).alias("cdf"))
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"{c}_in" if c in ADDED else c) for c in docs.columns])
-    rows = rows.withColumns({"__source": _key(F.col(source)), "__id": F.coalesce(F.concat(F.lit("i"), F.col(doc_id).cast("string")), F.concat(F.lit("t"), F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "utf-8"))))})
-    rows = rows.join(small(table.withColumnRenamed("source_key", "__source")), "__source")
-    one = lambda j: F.size(F.filter("cdf", lambda c: c <= _number(F.concat_ws("|", F.lit(str(seed)), "__id", j.cast("string")), 13) / F.lit(float(1 << 52))))
+    table = rate.select("source_key", "draws", F.when(F.col("rate").isNotNull(), _cdf(F.col("rate") / F.col("draws"))).alias("cdf"))
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    key = F.coalesce(F.concat(F.lit("i"), F.col(doc_id).cast("string")), F.concat(F.lit("t"), F.md5(F.encode(body, "utf-8"))))
+    whole = F.struct(*[F.col(f"`{c}`").alias(f"{c}_in" if c in ADDED else c) for c in docs.columns])  # whatever columns are called
+    rows = docs.select(_key(F.col(source)).alias("source_key"), key.alias("key"), whole.alias("row"))
+    rows = rows.join(small(table), "source_key")
+    one = lambda j: F.size(F.filter("cdf", lambda c: c <= _number(F.concat_ws("|", F.lit(str(seed)), "key", j.cast("string")), 13) / F.lit(float(1 << 52))))
     drawn = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("draws")), one), F.lit(0), lambda a, n: a + n)
     rows = rows.withColumn("n_copies", F.when(F.col("cdf").isNull(), F.lit(1)).otherwise(drawn)).where("n_copies > 0")
     rows = rows.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    rows = rows.withColumn("order_key", _number(F.concat_ws("|", F.lit(str(seed)), "__id", F.lit("copy"), F.col("copy_no").cast("string")), 15))
-    rows = rows.drop("__source", "__id", "rate", "draws", "cdf")
+    rows = rows.withColumn("order_key", _number(F.concat_ws("|", F.lit(str(seed)), "key", F.lit("copy"), F.col("copy_no").cast("string")), 15))
+    rows = rows.select("row.*", "n_copies", "copy_no", "order_key")
     return rows.repartition(parts(docs.sparkSession), "order_key").sortWithinPartitions("order_key")
 
 

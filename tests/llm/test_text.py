@@ -1,5 +1,6 @@
 """Personal data, licences, scores and mixing."""
 
+import binascii
 import math
 import random
 import re
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from llm import license_scan, mixing, pii_spans, quality, toxicity
+from llm import license_scan, mixing, pii_spans, quality, samples, toxicity
 from llm.textkernel import ALNUM, Poly, slices, words
 
 
@@ -181,3 +182,62 @@ def test_mixing_odd_rows(docs):
     out = mixing.mix_sources(docs, epochs=3.0)
     assert "copy_no_in" in out.columns and out.where("order_key is null").isEmpty()
     assert mixing.mix_sources(docs.where("false")).count() == 0
+
+
+def test_mixing_with_any_column_names(spark):
+    names = ["rate", "draws", "cdf", "__source", "__id", "source_key", "key", "row", "weight", "chars", "n_copies"]
+    docs = spark.createDataFrame([(i, "x" * 9, "a", *range(len(names))) for i in range(20)], f"doc_id long, text string, source string, {', '.join(f'`{n}` int' for n in names)}")
+    out = mixing.mix_sources(docs, epochs=5.0)
+    assert out.columns == ["doc_id", "text", "source", *names[:-1], "n_copies_in", "n_copies", "copy_no", "order_key"]
+    assert [tuple(r[n] for n in names[:-1]) for r in out.limit(1).collect()] == [tuple(range(len(names) - 1))]
+    plain = mixing.mix_sources(docs.select("doc_id", "text", "source"), epochs=5.0)
+    assert sorted(r[:] for r in out.select("doc_id", "copy_no").collect()) == sorted(r[:] for r in plain.select("doc_id", "copy_no").collect())
+
+
+def test_mixing_weights_of_absent_sources(spark):
+    docs = spark.createDataFrame([(1, "x", "a"), (2, "y", "b"), (3, "", "c")], "doc_id long, text string, source string")
+    assert [r["doc_id"] for r in mixing.mix_sources(docs, weights={"z": 1.0}).collect()] == [3]
+    assert [r["doc_id"] for r in mixing.mix_sources(docs, weights={}).collect()] == [3]
+
+
+def test_many_grades(spark):
+    rng = random.Random(8)
+    text = lambda g: " ".join("good" if rng.random() < g / 100 else rng.choice("abcdefghijk") * 3 for _ in range(40))
+    rows = [(i, text(i % 300 / 3), i % 300 / 3) for i in range(1500)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, g) for i, _, g in rows] + [(2, float("nan")), (3, None)], "doc_id long, quality double")
+    sample = samples.graded_sample(docs, labels, "quality", rows=900).collect()
+    assert len(sample) == 900 and len({r["y"] for r in sample}) >= 290
+    model = quality.train(docs, labels)
+    assert len(model.grades) == quality.LEVELS and (np.diff(model.cuts) > 0).all()
+    got = {r["id"]: r["expected"] for r in quality.grades(docs, model).collect()}
+    unseen = [(got[i], g) for i, _, g in rows if binascii.crc32(str(i).encode()) % 5 == 0]
+    assert np.corrcoef(np.array(unseen).T)[0, 1] > 0.9
+    high = {r["id"]: r["tail"] for r in quality.grades(docs, model, wanted=50.5).collect()}
+    assert np.mean([(high[i] >= 0.5) == (g >= 50.5) for i, _, g in rows]) > 0.85
+
+
+def test_likelihood_against_brute_force():
+    """The fitted thresholds and weights leave no better likelihood near by; expected grades are sums over grades."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["good", "bad"][:: 1 if k == 2 else -1] + ["so"] * k + ["la"]) for _ in range(12)) for k in [0, 1, 2] * 60]
+    y = np.array([0.0, 1.0, 4.0] * 60)
+    model = quality.fit(pa.array(texts), y, ridge=0.0, steps=600)
+    whole = next(iter(slices(pa.array(texts))))
+    tokens = quality._tokens(whole)
+
+    def chances(cuts):
+        f = quality._linear(model.weight, *tokens)
+        up = [[1.0] + [1 / (1 + math.exp(-(x - c))) for c in cuts] + [0.0] for x in f]
+        return [[a - b for a, b in zip(u[:-1], u[1:], strict=True)] for u in up]
+
+    def loss(cuts):
+        return -sum(math.log(p[{0.0: 0, 1.0: 1, 4.0: 2}[g]]) for p, g in zip(chances(cuts), y.tolist(), strict=True))
+
+    best = loss(model.cuts)
+    for step in ((0.3, 0), (-0.3, 0), (0, 0.3), (0, -0.3), (0.3, 0.3), (-0.3, -0.3)):
+        assert loss(model.cuts + np.array(step)) > best - 0.5
+    got = quality._grade(model, pa.schema([("id", pa.int64()), ("expected", pa.float64()), ("tail", pa.float64())]), None)
+    batch = next(got([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])]))
+    want = [p[1] + 4 * p[2] for p in chances(model.cuts)]
+    assert np.allclose(batch["expected"], want) and np.allclose(batch["tail"], [p[2] for p in chances(model.cuts)])
