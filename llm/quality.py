@@ -6,6 +6,9 @@ selection, the probability of reaching a wanted grade. x holds, for three kinds
 (the word, its last two bytes, its length with its first byte), the share of each bucket, and the
 text's length class. Thresholds are kept in order by adding exponentials.
 
+At most `LEVELS` grades get a threshold each; of more, neighbours are merged at quantiles of the training
+rows, and a merged grade counts as the mean of its rows.
+
 Handled cases: null and empty texts have no tokens and are graded by the thresholds and the length
 class alone; one grade only, or none, in the sample gives every text that grade (or null); repeated
 rows grade alike; null ids are graded and are never in the test fold. Only the text is an input.
@@ -20,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.samples import PER_CLASS, fitted, labelled_sample
+from llm.samples import PER_CLASS, fitted, graded_sample
 from llm.shared import arrow_schema, held_out
 from llm.textkernel import NON_SPACE, U, Slice, mix, slices, words
 
-BITS, KINDS, LENGTHS = 16, 3, 24
+BITS, KINDS, LENGTHS, LEVELS = 16, 3, 24, 32
 
 
 @dataclass
@@ -32,6 +35,7 @@ class Model:
     weight: np.ndarray  # KINDS x 2^BITS, then a weight for each length class
     cuts: np.ndarray
     grades: np.ndarray
+    floors: np.ndarray  # the smallest label of each grade
 
 
 def _tokens(s: Slice) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -55,10 +59,13 @@ def _linear(weight: np.ndarray, kinds, offsets, length) -> np.ndarray:
 
 def fit(texts: pa.Array, y: np.ndarray, steps: int = 150, ridge: float = 1e-4) -> Model:
     weight = np.zeros((KINDS << BITS) + LENGTHS)
-    grades = np.unique(y)
+    floors = np.unique(y)
+    if len(floors) > LEVELS:
+        floors = np.unique(np.quantile(y, np.arange(LEVELS) / LEVELS, method="lower"))
+    k = np.searchsorted(floors, y, "right") - 1
+    grades = np.bincount(k, y, len(floors)) / np.bincount(k, minlength=len(floors)) if len(floors) else floors
     if len(grades) < 2:
-        return Model(weight, np.zeros(0), grades)
-    k = np.searchsorted(grades, y)
+        return Model(weight, np.zeros(0), grades, floors)
     parts = [_tokens(s) for s in slices(texts)]
     kinds = [np.concatenate([p[0][i] for p in parts]) for i in range(KINDS)]
     offsets = np.r_[0, np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))]
@@ -91,14 +98,14 @@ def fit(texts: pa.Array, y: np.ndarray, steps: int = 150, ridge: float = 1e-4) -
         square_cut += grad_raw**2
         weight += 1.0 * grad / np.sqrt(square)
         raw += 0.1 * grad_raw / np.sqrt(square_cut)
-    return Model(weight, raw[0] + np.r_[0, np.cumsum(np.exp(raw[1:]))], grades)
+    return Model(weight, raw[0] + np.r_[0, np.cumsum(np.exp(raw[1:]))], grades, floors)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", per_class: int = PER_CLASS) -> Model:
-    return Model(**fitted(labelled_sample(docs, labels, label, doc_id, text, per_class), fit))
+    return Model(**fitted(graded_sample(docs, labels, label, doc_id, text, 2 * per_class), fit, pa.float64()))
 
 
-def _grade(m: Model, schema: pa.Schema, wanted: int | None):
+def _grade(m: Model, schema: pa.Schema, wanted: float | None):
     def run(batches):
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("id"))
@@ -111,14 +118,14 @@ def _grade(m: Model, schema: pa.Schema, wanted: int | None):
                     f = _linear(m.weight, *_tokens(s))
                     p = 1 / (1 + np.exp(-np.clip(f[:, None] - m.cuts, -30, 30)))
                     expected = pa.array(m.grades[0] + p @ np.diff(m.grades).astype(float))
-                    reach = len(m.grades) - 1 if wanted is None else int(np.searchsorted(m.grades, wanted))
+                    reach = len(m.grades) - 1 if wanted is None else int(np.searchsorted(m.floors, wanted))
                     tail = pa.array(np.c_[np.ones(n), p, np.zeros(n)][:, min(reach, len(m.grades))])
                 yield pa.RecordBatch.from_arrays([ids.slice(s.rows[0], n), expected, tail], schema=schema)
 
     return run
 
 
-def grades(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", wanted: int | None = None) -> DataFrame:
+def grades(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", wanted: float | None = None) -> DataFrame:
     """(id, expected, tail): expected grade, and the probability of at least the wanted (else the highest) grade."""
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     result = f"id {rows.schema['id'].dataType.simpleString()}, expected double, tail double"
