@@ -667,5 +667,6 @@ select event_id, (v % 256)::int as b256, (v % 100)::int as b100, (v % 1024)::int
         f"select call_id, {STAMP.format('window_start')}, risk_level, {r3('raw_score')} as risk_score, fraud_type from wlevel", WIN
     ),
     "risk_escalation_partitioned": sql(f"select call_id, {STAMP.format('window_start')}, risk_level, fraud_type from walert", WIN),
+    "stream_alerts_partitioned": sql(f"select call_id, {STAMP.format('window_start')}, risk_level, fraud_type from walert", WIN),
     "similar_documents": sql("select conv_id, turn, doc_id, round(cosine, 6) as cosine from conversations join near_docs using (text)", NEAR_DOCS),
 }

@@ -707,6 +707,26 @@ def stream_alerts(spark, folder):
     return done.select("call_id", stamp("window_start"), "risk_level", "fraud_type")
 
 
+def stream_alerts_partitioned(spark, folder, parts=3):
+    """Alerts of the calls by the two-stage stream, against a case table beyond the bound.
+
+    The calls arrive in `parts` pieces of time; after each, the stream is started anew and goes on.
+    """
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.ROCKSDB)
+    cases, calls = stored(spark, folder).read(), derived.calls(spark, folder).select("call_id", "utt_id", "ts", "text")
+    first, last = calls.agg(F.min("ts"), F.max("ts")).first()
+    source, out = work_folder(spark, "calls"), work_folder(spark, "alerts")
+    flush = spark.sql("select -1L as call_id, -1L as utt_id, cast(timestamp_ntz '2100-01-01 00:00:00' as timestamp) as ts, '' as text")
+    for i in range(parts + 1):
+        edge = lambda k: F.lit(first) + F.expr(f"interval {k} seconds")
+        step = int((last - first).total_seconds()) // parts + 1 if first else 1
+        piece = calls.where((F.col("ts") >= edge(i * step)) & (F.col("ts") < edge((i + 1) * step))) if i < parts else flush
+        piece.write.mode("append").parquet(source)
+        stream = spark.readStream.schema("call_id bigint, utt_id bigint, ts timestamp, text string").parquet(source)
+        done = live.alert_stream(live.transcript_windows(stream, WINDOW, SLIDE, late=WINDOW), cases, out, BEYOND)
+    return done.select("call_id", stamp("window_start"), "risk_level", "fraud_type")
+
+
 QUERIES = {
     "src_articles": src_articles,
     "src_seed_sources": src_seed_sources,
@@ -788,5 +808,6 @@ QUERIES = {
     "stream_alerts": stream_alerts,
     "stream_detect_partitioned": stream_detect_partitioned,
     "risk_escalation_partitioned": risk_escalation_partitioned,
+    "stream_alerts_partitioned": stream_alerts_partitioned,
     "similar_documents": similar_documents,
 }

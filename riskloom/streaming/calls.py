@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..lexicon import DEFAULT, Lexicon
@@ -13,6 +13,7 @@ from ..operators.alerts import KEEP_MS
 from ..operators.similar import TopKOptions, resident_scorer, resident_snapshot
 from ..plans.detect import NO_JUDGE, RESULT, RESULT_INFO, assess, detect, valid_transcripts, with_rule_score, with_vector
 from ..schemas import RiskOptions
+from .batches import BatchTable
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -48,15 +49,15 @@ def score_windows(
     """Risk result of every window. A table of windows is scored against cases of any size.
 
     A stream is scored inside its plan, against a snapshot of the case table taken at its
-    start; that takes a case table within the resident bound. `score_stream` runs a stream
-    against cases of any size, one micro-batch at a time.
+    start; that takes a case table within the resident bound. `score_stream` and `alert_stream`
+    run a stream against cases of any size, one micro-batch at a time.
     """
     if not windows.isStreaming:
         found = detect(windows, cases, "call_id", lexicon=lexicon, options=options, topk=topk)
         return found.select(*windows.columns, *RESULT)
     snapshot = resident_snapshot(cases, RESULT_INFO, topk)
     if snapshot is None:
-        raise ValueError("case table exceeds the resident bound: use score_stream")
+        raise ValueError("case table exceeds the resident bound: use score_stream or alert_stream")
     scorer = resident_scorer(windows.sparkSession, snapshot, cases, options.top_k, RESULT_INFO, topk)
     said, _ = valid_transcripts(windows)
     scored = with_vector(with_rule_score(said, lexicon), options).withColumn("similar", scorer(F.col("vec")))
@@ -139,14 +140,43 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str):
 def score_stream(
     windows: DataFrame, cases: DataFrame, path: str, checkpoint: str, columns: list[str] = ALERT_COLUMNS, topk: TopKOptions = TopKOptions()
 ) -> DataFrame:
-    """Score a stream of windows against a case table of any size into a Parquet table at `path`.
+    """Score a stream of windows against a case table of any size into a table at `path`.
 
-    Every micro-batch is a table of its own and takes the same route as a batch. It has its own
-    folder, which a repeated batch overwrites, so a restart leaves no row twice. Returns the table.
+    Every micro-batch is a table of its own and takes the same route as a batch. It is stored
+    whole or not at all, and a repeated one is not stored again. Returns the table.
     """
+    return _scored_batches(windows, cases, path, checkpoint, columns, topk).read()
+
+
+def _scored_batches(windows: DataFrame, cases: DataFrame, path: str, checkpoint: str, columns: list[str], topk: TopKOptions) -> BatchTable:
+    spark = windows.sparkSession
+    shape = score_windows(spark.createDataFrame([], windows.schema), cases, topk=topk).select(*columns).schema
+    table = BatchTable(spark, path, shape)
 
     def write(batch: DataFrame, number: int) -> None:
-        score_windows(batch, cases, topk=topk).select(*columns).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        table.add_streamed(number, batch, lambda df: score_windows(df, cases, topk=topk))
+
+    _run(windows.writeStream.foreachBatch(write), checkpoint)
+    return table
+
 
-    windows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return windows.sparkSession.read.parquet(path).select(*columns)
+def _run(writer, checkpoint: str) -> None:
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def alert_stream(windows: DataFrame, cases: DataFrame, path: str, topk: TopKOptions = TopKOptions(), keep_ms: int = KEEP_MS) -> DataFrame:
+    """Rise alerts of a stream of windows, against a case table of any size; returns their table.
+
+    Two queries follow each other. The first scores micro-batches as tables into numbered batches; a call's
+    windows close in the order of their ends, so batches are in the order of time. The second streams those
+    batches, each one whole, through the state that holds the last level of each call. Both have their
+    checkpoints under `path`, so calling this again goes on where it stopped and repeats nothing. A case table
+    within the resident bound could be scored inside one query (`score_windows`, `rise_alerts`) with the same
+    alerts.
+    """
+    scored = _scored_batches(windows, cases, f"{path}/scored", f"{path}/scored-checkpoint", ALERT_COLUMNS, topk)
+    shape = T.StructType.fromDDL(ALERT)
+    found = BatchTable(windows.sparkSession, f"{path}/alerts", shape)
+    rising = rise_alerts(scored.stream().withWatermark("window_end", "0 seconds"), keep_ms)
+    _run(rising.writeStream.outputMode("append").foreachBatch(lambda batch, number: found.add_streamed(number, batch) and None), f"{path}/alerts-checkpoint")
+    return found.read()

@@ -1,9 +1,11 @@
+import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators.alerts import rises
 from riskloom.plans import catalog
 from riskloom.session import work_folder
 from riskloom.streaming import calls as live
+from riskloom.streaming.batches import BatchTable
 
 
 def test_rises_across_spans_and_calls(spark):
@@ -45,3 +47,59 @@ def test_silence_ends_a_call_however_the_stream_is_cut(spark):
         stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(path).withWatermark("window_end", "1 minute")
         live.run_to_table(live.rise_alerts(stream), out, work_folder(spark, "gap-mark"))
         assert rows_of(spark.read.schema(shape).parquet(out).select("call_id", "window_start")) == want
+
+
+def test_two_stage_alerts_over_pieces_and_restarts(spark, data):
+    """Four micro-batches of either stage, each after a restart, give what the table plan gives."""
+    assert rows_of(catalog.stream_alerts_partitioned(spark, data)) == rows_of(catalog.risk_escalation(spark, data))
+
+
+def test_batches_appear_whole_and_once(spark):
+    table = BatchTable(spark, work_folder(spark, "batches"), spark.range(1).schema)
+    assert table.read().collect() == [] and table.numbers() == []
+    assert table.add(0, lambda: spark.range(3)) and table.add(2, lambda: spark.range(5, 7))
+    assert not table.add(0, lambda: spark.range(100))  # a repeated micro-batch
+
+    def lost():
+        def fail(batches):
+            yield from batches
+            raise RuntimeError("lost")
+
+        return spark.range(50, 60).mapInArrow(fail, "id long")
+
+    with pytest.raises(Exception, match="lost"):
+        table.add(3, lost)
+    assert table.numbers() == [0, 2] and rows_of(table.read()) == rows_of(spark.createDataFrame([(i,) for i in (0, 1, 2, 5, 6)], "id long"))
+    assert table.add(3, lambda: spark.range(50, 51)) and table.read().count() == 6
+
+
+def test_a_repeated_micro_batch_alerts_once(spark, monkeypatch):
+    """The driver is lost after a batch was stored and before its checkpoint was: the batch runs again."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.ROCKSDB)
+    path, source = work_folder(spark, "again"), work_folder(spark, "again-in")
+    spark.createDataFrame([(1, h, "我是公安局的，你涉嫌洗钱，要保密，请配合调查，把钱转到安全账户" if h in (1, 5) else "好的") for h in range(8)] + [(-1, 10**6, "")], "call_id bigint, h bigint, text string").selectExpr(
+        "call_id", "h as utt_id", "timestamp_seconds(1704067200 + h * 3600) as ts", "text").write.parquet(source)
+    cases = spark.createDataFrame([], live_cases())
+    windows = lambda: live.transcript_windows(spark.readStream.schema("call_id bigint, utt_id bigint, ts timestamp, text string").parquet(source), "1 hour", "1 hour", late="1 hour")
+    real = BatchTable.add
+
+    def stored_then_lost(self, number, rows, by=None):
+        done = real(self, number, rows, by)
+        if self.read().count():
+            raise RuntimeError("driver lost")
+        return done
+
+    monkeypatch.setattr(BatchTable, "add", stored_then_lost)
+    for _ in range(2):
+        with pytest.raises(Exception, match="driver lost"):
+            live.alert_stream(windows(), cases, path)
+        monkeypatch.setattr(BatchTable, "add", lambda self, n, rows, by=None: stored_then_lost(self, n, rows, by) if "alerts" in self.path else real(self, n, rows, by))
+    monkeypatch.setattr(BatchTable, "add", real)
+    got = live.alert_stream(windows(), cases, path).select("call_id", "risk_level", F.hour("window_start").alias("h")).collect()
+    assert sorted(r["h"] for r in got) == [1, 5] and {r["risk_level"] for r in got} <= {"medium", "high"}
+
+
+def live_cases():
+    from riskloom.schemas import CASE_TABLE
+
+    return CASE_TABLE
