@@ -4,14 +4,17 @@ Two routes with the same result, chosen by the measured size of the case side:
 
 * resident: cases whose vectors and attached fields are proven to fit a byte bound
   go to every executor once; queries are scored where they are, nothing is shuffled.
-* partitioned: both sides are packed into blocks of bounded size and laid on a grid, so
-  that a block crosses the network once per row or column of the grid and not once per
-  opposite block. Each distinct query vector is scored once, however many queries share
-  it, and only k candidates per query and case block leave a scorer.
-
-Exact search compares every distinct query vector with every case: no bound on angles
-around centres prunes anything at these widths. Repeated texts and the grid save
-traffic, not the products themselves.
+* partitioned: each distinct query vector is scored once, however many queries share it.
+  Distinct vectors and cases are counted and laid on a grid whose tiles hold `block_rows`
+  of either side, so the number of tiles grows with both tables and a tile's memory does
+  not. A tile sends k candidates per query; a rank per vector merges them, in each task
+  first. Vectors are told apart by two 64-bit hashes; only these leave a tile.
+
+Inside a tile, cases are an inverted index in blocks: cases of the same strongest bucket
+lie together, and a block keeps the largest share each bucket has in any of its cases,
+by sign. These bound the cosine of every case of the block from above, so a block that
+cannot reach a query's k-th best score so far is not multiplied out. Where the bounds
+spare less than half of the products, the tile is multiplied at once.
 
 Scores are float64 products. With integer vectors every product is exact, so the
 result depends neither on block boundaries nor on the route. Ties go to the smaller
@@ -25,15 +28,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from ..session import work_folder
 
 CHUNK_BYTES = 32 << 20
+#: Cases of a posting block, and what rounding may add to a bound.
+POSTING, SLACK = 32, 1e-9
 
 
 @dataclass(frozen=True)
 class TopKOptions:
     resident_bytes: int = 64 << 20
-    block_rows: int = 4096
-    grid: int = 16  # rows and columns at most: how often a block is sent
+    block_rows: int = 4096  # vectors of either side in a tile of the grid
     decimals: int | None = None  # set for float vectors: rank by the rounded score
 
 
@@ -57,7 +64,7 @@ def similar_topk(
         score = resident_scorer(queries.sparkSession, snapshot, cases, k, info, options)
         return queries.withColumn("similar", score(F.col("vec")))
     ranked = _partitioned(queries.select("vec"), cases, size["n"], k, info, options)
-    return queries.join(ranked.withColumnRenamed("vec", "_vec"), F.col("vec") == F.col("_vec"), "left").drop("_vec")
+    return queries.withColumns(_hashes()).join(ranked, list(_hashes()), "left").drop(*_hashes())
 
 
 # --- shared numpy helpers -------------------------------------------------
@@ -174,81 +181,127 @@ def resident_scorer(spark, snapshot: pa.Table, cases: DataFrame, k: int, info: l
 # --- partitioned route ----------------------------------------------------
 
 
+def _hashes() -> dict[str, Column]:
+    return {"_h1": F.xxhash64("vec"), "_h2": F.xxhash64(F.lit(1), "vec")}
+
+
+def grid_of(queries: int, cases: int, options: TopKOptions) -> tuple[int, int]:
+    """Rows and columns of the grid for so many distinct vectors and cases."""
+    return max(1, -(-queries // options.block_rows)), max(1, -(-cases // options.block_rows))
+
+
 def _partitioned(queries: DataFrame, cases: DataFrame, n: int, k: int, info: list[str], options: TopKOptions) -> DataFrame:
-    """(vec, similar) of every distinct query vector."""
-    names = ["case_id", *info]
-    blocks = max(1, -(-n // options.block_rows))
-    columns = min(options.grid, blocks)
-    case_side = (
-        cases.select(*names, "vec")
-        .groupBy(F.pmod(F.xxhash64("case_id"), F.lit(blocks)).alias("_block"))
-        .agg(F.collect_list(F.struct(*names, "vec")).alias("block"))  # block_rows of them in the mean
-        .select((F.col("_block") % columns).cast("int").alias("col"), F.explode(F.sequence(F.lit(0), F.lit(options.grid - 1))).alias("row"), "block")
-    )
-    # Packed where they are after the distinct: blocks are bounded without counting the queries.
-    packed = T.StructType([T.StructField("row", T.IntegerType()), T.StructField("vecs", T.ArrayType(queries.schema["vec"].dataType))])
-    query_side = queries.distinct().mapInArrow(_packer(options), packed).withColumn(
-        "col", F.explode(F.sequence(F.lit(0), F.lit(columns - 1)))
-    )
-    meeting = query_side.join(case_side, ["row", "col"]).select("vecs", "block")
-    candidates = meeting.mapInArrow(
-        _block_scorer(k, names, options.decimals),
-        T.StructType([queries.schema["vec"], *_similar_type(cases, info).elementType.fields]),
-    )
+    """(_h1, _h2, similar) of every distinct query vector. Stores the distinct vectors, which are counted first."""
+    spark, names = queries.sparkSession, ["case_id", *info]
+    distinct = queries.where(F.col("vec").isNotNull()).withColumns(_hashes()).distinct()
+    path = work_folder(spark, "query-vectors")
+    distinct.write.parquet(path)
+    distinct = spark.read.schema(distinct.schema).parquet(path)
+    rows, columns = grid_of(distinct.count(), n, options)
+    along = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    query_side = distinct.withColumn("row", F.pmod("_h1", F.lit(rows)).cast("int")).withColumn("col", along(columns))
+    case_side = cases.select(*names, "vec").withColumn("col", F.pmod(F.xxhash64("case_id"), F.lit(columns)).cast("int")).withColumn("row", along(rows))
+    fields = _similar_type(cases, info).elementType.fields
+    shape = T.StructType([distinct.schema["_h1"], distinct.schema["_h2"], *fields])
+    candidates = query_side.groupBy("row", "col").cogroup(case_side.groupBy("row", "col")).applyInArrow(_tile_scorer(k, names, options.decimals, shape), shape)
     # A rank below a constant is also taken in each task before the shuffle.
-    rank = Window.partitionBy("vec").orderBy(F.desc("cosine"), F.asc("case_id"))
+    rank = Window.partitionBy("_h1", "_h2").orderBy(F.desc("cosine"), F.asc("case_id"))
     return (
         candidates.withColumn("_rank", F.row_number().over(rank))
         .filter(F.col("_rank") <= k)
-        .groupBy("vec")
+        .groupBy("_h1", "_h2")
         .agg(F.array_sort(F.collect_list(F.struct("_rank", *names, "cosine"))).alias("s"))
-        .select("vec", F.transform("s", lambda s: F.struct(*[s[n].alias(n) for n in [*names, "cosine"]])).alias("similar"))
+        .select("_h1", "_h2", F.transform("s", lambda s: F.struct(*[s[n].alias(n) for n in [*names, "cosine"]])).alias("similar"))
     )
 
 
-def _packer(options: TopKOptions):
-    def run(batches):
-        turn = 0
-        for batch in batches:
-            for start in range(0, batch.num_rows, options.block_rows):
-                vecs = batch.column(0).slice(start, options.block_rows)
-                # which row does not change the result; the sum spreads blocks and is the same in a retry
-                row = (int(np.abs(vecs.flatten().to_numpy(zero_copy_only=False)).sum()) + turn) % options.grid
-                turn += 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(vecs)], pa.int32()), vecs)], ["row", "vecs"]
-                )
+def _tile_scorer(k: int, names: list[str], decimals: int | None, shape: T.StructType):
+    """Score the queries of a tile against its cases; k rows per query leave."""
+    out = to_arrow_schema(shape)
 
-    return run
+    def run(key: tuple[pa.Scalar, ...], queries: pa.Table, cases: pa.Table) -> pa.Table:
+        if not len(queries) or not len(cases):
+            return out.empty_table()
+        ranked = cases.sort_by("case_id").combine_chunks()
+        vectors = ranked["vec"].combine_chunks()
+        dim = len(vectors[0])
+        c, q = _matrix(vectors, dim), _matrix(queries["vec"].combine_chunks(), dim)
+        query, case, cosine, _ = tile_topk(q, c, k, decimals)
+        left = queries.select(["_h1", "_h2"]).take(pa.array(query))
+        right = ranked.select(names).take(pa.array(case))
+        return pa.Table.from_arrays([*left.columns, *right.columns, pa.chunked_array([pa.array(cosine)])], schema=out)
 
+    return run
 
-def _block_scorer(k: int, names: list[str], decimals: int | None):
-    """Score a block of queries against a block of cases; k rows per query leave."""
-
-    def run(batches):
-        for batch in batches:
-            vecs, blocks = batch.columns
-            for i in range(batch.num_rows):
-                block = blocks[i].values
-                ranked = block.take(pa.array(np.argsort(block.field("case_id").to_numpy(zero_copy_only=False), kind="stable")))
-                dim = len(ranked.field("vec")[0])
-                own = vecs[i].values
-                q, c = _matrix(own, dim), _matrix(ranked.field("vec"), dim)
-                q2, c2 = _squares(q), _squares(c)
-                for part in _chunks(len(q), len(c)):
-                    s = _cosines(q[part], q2[part], c, c2, decimals)
-                    pick = _best(s, k)
-                    taken = ranked.take(pa.array(pick.ravel()))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            own.take(pa.array(np.repeat(np.arange(part.start, part.stop), pick.shape[1]))),
-                            *[taken.field(n) for n in names],
-                            pa.array(np.take_along_axis(s, pick, axis=1).ravel()),
-                        ],
-                        ["vec", *names, "cosine"],
-                    )
 
-    return run
+def tile_topk(q: np.ndarray, c: np.ndarray, k: int, decimals: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query, case, cosine) rows of the k best cases of each query, and how many products that took."""
+    q2, c2 = _squares(q), _squares(c)
+    index = Postings(c, c2)
+    bound = index.bounds(q, q2)
+    seen = np.zeros(bound.shape, bool)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    done = 0
+
+    def score(block: int, who: np.ndarray, least: np.ndarray | None) -> np.ndarray:
+        nonlocal done
+        mine = index.cases[block]
+        s = _cosines(q[who], q2[who], c[mine], c2[mine], decimals)
+        done += s.size
+        keep = np.ones(s.shape, bool) if least is None else s >= least[:, None]
+        at, place = np.nonzero(keep)
+        found.append((who[at], mine[place], s[at, place]))
+        return s
+
+    # the most promising blocks of each query give it a k-th best score to beat
+    seeds = min(bound.shape[1], -(-k // POSTING) + 1)
+    first = np.argpartition(-bound, seeds - 1, axis=1)[:, :seeds]
+    scores: list[tuple[np.ndarray, np.ndarray]] = []
+    for block in np.unique(first):
+        who = np.flatnonzero((first == block).any(axis=1))
+        seen[who, block] = True
+        scores.append((who, score(block, who, None)))
+    best = np.full((len(q), k), -np.inf)
+    for who, s in scores:
+        both = np.concatenate([best[who], s], axis=1)
+        best[who] = -np.partition(-both, k - 1, axis=1)[:, :k]
+    least = best.min(axis=1)
+    need = (bound + SLACK >= least[:, None]) & ~seen
+    if need.mean() > 0.5:
+        found, done = [], len(q) * len(c)
+        for part in _chunks(len(q), len(c)):
+            s = _cosines(q[part], q2[part], c, c2, decimals)
+            pick = _best(s, k)
+            found.append((np.repeat(np.arange(part.start, part.stop), pick.shape[1]), pick.ravel(), np.take_along_axis(s, pick, axis=1).ravel()))
+    else:
+        for block in np.flatnonzero(need.any(axis=0)):
+            who = np.flatnonzero(need[:, block])
+            score(block, who, least[who])
+    query, case, cosine = (np.concatenate([f[i] for f in found]) for i in range(3))
+    order = np.lexsort((case, -cosine, query))
+    query, case, cosine = query[order], case[order], cosine[order]
+    rank = np.arange(len(query)) - np.searchsorted(query, query)
+    top = rank < k
+    return query[top], case[top], cosine[top], done
+
+
+class Postings:
+    """Cases in blocks of like vectors, and for each block and bucket the largest share on either side of zero."""
+
+    def __init__(self, c: np.ndarray, c2: np.ndarray):
+        length = np.sqrt(c2)[:, None]
+        share = np.divide(c, length, out=np.zeros_like(c), where=length > 0)
+        strongest = np.abs(share).argmax(axis=1) if c.shape[1] else np.zeros(len(c), int)
+        order = np.lexsort((share[np.arange(len(c)), strongest] if c.shape[1] else strongest, strongest))
+        self.cases = [order[i : i + POSTING] for i in range(0, len(order), POSTING)]
+        self.up = np.array([np.maximum(share[m], 0).max(axis=0) for m in self.cases])
+        self.down = np.array([np.maximum(-share[m], 0).max(axis=0) for m in self.cases])
+
+    def bounds(self, q: np.ndarray, q2: np.ndarray) -> np.ndarray:
+        """No case of the block has a larger cosine with the query."""
+        length = np.sqrt(q2)[:, None]
+        share = np.divide(q, length, out=np.zeros_like(q), where=length > 0)
+        return np.maximum(share, 0) @ self.up.T + np.maximum(-share, 0) @ self.down.T
 
 
 def top_one(similar: Column) -> Column:

@@ -88,7 +88,8 @@ class RiseAlert(StatefulProcessor):
         self.last.update((int(rank.iloc[-1]), int(end.iloc[-1])))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int(end.iloc[-1]) + self.keep_ms + 1)
+        # a window that starts within keep_ms of this end has closed by then
+        self.handle.registerTimer(2 * int(end.iloc[-1]) - int(batch["start_ms"].iloc[-1]) + self.keep_ms + 1)
         out = batch[(rank >= 1) & (rank > before)]
         if len(out):
             yield out.drop(columns=["start_ms", "end_ms"])

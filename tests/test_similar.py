@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.functions import vectors
+from riskloom.operators import similar
 from riskloom.operators.similar import TopKOptions, similar_topk
 
 
@@ -31,11 +32,11 @@ def random_side(rng, n, dim, groups):
 OPTIONS = [
     TopKOptions(),
     TopKOptions(resident_bytes=0, block_rows=15),
-    TopKOptions(resident_bytes=0, block_rows=300, grid=3),  # one block of cases
+    TopKOptions(resident_bytes=0, block_rows=300),  # one tile
 ]
 
 
-@pytest.mark.parametrize("options", OPTIONS, ids=["resident", "grid", "one-block"])
+@pytest.mark.parametrize("options", OPTIONS, ids=["resident", "grid", "one-tile"])
 @pytest.mark.parametrize("k", [1, 5, 20])
 def test_topk_equals_brute_force(spark, options, k):
     rng = np.random.default_rng(3)
@@ -80,6 +81,45 @@ def test_float_vectors(spark, options):
         assert [s["case_id"] for s in r["similar"]] == [j for _, j in want]
 
 
+@pytest.mark.parametrize("k", [1, 4, 40])
+@pytest.mark.parametrize("width, used", [(64, 3), (16, 16), (256, 2)])
+def test_tiles_spare_products_and_lose_nothing(k, width, used):
+    rng = np.random.default_rng(width + k)
+
+    def sparse(n):  # few non-zero buckets, many of them alike, some zero
+        out = np.zeros((n, width))
+        for r in out[n // 10 :]:
+            r[rng.choice(width, used, replace=False)] = rng.integers(1, 4, used) * rng.choice([-1, 1], used)
+        out[n // 2 : n // 2 + n // 5] = out[n // 2]
+        return out
+
+    q, c = sparse(150), sparse(700)
+    query, case, cosine, products = similar.tile_topk(q, c, k)
+    length = np.sqrt(np.outer((q**2).sum(1), (c**2).sum(1)))
+    full = np.divide(q @ c.T, length, out=np.zeros_like(length), where=length > 0)
+    for i, row in enumerate(full):
+        want = sorted((-s, j) for j, s in enumerate(row))[:k]
+        assert [(-s, j) for s, j in zip(cosine[query == i], case[query == i], strict=True)] == want
+    assert products <= full.size * 1.3
+    if used < 4 and k == 1:
+        assert products < 0.8 * full.size
+
+
+def test_tiles_grow_with_both_sides():
+    options = TopKOptions(block_rows=100)
+    assert similar.grid_of(0, 0, options) == (1, 1) and similar.grid_of(100, 101, options) == (1, 2)
+    assert similar.grid_of(10**6, 10**5, options) == (10**4, 10**3)
+
+
+def test_a_vector_that_most_queries_share_is_scored_once(spark):
+    """Its queries meet the result by two hashes; vectors themselves are not sent back."""
+    queries = spark.createDataFrame([(i, [1, 2, 0] if i % 3 else [i, 1, 1]) for i in range(300)], "qid bigint, vec array<int>")
+    cases = spark.createDataFrame([(f"c{i}", [i % 5, i % 7, 1]) for i in range(50)], "case_id string, vec array<int>")
+    found = similar_topk(queries, cases, 2, "qid", [], TopKOptions(resident_bytes=0, block_rows=20))
+    assert found.count() == 300 and found.where("size(similar) <> 2").isEmpty()
+    assert found.where("vec = array(1, 2, 0)").select("similar").distinct().count() == 1
+
+
 def test_no_cases(spark):
     queries = spark.createDataFrame([(1, [1, 0])], "qid bigint, vec array<int>")
     cases = spark.createDataFrame([], "case_id string, vec array<int>, title string")

@@ -103,3 +103,19 @@ def live_cases():
     from riskloom.schemas import CASE_TABLE
 
     return CASE_TABLE
+
+
+def test_state_outlives_windows_that_are_still_open(spark):
+    """Another call moves the watermark past the silence kept, while a window that began before is open."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.ROCKSDB)
+    path = work_folder(spark, "open")
+    table = BatchTable(spark, path, spark.createDataFrame([], live.ALERT).schema)
+    for number, (call, hour) in enumerate([(1, 0), (2, 7), (1, 8), (2, 30), (1, 40)]):
+        row = spark.createDataFrame([(call, hour)], "call_id bigint, h int").selectExpr(
+            "call_id", "timestamp_seconds(1704067200 + h * 3600) as window_start", "timestamp_seconds(1704067200 + h * 3600 + 7200) as window_end",
+            "'high' as risk_level", "0.8D as risk_score", "'x' as fraud_type",
+        )
+        table.add(number, lambda row=row: row)
+        live.run_to_table(live.rise_alerts(table.stream().withWatermark("window_end", "0 seconds")), f"{path}-out", f"{path}-mark")
+    want = rows_of(rises(table.read(), "call_id", "window_start", "window_end", "risk_level"))
+    assert len(want) == 4 and rows_of(spark.read.schema(live.ALERT).parquet(f"{path}-out")) == want
