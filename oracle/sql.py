@@ -574,6 +574,10 @@ ORACLES: dict[str, str] = {
         "select case_id, case when extraction_method = 'rule' then 1 else 0 end as batch_id,"
         " case when extraction_method = 'rule' then '更新：' || summary else summary end as summary from valid where accepted"
     ),
+    "stats_after_replace": sql(
+        "select fraud_type, count(*) as n, sum(count(*)) over ()::bigint as total from"
+        " (select case when extraction_method = 'rule' then '其他' else fraud_type end as fraud_type from valid where accepted) group by fraud_type"
+    ),
     "similar_top1": sql("select utt_id, round(sim, 6) as similarity, sim_type as fraud_type from calls_syn join top1 using (text)"),
     "key_risk_signals": sql(f"select art_id, {joined('key_risk_signals')} as signals from rule_c"),
     "l2_normalize": "select vec_id, round(v[1] / n, 4) as first, round(v[len(v)] / n, 4) as last, round(list_dot_product(v, v) / (n * n), 4) as length"

@@ -31,7 +31,19 @@ def content_key(text_hash: Column, row_id: Column) -> Column:
     ).otherwise(text_hash)
 
 
-def unseen(df: DataFrame, known: DataFrame, column: str = "raw_text_hash") -> DataFrame:
-    """Rows whose hash is not in `known`; an empty or null hash is never excluded."""
+#: Up to so many rows to check, their hashes are sent to the known ones; a hash is 64 characters.
+FEW = 200_000
+
+
+def unseen(df: DataFrame, known: DataFrame, column: str = "raw_text_hash", few: int = FEW) -> DataFrame:
+    """Rows whose hash is not in `known`; an empty or null hash is never excluded.
+
+    A batch is small beside what is stored. Its hashes, if its rows are counted as few, go to where the known
+    ones lie, and only those that meet come back: the stored side is read but not shuffled. Counting needs no
+    column of `df`. A larger batch meets the known hashes in a shuffle join.
+    """
     seen = known.filter(F.col(column) != "").select(F.col(column).alias("_seen"))
+    if df.select(F.lit(1)).limit(few + 1).count() <= few:
+        mine = df.filter(F.col(column) != "").select(F.col(column).alias("_mine")).distinct()
+        seen = seen.join(F.broadcast(mine), F.col("_seen") == F.col("_mine"), "left_semi").distinct()
     return df.join(seen, (df[column] == F.col("_seen")) & (df[column] != ""), "left_anti")

@@ -223,13 +223,21 @@ def case_new_only(spark, folder):
 
 
 def case_replace(spark, folder):
-    """Every case twice under its id, the second time in a later batch with a new summary."""
+    """The store's rule cases replaced, under their ids, by versions with a new summary."""
+    store = st.CaseStore(spark, work_folder(spark, "cases"), OPTIONS)
     cases = ops.accepted_cases(validated(spark, folder))
-    first = cases.withColumn("batch_id", F.lit(0))
-    second = cases.filter(F.col("extraction_method") == "rule").withColumn("batch_id", F.lit(1)).withColumn(
-        "summary", F.concat(F.lit("更新："), "summary")
-    )
-    return st.replace_by_id(first.unionByName(second)).select("case_id", "batch_id", "summary")
+    store.append(cases.withColumn("raw_text_hash", F.lit("")), F.col("case_id"))
+    store.replace(cases.filter(F.col("extraction_method") == "rule").withColumn("summary", F.concat(F.lit("更新："), "summary")))
+    return store.read().select("case_id", "batch_id", "summary")
+
+
+def stats_after_replace(spark, folder):
+    """Totals per type, kept with each batch, after a replacement that moves cases to another type."""
+    store = st.CaseStore(spark, work_folder(spark, "cases"), OPTIONS)
+    cases = ops.accepted_cases(validated(spark, folder))
+    store.append(cases.withColumn("raw_text_hash", F.lit("")), F.col("case_id"))
+    store.replace(cases.filter(F.col("extraction_method") == "rule").withColumn("fraud_type", F.lit("其他")))
+    return store.stats()
 
 
 # --- pages ----------------------------------------------------------------
@@ -768,6 +776,7 @@ QUERIES = {
     "hash_embed": hash_embed,
     "doc_dedup": doc_dedup,
     "case_replace": case_replace,
+    "stats_after_replace": stats_after_replace,
     "similar_top1": similar_top1,
     "key_risk_signals": key_risk_signals,
     "l2_normalize": l2_normalize,

@@ -14,26 +14,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
+from ..files import Folder
+
 
 class BatchTable:
     """Batches of rows of one schema under a path, readable as a table and as a stream."""
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-        self._files = self._at(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._files = Folder(spark, path)
         for folder in ("rows", "attempts"):
-            self._files.mkdirs(self._at(f"{self.path}/{folder}"))
-
-    def _at(self, path: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            self._files.make(folder)
 
     def has(self, number: int) -> bool:
-        return self._files.exists(self._at(f"{self.path}/rows/batch={number}"))
+        return self._files.has(f"rows/batch={number}")
 
     def numbers(self) -> list[int]:
         """The batches there are; the manifest."""
-        there = self._files.listStatus(self._at(f"{self.path}/rows"))
-        return sorted(int(s.getPath().getName().split("=")[1]) for s in there)
+        return sorted(int(name.split("=")[1]) for name in self._files.names("rows"))
 
     def add(self, number: int, rows: Callable[[], DataFrame], by: str | None = None) -> bool:
         """Store the rows of a batch unless it is stored; says whether they were.
@@ -42,10 +40,10 @@ class BatchTable:
         """
         if self.has(number):
             return False
-        attempt = f"{self.path}/attempts/{number}-{uuid.uuid4().hex}"
+        attempt = f"attempts/{number}-{uuid.uuid4().hex}"
         out = rows().select(*self.schema.names)
-        (out.repartition(by) if by else out).write.parquet(attempt)
-        if not self._files.rename(self._at(attempt), self._at(f"{self.path}/rows/batch={number}")):
+        (out.repartition(by) if by else out).write.parquet(f"{self.path}/{attempt}")
+        if not self._files.move(attempt, f"rows/batch={number}"):
             raise OSError(f"batch {number} of {self.path} could not be stored")
         return True
 

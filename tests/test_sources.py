@@ -2,11 +2,12 @@ import json
 
 import pytest
 
+from riskloom.files import Folder
 from riskloom.operators.dedup import first_per_key, last_per_key, unseen
 from riskloom.operators.phrases import phrase_matches
 from riskloom.session import work_folder
 from riskloom.sources.articles import allow_listed, clean_pages, dedup_docs, long_enough, read_articles, read_seeds, split_rejected, with_source_name
-from riskloom.sources.store import CaseStore
+from riskloom.sources.store import CaseStore, stats_by_type
 from pyspark.sql import functions as F
 
 
@@ -81,17 +82,100 @@ def test_preferred_extractor(spark):
     assert got == {1: ("theirs", "2020-01-01", "their text"), 2: ("", "2021-03-04", "their text"), 3: ("own", None, "word word ")}
 
 
-def test_store_replaces_by_id(spark):
+@pytest.fixture
+def store(spark):
+    """(store, a function that makes cases of (id, type, summary))."""
     store = CaseStore(spark, work_folder(spark, "replace"))
-    case = {f.name: None for f in store.read().schema}
-    rows = [{**case, "case_id": i, "summary": "old", "fraud_type": "其他", "raw_text_hash": i, "scenario": "", "fraud_script": [], "key_risk_signals": []} for i in ("a", "b")]
     shape = store.read().drop("vec", "norm2", "space", "batch_id", "created_at").schema
-    names = shape.names
-    make = lambda rs: spark.createDataFrame([tuple(r[n] for n in names) for r in rs], shape)
-    store.append(make(rows), F.col("case_id"))
-    store.replace(make([{**rows[0], "summary": "new", "fraud_type": "杀猪盘"}]))
-    assert {r["case_id"]: r["summary"] for r in store.read().collect()} == {"a": "new", "b": "old"}
-    assert store.get("a").count() == 1 and store.count() == 2
+    empty = {f.name: None for f in shape} | {"scenario": "", "fraud_script": [], "key_risk_signals": []}
+
+    def make(*rows):
+        full = [{**empty, "case_id": i, "raw_text_hash": f"h{i}", "fraud_type": t, "summary": s} for i, t, s in rows]
+        return spark.createDataFrame([tuple(r[n] for n in shape.names) for r in full], shape)
+
+    store.append(make(("a", "其他", "old"), ("b", "其他", "old"), ("c", "杀猪盘", "old")), F.col("case_id"))
+    return store, make
+
+
+def state(store):
+    return {r["case_id"]: (r["fraud_type"], r["summary"]) for r in store.read().collect()}
+
+
+def same_totals(store):
+    got = {r["fraud_type"]: (r["n"], r["total"]) for r in store.stats().collect()}
+    assert got == {r["fraud_type"]: (r["n"], r["total"]) for r in stats_by_type(store.read()).collect()}
+    assert store.count() == store.read().count()
+
+
+def test_store_replaces_by_id(spark, store):
+    store, make = store
+    store.replace(make(("a", "杀猪盘", "new"), ("d", "其他", "new")))
+    assert state(store) == {"a": ("杀猪盘", "new"), "b": ("其他", "old"), "c": ("杀猪盘", "old"), "d": ("其他", "new")}
+    same_totals(store)
+    store.replace(make(("a", "中奖诈骗", "newer"), ("c", "其他", "newer")))
+    store.append(make(("a", "其他", "known hash"), ("e", "其他", "added")), F.col("case_id"))
+    assert state(store) == {"a": ("中奖诈骗", "newer"), "b": ("其他", "old"), "c": ("其他", "newer"), "d": ("其他", "new"), "e": ("其他", "added")}
+    same_totals(store)
+    assert store.get("a").first()["summary"] == "newer" and store.get("zz").count() == 0
+    assert [r["found"] for r in store.lookup(spark.createDataFrame([("c",), ("x",)], "case_id string")).orderBy("case_id").collect()] == [True, False]
+
+
+def test_a_lookup_after_a_replace_scans_no_whole_table(store):
+    store, make = store
+    store.replace(make(("a", "杀猪盘", "new")))
+    plan = store.get("a")._jdf.queryExecution().simpleString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert len(scans) >= 3 and all("EqualTo(case_id,a)" in line for line in scans)
+    assert all("/totals/" in name for name in store.stats().inputFiles())
+
+
+def test_compaction(store):
+    store, make = store
+    store.replace(make(("a", "杀猪盘", "new")))
+    before, old = state(store), store.read()
+    store.compact()
+    assert state(store) == before == {r["case_id"]: (r["fraud_type"], r["summary"]) for r in old.collect()}
+    assert all("/cases/gen=1/" in name for name in store.read().inputFiles())
+    store.vacuum()
+    store.replace(make(("b", "杀猪盘", "newer")))
+    store.append(make(("f", "其他", "added")), F.col("case_id"))
+    assert state(store) == {**before, "b": ("杀猪盘", "newer"), "f": ("其他", "added")}
+    same_totals(store)
+
+
+def test_a_compaction_that_was_cut_short(store, monkeypatch):
+    store, make = store
+    store.replace(make(("a", "杀猪盘", "new")))
+    before, make_folder = state(store), Folder.make
+
+    def lost(self, name=""):
+        if name.startswith("done/"):
+            raise RuntimeError("lost")
+        make_folder(self, name)
+
+    monkeypatch.setattr(Folder, "make", lost)
+    with pytest.raises(RuntimeError):
+        store.compact()
+    monkeypatch.undo()
+    assert state(store) == before  # the unmarked generation is not read
+    store.append(make(("g", "其他", "added")), F.col("case_id"))
+    store.compact()
+    assert state(store) == {**before, "g": ("其他", "added")}
+    same_totals(store)
+
+
+def test_totals_of_a_batch_that_was_cut_short(store, monkeypatch):
+    store, make = store
+
+    def lost(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(CaseStore, "_write_totals", lost)
+    with pytest.raises(RuntimeError):
+        store.append(make(("h", "中奖诈骗", "stored, not counted")), F.col("case_id"))
+    monkeypatch.undo()
+    same_totals(store)
+    assert store.count() == 4
 
 
 def test_no_local_folder_on_a_cluster(monkeypatch):
@@ -124,3 +208,25 @@ def test_many_rows_of_one_keyword_stay_in_the_lexicon(spark, monkeypatch):
     assert got.columns == ["id", "kw", "weight"]
     assert sorted(map(tuple, got.collect())) == sorted([(i, "car", w) for i in (1, 2) for w in range(40)] + [(1, "red", 99)])
     assert sum(sizes) == 2
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_known_hashes_by_either_route(spark, few):
+    stored = [(f"h{i % 40}",) for i in range(500)] + [("",), (None,)]
+    new = [(i, f"h{i}") for i in range(60)] + [(100, ""), (101, None), (102, "h3"), (103, "h50")]
+    path = work_folder(spark, "known")
+    spark.createDataFrame(stored, "raw_text_hash string").repartition(4).write.parquet(path)
+    known = spark.read.parquet(path)
+    out = unseen(spark.createDataFrame(new, "id int, raw_text_hash string"), known, few=few)
+    assert sorted(r["id"] for r in out.collect()) == [*range(40, 60), 100, 101, 103]
+    if few:  # above the scan of the stored side, the semi join comes before any exchange
+        lines = out._jdf.queryExecution().simpleString().splitlines()
+        scan = next(i for i, line in enumerate(lines) if "FileScan" in line)
+        depth = lambda i: len(lines[i]) - len(lines[i].lstrip(" :+-"))
+        above, at = [], scan
+        for i in range(scan - 1, -1, -1):
+            if depth(i) < depth(at):
+                above.append(lines[i])
+                at = i
+        names = [next(n for n in ("Exchange", "LeftSemi", "other") if n in line or n == "other") for line in above]
+        assert "LeftSemi" in names and "Exchange" not in names[: names.index("LeftSemi")]
