@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -65,21 +66,52 @@ def score_windows(
 
 
 class RiseAlert(StatefulProcessor):
-    """Keeps the last level of a call; emits windows whose level rises to medium or high."""
+    """Keeps the last level of a call; emits windows whose level rises to medium or high.
+
+    A micro-batch promises no order, so the windows of a call that closed since the last one are sorted by
+    start. Up to `most` of them are sorted in memory. Beyond that, windows go to the state store by span of
+    time, and the spans are taken from it in order, each small: a call of any length needs bounded memory.
+    """
 
     RANKS = {"low": 0, "medium": 1, "high": 2}
+    SPAN_MS = 3600 * 1000
 
-    def __init__(self, keep_ms: int):
-        self.keep_ms = keep_ms
+    def __init__(self, keep_ms: int, most: int = 20_000):
+        self.keep_ms, self.most = keep_ms, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "rank int, end_ms bigint")
+        self.spans = handle.getMapState("spans", "span bigint, part int", "rows binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # A micro-batch promises no order. Sort its windows by start; what is sorted is
-        # the windows of one call that closed since the last micro-batch.
-        batch = pd.concat(list(rows)).sort_values("window_start", kind="stable")
+        frames, held, parts = [], 0, {}
+        for frame in rows:
+            frames.append(frame)
+            held += len(frame)
+            if held > self.most:
+                self._put_by(frames, parts)
+                frames, held = [], 0
+        if parts:
+            self._put_by(frames, parts)
+        batches = (self._take(span, parts[span]) for span in sorted(parts)) if parts else [frames]
+        for batch in batches:
+            yield from self._risen(pd.concat(batch).sort_values("window_start", kind="stable"))
+
+    def _put_by(self, frames: list[pd.DataFrame], parts: dict[int, int]) -> None:
+        if frames:
+            whole = pd.concat(frames)
+            for span, some in whole.groupby(whole["start_ms"] // self.SPAN_MS):
+                self.spans.updateValue((int(span), parts.get(int(span), 0)), (pickle.dumps(some),))
+                parts[int(span)] = parts.get(int(span), 0) + 1
+
+    def _take(self, span: int, n: int) -> list[pd.DataFrame]:
+        out = [pickle.loads(self.spans.getValue((span, part))[0]) for part in range(n)]
+        for part in range(n):
+            self.spans.removeKey((span, part))
+        return out
+
+    def _risen(self, batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
         rank, end = batch["risk_level"].map(self.RANKS), batch["end_ms"]
         held = self.last.get() or (0, 0)
         before, ended = rank.shift(1, fill_value=held[0]), end.shift(1, fill_value=held[1])
@@ -106,7 +138,7 @@ ALERT = "call_id bigint, window_start timestamp, window_end timestamp, risk_leve
 ALERT_COLUMNS = ["call_id", "window_start", "window_end", "risk_level", "risk_score", "fraud_type"]
 
 
-def rise_alerts(scored: DataFrame, keep_ms: int = KEEP_MS) -> DataFrame:
+def rise_alerts(scored: DataFrame, keep_ms: int = KEEP_MS, most: int = 20_000) -> DataFrame:
     """Alerts of a stream of scored windows, by the same rule as `operators.alerts.rises`.
 
     A call that says nothing for `keep_ms` of event time has ended. Its next window follows
@@ -117,7 +149,7 @@ def rise_alerts(scored: DataFrame, keep_ms: int = KEEP_MS) -> DataFrame:
         scored.select(*ALERT_COLUMNS, F.unix_millis("window_start").alias("start_ms"), F.unix_millis("window_end").alias("end_ms"))
         .groupBy("call_id")
         .transformWithStateInPandas(
-            statefulProcessor=RiseAlert(keep_ms), outputStructType=ALERT, outputMode="Append", timeMode="EventTime"
+            statefulProcessor=RiseAlert(keep_ms, most), outputStructType=ALERT, outputMode="Append", timeMode="EventTime"
         )
     )
 

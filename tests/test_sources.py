@@ -1,5 +1,7 @@
 import json
+import random
 
+import pyarrow as pa
 import pytest
 
 from riskloom.files import Folder
@@ -230,3 +232,18 @@ def test_known_hashes_by_either_route(spark, few):
                 at = i
         names = [next(n for n in ("Exchange", "LeftSemi", "other") if n in line or n == "other") for line in above]
         assert "LeftSemi" in names and "Exchange" not in names[: names.index("LeftSemi")]
+
+
+def test_matcher_against_brute_force(monkeypatch):
+    from riskloom.operators import phrases
+
+    monkeypatch.setattr(phrases, "SLICE", 300)
+    rng = random.Random(1)
+    letters = "abc安全账户éß\U0001f600"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    words = list({word(rng.randrange(1, 9)) for _ in range(300)} | {"https://www.example.org/" + word(5) for _ in range(50)} | {"x" * 700})
+    texts = [word(rng.randrange(0, 120)) for _ in range(80)] + ["", None, "x" * 2000, "https://www.example.org/" * 9 + words[-1], "安", "".join(words)]
+    column = pa.array(["not looked at", *texts], pa.string()).slice(1)
+    got = phrases.Matcher(words)(column).to_pylist()
+    assert got == [[i for i, w in enumerate(words) if w in (t or "")] for t in texts]
+    assert phrases.Matcher([])(pa.array(["a", None])).to_pylist() == [[], []] and phrases.Matcher(["a"])(pa.array([], pa.string())).to_pylist() == []

@@ -119,3 +119,23 @@ def test_state_outlives_windows_that_are_still_open(spark):
         live.run_to_table(live.rise_alerts(table.stream().withWatermark("window_end", "0 seconds")), f"{path}-out", f"{path}-mark")
     want = rows_of(rises(table.read(), "call_id", "window_start", "window_end", "risk_level"))
     assert len(want) == 4 and rows_of(spark.read.schema(live.ALERT).parquet(f"{path}-out")) == want
+
+
+@pytest.mark.parametrize("most", [20_000, 300])
+def test_long_calls_are_sorted_in_bounded_memory(spark, most):
+    """One call of thousands of windows in one micro-batch, in no order; a small bound sends it through the state store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.ROCKSDB)
+    path = work_folder(spark, "long")
+    rows = spark.range(4000).selectExpr(
+        "case when id < 3500 then 1L else 2L end as call_id", "timestamp_seconds(1704067200 + id * 5) as window_start", "timestamp_seconds(1704067200 + id * 5 + 10) as window_end",
+        "element_at(array('low', 'medium', 'high'), cast(pmod(xxhash64(id), 3) as int) + 1) as risk_level", "0.5D as risk_score", "'x' as fraud_type",
+    )
+    table = BatchTable(spark, path, spark.createDataFrame([], live.ALERT).schema)
+    for number, condition in enumerate(("id < 3990", "id >= 3990")):
+        table.add(number, lambda c=condition: rows.where(c.replace("id", "(unix_seconds(window_start) - 1704067200) / 5")).repartition(7, F.xxhash64("window_start")))
+        before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "250")
+        live.run_to_table(live.rise_alerts(table.stream().withWatermark("window_end", "0 seconds"), most=most), f"{path}-out", f"{path}-mark")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = rows_of(rises(table.read(), "call_id", "window_start", "window_end", "risk_level"))
+    assert len(want) > 500 and rows_of(spark.read.schema(live.ALERT).parquet(f"{path}-out")) == want
