@@ -243,7 +243,12 @@ def linked_sets(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         found = cut(_checked(pairs, sets, percent), "linked")
         links = found if links is None else links.unionByName(found)
         roots = components(links)
-    rest = cut(_still_open(postings, roots), "open")
+    found = cut(_checked(_tile_pairs(cut(_still_open(postings, roots), "open"), sets, percent), sets, percent), "linked")
+    return components(links.unionByName(found))
+
+
+def _tile_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of sets with different roots that meet under a shingle and pass the bitmap bound."""
     first = rest.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("item")), 1, FIRST).alias("first"))
     rest = rest.join(sets.select("node", "n", "bits").join(first, "node"), "node")
     band = F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int")
@@ -257,13 +262,33 @@ def linked_sets(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     tiles = rest.select(*body, "band", F.lit(0).alias("step"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"))
     tiles = tiles.unionByName(rest.select(*body, "band", F.lit(1).alias("step"), F.col("block").alias("i"), F.col("other").alias("j"), F.lit(1).alias("side")))
     tiles = tiles.unionByName(rest.select(*body, (F.col("band") - 1).alias("band"), F.lit(1).alias("step"), F.col("other").alias("i"), F.col("block").alias("j"), F.lit(2).alias("side")))
-    pairs = tiles.groupBy("item", "band", "step", "i", "j").applyInArrow(_tile(percent), "a long, b long").distinct()
-    found = cut(_checked(pairs, sets, percent), "linked")
-    return components(links.unionByName(found))
+    return tiles.groupBy("item", "band", "step", "i", "j").applyInArrow(_tile(percent), "a long, b long").distinct()
 
 
-def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(id, rid1, rid2, n_shingles, node, root, component_id): a row per document; equal sets share node, linked ones root."""
+def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """The join itself: (links, members).
+
+    members(id, rid1, rid2, n_shingles, node) has a row per document; documents of equal sets share their node, and
+    those without words have none. links(a, b) has each pair of different nodes whose sets are linked, a < b, once;
+    all of them, also inside groups of near copies, so there are as many rows as there are links between different
+    sets. A document's links are its node's other members and the members of the nodes linked to it (`link_counts`).
+    """
+    named, sets, postings = _prepared(docs, doc_id, text, shingle, percent)
+    links = _checked(_tile_pairs(cut(_still_open(postings, None), "open"), sets, percent), sets, percent)
+    return links, named.select("id", "rid1", "rid2", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
+
+
+def link_counts(links: DataFrame, members: DataFrame) -> DataFrame:
+    """members with n_links: how many other documents each is linked with directly."""
+    size = cut(members.where("node is not null").groupBy("node").agg(F.count("*").alias("size")), "classes")
+    both = links.union(links.select("b", "a"))
+    near = both.join(size.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("size").alias("near"))
+    total = size.join(near, "node", "left").select("node", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("total"))
+    return members.join(total, "node", "left").withColumn("n_links", F.coalesce("total", F.lit(0))).drop("total")
+
+
+def _prepared(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Steps 1 to 3: (all documents and the names of their sets, sets that may link, where they meet)."""
     rows = keyed(docs, doc_id, text)
     schema = f"id {rows.schema['id'].dataType.simpleString()}, rid1 long, rid2 long, n long, node long"
     named = cut(rows.mapInArrow(_sizes(shingle), schema), "sets")
@@ -278,7 +303,12 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sets = cut(sets.mapInArrow(_sets(shingle), "node long, rid1 long, rid2 long, n long, items binary, bits binary"), "items")
     # 3. where they meet
     ranked = sets.join(find_classes(sets, _emit_sets), ["rid1", "rid2"])
-    postings = cut(ranked.select("node", "items", "pos", "cls").mapInArrow(_postings(percent), "item long, node long"), "postings")
+    return named, sets, cut(ranked.select("node", "items", "pos", "cls").mapInArrow(_postings(percent), "item long, node long"), "postings")
+
+
+def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(id, rid1, rid2, n_shingles, node, root, component_id): a row per document; equal sets share node, linked ones root."""
+    named, sets, postings = _prepared(docs, doc_id, text, shingle, percent)
     # 4. who links
     roots = linked_sets(postings, sets, percent)
     out = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

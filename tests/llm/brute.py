@@ -71,6 +71,12 @@ def smallest_ids(ids, root):
 
 
 def jaccard(rows, percent=80):
+    sets, pairs = jaccard_pairs(rows, percent)
+    names = smallest_ids([i for i, _ in rows], classes(len(rows), pairs))
+    return [(i, len(s), c) for (i, _), s, c in zip(rows, sets, names, strict=True)]
+
+
+def jaccard_pairs(rows, percent=80):
     sets = []
     for _, t in rows:
         w = re.findall(SPACE, lower(t))
@@ -83,8 +89,7 @@ def jaccard(rows, percent=80):
     for i, s in enumerate(sets):
         both = Counter(j for x in s for j in where[x] if j > i)
         pairs |= {(i, j) for j, n in both.items() if 100 * n >= percent * (len(s) + len(sets[j]) - n)}
-    names = smallest_ids([i for i, _ in rows], classes(len(rows), pairs))
-    return [(i, len(s), c) for (i, _), s, c in zip(rows, sets, names, strict=True)]
+    return sets, pairs
 
 
 def benchmark(rows, items, window=10):

@@ -160,3 +160,21 @@ def test_answer_rows_do_not_follow_the_partitions(spark, data, monkeypatch):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert max(made) <= 2 * min(made) and min(made) > 0
+
+
+def test_all_links_and_their_counts(spark, docs, pairs, same, data):
+    for table, rows in ((docs, pairs), _documents(spark, data)):
+        links, members = jaccard_join.jaccard_links(table)
+        links = shared.cut(links, "links")
+        _, want = brute.jaccard_pairs(rows)
+        n = [0] * len(rows)
+        for i, j in want:
+            n[i], n[j] = n[i] + 1, n[j] + 1
+        got = jaccard_join.link_counts(links, members)
+        same(got.select("id", "n_links").collect(), [(i, k) for (i, _), k in zip(rows, n, strict=True)])
+        assert links.where("a >= b").isEmpty() and links.count() == links.distinct().count()
+
+
+def _documents(spark, data):
+    table = spark.read.parquet(f"{data}/documents.parquet")
+    return table, [(r["doc_id"], r["text"]) for r in table.select("doc_id", "text").collect()]
