@@ -2,9 +2,9 @@
 
 Grades are ordered numbers. One weight vector is shared by all thresholds:
 P(grade > k) = sigmoid(w.x - t_k) with t_1 < t_2 < ..., so a text has an expected grade and, for
-selection, the probability of reaching a wanted grade. x holds, for three kinds of hashed tokens
-(the word, its last two bytes, its length with its first byte), the share of each bucket, and the
-text's length class. Thresholds are kept in order by adding exponentials.
+selection, the probability of reaching a wanted grade. x holds, for four kinds of hashed tokens
+(the word, its last two bytes, its length with its first byte, whether it repeats one of the three words
+before it), the share of each bucket, and the text's length class. Thresholds are kept in order by adding exponentials.
 
 At most `LEVELS` grades get a threshold each; of more, neighbours are merged at quantiles of the training
 rows, and a merged grade counts as the mean of its rows.
@@ -27,7 +27,7 @@ from llm.samples import PER_CLASS, fitted, graded_sample
 from llm.shared import arrow_schema, held_out
 from llm.textkernel import NON_SPACE, U, Slice, mix, slices, words
 
-BITS, KINDS, LENGTHS, LEVELS = 16, 3, 24, 32
+BITS, KINDS, LENGTHS, LEVELS = 16, 4, 24, 32
 
 
 @dataclass
@@ -44,8 +44,13 @@ def _tokens(s: Slice) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     top = lambda x: (mix(x) >> U(64 - BITS)).astype(np.int64)
     tail = s.data[w.end - 1].astype(U) * U(257) + s.data[np.maximum(w.end - 2, w.start)].astype(U) if len(w.end) else np.zeros(0, U)
     form = (np.minimum(w.end - w.start, 40).astype(U) * U(256) + s.data[w.start].astype(U)) if len(w.end) else np.zeros(0, U)
+    again = np.zeros(len(w.hash), U)
+    place = np.arange(len(w.hash)) - np.repeat(w.offsets[:-1], np.diff(w.offsets))
+    for k in (3, 2, 1):  # the nearest one counts
+        again[k:][(w.hash[k:] == w.hash[:-k]) & (place[k:] >= k)] = k
     length = np.minimum(LENGTHS - 1, np.log2(np.diff(w.offsets) + 1)).astype(np.int64)
-    return [(w.hash >> U(64 - BITS)).astype(np.int64), (1 << BITS) + top(tail + U(1 << 20)), (2 << BITS) + top(form + U(1 << 30))], w.offsets, length
+    shared = [(w.hash >> U(64 - BITS)).astype(np.int64), (1 << BITS) + top(tail + U(1 << 20)), (2 << BITS) + top(form + U(1 << 30))]
+    return [*shared, (3 << BITS) + top(again + U(1 << 40))], w.offsets, length
 
 
 def _linear(weight: np.ndarray, kinds, offsets, length) -> np.ndarray:
