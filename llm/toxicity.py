@@ -32,8 +32,9 @@ from llm.shared import held_out
 from llm.textkernel import ALNUM, U, Words, mix, runs, slices, words
 
 BITS, BLOCK = 16, 128
-#: A word is toxic if it stands in toxic documents of so many families, at least this share of them, and so much more often there.
-FAMILIES, SHARE, RATIO = 5, 0.02, 12.0
+#: A word is toxic if it stands in toxic documents of so many families, at least this share of them, and so much more often there:
+#: in RATIO times the share of families, or in LESS times the share of families and RATIO times the share of places.
+FAMILIES, SHARE, RATIO, LESS = 5, 0.02, 12.0, 3.0
 BEGINNINGS = (5, 7)
 
 
@@ -195,12 +196,17 @@ def _toxic_words(h: np.ndarray, offsets: np.ndarray, y: np.ndarray, family: np.n
     """Hashes of the words that mark toxic documents, counted once for each family of near copies."""
     doc = np.repeat(np.arange(len(y)), np.diff(offsets))
     word, at = np.unique(h, return_inverse=True)
-    seen = np.unique(np.stack([at.reshape(-1), np.unique(family, return_inverse=True)[1].reshape(-1)[doc], y[doc]], 1), axis=0)
+    kin = np.unique(family, return_inverse=True)[1].reshape(-1)
+    seen = np.unique(np.stack([at.reshape(-1), kin[doc], y[doc]], 1), axis=0)
     bad = np.bincount(seen[:, 0], seen[:, 2], len(word))
     good = np.bincount(seen[:, 0], 1 - seen[:, 2], len(word))
     families = [max(1, len(np.unique(family[y == v]))) for v in (0, 1)]
     ratio = (bad + 0.1) / (families[1] + 1) / ((good + 0.1) / (families[0] + 1))
-    return word[(bad >= max(FAMILIES, SHARE * families[1])) & (ratio >= RATIO)]
+    # places of a word in a text of its family's mean, as shares of the text
+    weight = (1 / np.maximum(np.diff(offsets), 1) / np.bincount(kin * 2 + y)[kin * 2 + y])[doc]
+    dense = [np.bincount(at.reshape(-1), weight * (y[doc] == v), len(word)) / families[v] for v in (0, 1)]
+    often = dense[1] >= RATIO * dense[0]
+    return word[(bad >= max(FAMILIES, SHARE * families[1])) & ((ratio >= RATIO) | (often & (ratio >= LESS)))]
 
 
 def fit(texts: pa.Array, y: np.ndarray, epochs: int = 25) -> Model:
