@@ -2,6 +2,7 @@
 
 import binascii
 import math
+import os
 import random
 import re
 
@@ -162,6 +163,54 @@ def test_ordered_grades(labelled, docs):
     assert quality.grades(docs, model, wanted=2).where("tail is null or tail < 0 or tail > 1").isEmpty()
 
 
+def test_words_that_clean_texts_hold_now_and_then(spark):
+    """A mark that stands densely in toxic texts and once in every seventh clean one."""
+    rng = random.Random(8)
+    plain = lambda n: [rng.choice("abcdefghijk") * rng.randrange(1, 5) for _ in range(n)]
+
+    def text(i):
+        out = plain(60)
+        for k in range(6 if i % 4 == 0 else i % 7 == 0):
+            out[rng.randrange(60)] = "grubnik" + rng.choice("abcdefghijk") * 3
+        return " ".join(out)
+
+    rows = [(i, text(i), int(i % 4 == 0)) for i in range(600)]
+    model = toxicity.fit(pa.array([t for i, t, _ in rows if i >= 200]), np.array([y for i, _, y in rows if i >= 200]))
+    got = toxicity.toxicity(spark.createDataFrame([r[:2] for r in rows[:200]], "doc_id long, text string"), model).collect()
+    assert np.mean([(r["score"] >= 0.5) == rows[r["id"]][2] for r in got]) > 0.97
+
+
+def test_repeated_words_lower_the_grade(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7)))
+    fill = lambda n: " ".join(word() for _ in range(n))
+    stuck = lambda n: " ".join(" ".join([word()] * 8) for _ in range(n // 8))
+    texts = [fill(64) if i % 2 else stuck(64) for i in range(300)]
+    model = quality.fit(pa.array(texts[:200]), np.arange(200) % 2.0)
+    rows = [(i, t) for i, t in enumerate(texts[200:])] + [(900, "x"), (901, "x x"), (902, "x"), (903, ""), (904, None)]
+    got = {r["id"]: r["tail"] for r in quality.grades(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert all((got[i] >= 0.5) == (i % 2 == 1) for i in range(100))
+    assert got[900] == got[902]  # the word before belongs to another text
+    tokens = quality._tokens(next(slices(pa.array(["a b a", "a", "b b"]))))
+    same = tokens[0][3]
+    assert len(set(same[[0, 1, 3, 4]])) == 1 and len({same[0], same[2], same[5]}) == 3
+
+
+def test_held_out_errors(spark, data):
+    """Rows of the test fold at sf0.1; six of the toxic ones hold no word that marks toxicity anywhere."""
+    data = os.path.join(os.path.dirname(data), "sf0.1")
+    if not os.path.isdir(data):
+        pytest.skip("supplied tables not present")
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    share = lambda rows, value: sum(r["predicted"] == value for r in rows) / len(rows)
+    got = toxicity.op2_toxicity(spark, data).where("held_out").join(labels, "doc_id").collect()
+    assert share([r for r in got if r["toxic"] == 1], 1) >= 0.92
+    assert share([r for r in got if r["toxic"] == 0], 1) <= 0.03
+    got = quality.op4_quality(spark, data).where("held_out").join(labels, "doc_id").collect()
+    assert share([r for r in got if r["quality"] == 0], 1) <= 0.05
+    assert share([r for r in got if r["quality"] == 1], 0) <= 0.02
+
+
 def test_mixing_counts(spark):
     rows = [(i, "x" * 50, "big" if i % 10 else "small") for i in range(4000)] + [(None, "x" * 50, None), (7, None, "small")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
