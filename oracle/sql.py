@@ -662,6 +662,9 @@ select event_id, (v % 256)::int as b256, (v % 100)::int as b100, (v % 1024)::int
     "stream_windows": sql(
         f"select call_id, {STAMP.format('window_start')}, {STAMP.format('window_end')}, md5(text) as text from win10", {"win10": windows("turns", "ts", "5 seconds", 2)}
     ),
+    "table_windows": sql(
+        f"select call_id, {STAMP.format('window_start')}, {STAMP.format('window_end')}, md5(text) as text from win10", {"win10": windows("turns", "ts", "5 seconds", 2)}
+    ),
     "stream_detect": sql(
         f"select call_id, {STAMP.format('window_start')}, risk_level, {r3('raw_score')} as risk_score, fraud_type from wlevel", WIN
     ),

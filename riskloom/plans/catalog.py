@@ -661,6 +661,12 @@ def stream_windows(spark, folder):
     return done.select("call_id", stamp("window_start"), stamp("window_end"), F.md5("text").alias("text"))
 
 
+def table_windows(spark, folder):
+    """The same windows over the table of utterances, put together from panes."""
+    done = live.transcript_windows(derived.utterances(spark, folder))
+    return done.select("call_id", stamp("window_start"), stamp("window_end"), F.md5("text").alias("text"))
+
+
 def _call_windows(spark, folder):
     return live.transcript_windows(derived.calls(spark, folder), WINDOW, SLIDE)
 
@@ -812,6 +818,7 @@ QUERIES = {
     "ingest_cases": ingest_cases,
     "case_provenance": case_provenance,
     "stream_windows": stream_windows,
+    "table_windows": table_windows,
     "stream_detect": stream_detect,
     "risk_escalation": risk_escalation,
     "stream_alerts": stream_alerts,

@@ -9,17 +9,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..lexicon import DEFAULT, Lexicon
 from ..operators.cases import accepted_cases, chosen_cases, redact_docs, rule_cases, validate_cases
 from ..operators.dedup import unseen
-from ..sources.articles import allow_listed, clean_pages, dedup_docs, long_enough, with_source_name
+from ..sources.articles import dedup_docs, named_texts
 from ..sources.store import CaseStore
 
 
 def pages_to_docs(pages: DataFrame, seeds: DataFrame, order: str, only_listed: bool = True) -> DataFrame:
     """A batch of pages (url, html) as clean, redacted, deduplicated documents."""
-    if only_listed:
-        pages = allow_listed(pages, seeds)
-    named = with_source_name(pages, seeds)
-    docs = redact_docs(long_enough(clean_pages(named)).drop("html"))
-    return dedup_docs(docs, order)
+    return dedup_docs(redact_docs(named_texts(pages, seeds, only_listed)), order)
 
 
 def extract_cases(

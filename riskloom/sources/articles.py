@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import html
 from ..functions.text import bind, present, strip, url_host
 from ..operators.cases import once
-from ..operators.dedup import first_per_key
+from ..operators.dedup import FEW, first_per_key
 from ..schemas import ARTICLE_FILE, SEED_FILE
 
 MIN_TEXT = 80
@@ -73,10 +73,28 @@ def with_source_name(pages: DataFrame, seeds: DataFrame) -> DataFrame:
 
     The last seed entry of a url counts. A seed's empty name stays empty.
     """
-    names = seeds.groupBy("url").agg(F.max_by("source_name", "pos").alias("_name"))
-    return pages.join(names, "url", "left").withColumn(
-        "source_name", F.coalesce("_name", url_host(F.col("url")))
-    ).drop("_name")
+    return _named(pages, seed_names(seeds), "left")
+
+
+def seed_names(seeds: DataFrame) -> DataFrame:
+    """(url, _name): one row per seed, with the name of its last entry."""
+    return seeds.groupBy("url").agg(F.max_by("source_name", "pos").alias("_name"))
+
+
+def _named(pages: DataFrame, names: DataFrame, how: str) -> DataFrame:
+    return pages.join(names, "url", how).withColumn("source_name", F.coalesce("_name", url_host(F.col("url")))).drop("_name")
+
+
+def named_texts(pages: DataFrame, seeds: DataFrame, only_listed: bool = True, few: int = FEW) -> DataFrame:
+    """Pages (url, html) as cleaned texts with `source_name`; raw html is never shuffled.
+
+    One join serves the allow-list and the name. If the seeds are counted as few, they go to the pages, and
+    only listed pages are cleaned; otherwise pages are cleaned where they lie and their texts meet the seeds.
+    """
+    names = seed_names(seeds)
+    if only_listed and names.select(F.lit(1)).limit(few + 1).count() <= few:
+        return long_enough(clean_pages(_named(pages, F.broadcast(names), "inner"))).drop("html")
+    return _named(long_enough(clean_pages(pages)).drop("html"), names, "inner" if only_listed else "left")
 
 
 def clean_pages(

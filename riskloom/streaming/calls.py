@@ -6,7 +6,7 @@ import pickle
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..lexicon import DEFAULT, Lexicon
@@ -26,8 +26,14 @@ def transcript_windows(
 
     Input: utterances(call_id, utt_id, ts, text). Pieces are joined in (ts, utt_id)
     order. The same function serves a table and a stream; a stream needs `late`, the
-    delay after which a piece is dropped and its windows close.
+    delay after which a piece is dropped and its windows close. Windows of a table whose
+    size is a multiple of their slide are put together from panes (`_pane_windows`).
+    Pieces without a time are in no window.
     """
+    if not utterances.isStreaming and isinstance(utterances.schema["ts"].dataType, T.TimestampType):
+        span, step = (_micros(utterances.sparkSession, length) for length in (size, slide))
+        if span % step == 0:
+            return _pane_windows(utterances, step, span // step)
     if late:
         utterances = utterances.withWatermark("ts", late)
     said = F.array_sort(F.collect_list(F.struct("ts", "utt_id", "text")))
@@ -40,6 +46,45 @@ def transcript_windows(
     )
 
 
+#: Panes whose windows are put together in one group of rows.
+BLOCK_PANES = 256
+
+
+def _micros(spark: SparkSession, length: str) -> int:
+    return spark.sql(f"select unix_micros(timestamp_seconds(0) + interval {length})").first()[0]
+
+
+def _pane_windows(utterances: DataFrame, step: int, n: int, panes: int = BLOCK_PANES) -> DataFrame:
+    """Windows of `n` panes of `step` microseconds each, one shuffle for all of it.
+
+    Time is cut into blocks of panes, and a piece goes to the block of its pane, near the start of a block
+    also to the one before, whose last windows reach into it: of n copies of each piece, one for each of its
+    windows, 1 + (n - 1) / panes are shuffled. Inside a block the pieces of a pane are sorted once, and windows join
+    the panes next to each other. A call's blocks lie in different tasks, so a call of any length is split.
+    """
+    whole = lambda c, k: F.expr(f"({c} - pmod({c}, {k}L)) div {k}L")
+    said = utterances.where(F.col("ts").isNotNull()).select("call_id", "ts", "utt_id", "text", F.unix_micros("ts").alias("_us"))
+    said = said.withColumn("_pane", whole("_us", step)).withColumn("_first", F.col("_pane") - (n - 1))
+    blocks = F.sequence(whole("_first", panes), whole("_pane", panes))
+    rows = said.withColumn("_block", F.explode(blocks)).repartition("call_id", "_block")
+    sorted_panes = rows.groupBy("call_id", "_block", "_pane").agg(
+        F.array_sort(F.collect_list(F.struct("ts", "utt_id", "text"))).alias("_said")
+    )
+    starts = F.sequence(
+        F.greatest(F.col("_pane") - (n - 1), F.col("_block") * panes), F.least(F.col("_pane"), F.col("_block") * panes + (panes - 1))
+    )
+    joined = sorted_panes.withColumn("_start", F.explode(starts)).groupBy("call_id", "_block", "_start").agg(
+        F.array_sort(F.collect_list(F.struct("_pane", "_said"))).alias("_parts")
+    )
+    pieces = F.flatten(F.transform("_parts", lambda p: p["_said"]))
+    return joined.select(
+        "call_id",
+        F.timestamp_micros(F.col("_start") * step).alias("window_start"),
+        F.timestamp_micros((F.col("_start") + n) * step).alias("window_end"),
+        F.array_join(F.transform(pieces, lambda s: s["text"]), "").alias("text"),
+    )
+
+
 def score_windows(
     windows: DataFrame,
     cases: DataFrame,

@@ -8,7 +8,7 @@ from riskloom.files import Folder
 from riskloom.operators.dedup import first_per_key, last_per_key, unseen
 from riskloom.operators.phrases import phrase_matches
 from riskloom.session import work_folder
-from riskloom.sources.articles import allow_listed, clean_pages, dedup_docs, long_enough, read_articles, read_seeds, split_rejected, with_source_name
+from riskloom.sources.articles import allow_listed, clean_pages, dedup_docs, long_enough, named_texts, read_articles, read_seeds, split_rejected, with_source_name
 from riskloom.sources.store import CaseStore, stats_by_type
 from pyspark.sql import functions as F
 
@@ -247,3 +247,31 @@ def test_matcher_against_brute_force(monkeypatch):
     got = phrases.Matcher(words)(column).to_pylist()
     assert got == [[i for i, w in enumerate(words) if w in (t or "")] for t in texts]
     assert phrases.Matcher([])(pa.array(["a", None])).to_pylist() == [[], []] and phrases.Matcher(["a"])(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_named_texts_by_either_route(spark):
+    """Few seeds go to the pages, many meet the texts; both give what two joins on raw pages give, and move no html."""
+    body = lambda i: f"<html><title>t{i}</title><body><article>{'<p>' + f'text {i} ' * 20 + '</p>'}</article></body></html>"
+    pages = spark.createDataFrame(
+        [(i, f"https://h{i % 3}.cn/{i % 20}", body(i)) for i in range(60)] + [(90, None, body(90)), (91, "https://h0.cn/0", None), (92, "https://h0.cn/0", "<p>short</p>")],
+        "page_id long, url string, html string",
+    ).repartition(4)
+    seeds = spark.createDataFrame(
+        [(i, f"https://h{i % 3}.cn/{i % 20}", name) for i in range(30) for name in ([f"n{i}"] if i % 4 else [""])] + [(99, "https://h1.cn/1", "last"), (100, "https://other.cn", "x")],
+        "pos long, url string, source_name string",
+    )
+    want = sorted(map(str, long_enough(clean_pages(with_source_name(allow_listed(pages, seeds), seeds))).select("page_id", "url", "source_name", "title", "text").collect()))
+    assert 10 < len(want) < 60
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for few in (1000, 5):
+            got = named_texts(pages, seeds, few=few)
+            assert sorted(map(str, got.select("page_id", "url", "source_name", "title", "text").collect())) == want
+            plan = named_texts(pages.repartition(4), seeds, few=few)._jdf.queryExecution().executedPlan().toString()
+            assert ("BroadcastHashJoin" in plan) == (few == 1000) and ("SortMergeJoin" in plan) == (few == 5)
+        every = named_texts(pages, seeds, only_listed=False)
+        plain = long_enough(clean_pages(with_source_name(pages, seeds)))
+        assert sorted(map(str, every.select("page_id", "source_name", "text").collect())) == sorted(map(str, plain.select("page_id", "source_name", "text").collect()))
+        assert "html" not in every.columns and named_texts(pages, seeds.where("false")).isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,6 +24,42 @@ def rows_of(df):
     return sorted(map(str, df.collect()))
 
 
+def plain_windows(rows, size, slide):
+    """(call, window start, text) by brute force; times in microseconds."""
+    out = {}
+    for call, utt, us, text in rows:
+        if us is not None:
+            for start in range((us // slide) * slide, us - size, -slide):
+                out.setdefault((call, start), []).append((us, utt, text))
+    return sorted((str(c), s, "".join(t for _, _, t in sorted(said) if t)) for (c, s), said in out.items())
+
+
+@pytest.mark.parametrize("size, slide, panes", [("10 seconds", "5 seconds", 4), ("60 seconds", "5 seconds", 8), ("5 seconds", "5 seconds", 256), ("40 seconds", "2 seconds", 3)])
+def test_windows_from_panes(spark, size, slide, panes, monkeypatch):
+    """Blocks smaller and larger than a window, before and after 1970, on the edges of panes; repeated rows, nulls, a hot call."""
+    monkeypatch.setattr(live._pane_windows, "__defaults__", (panes,))
+    rng = random.Random(6)
+    times = [rng.choice([-7_000_000, 0, 1_704_067_200_000_000]) + rng.randrange(-90, 90) * 1_000_000 + rng.choice([0, 0, -1, 1]) for _ in range(400)]
+    rows = [(None if i % 50 == 0 else 1 if i % 3 else i % 7, i // 2, us, f"<{i}>") for i, us in enumerate(times)]
+    rows += rows[:5] + [(1, 900, None, "no time"), (2, 901, 5, None), (2, 902, 5, "")]
+    # a null text sorts with the others of its place and adds nothing
+    df = spark.createDataFrame(rows, "call_id long, utt_id long, us long, text string").selectExpr("call_id", "utt_id", "timestamp_micros(us) as ts", "text", "1 as _block", "2 as block").repartition(3)
+    got = live.transcript_windows(df, size, slide)
+    found = got.select(F.col("call_id"), F.unix_micros("window_start"), "text", (F.unix_micros("window_end") - F.unix_micros("window_start")).alias("n")).collect()
+    want = plain_windows([(c, u, us, t or "") for c, u, us, t in rows], *(int(x.split()[0]) * 10**6 for x in (size, slide)))
+    assert sorted((str(r[0]), r[1], r[2]) for r in found) == want and {r["n"] for r in found} == {int(size.split()[0]) * 10**6}
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert live.transcript_windows(df.where("false"), size, slide).count() == 0
+
+
+def test_windows_that_no_panes_fill(spark):
+    """Seven seconds every two: the size is no multiple of the slide."""
+    rows = [(1, i, i * 1_300_000, f"<{i}>") for i in range(40)]
+    df = spark.createDataFrame(rows, "call_id long, utt_id long, us long, text string").selectExpr("call_id", "utt_id", "timestamp_micros(us) as ts", "text")
+    got = live.transcript_windows(df, "7 seconds", "2 seconds").select("call_id", F.unix_micros("window_start").alias("s"), "text").collect()
+    assert sorted((str(r[0]), r[1], r[2]) for r in got) == plain_windows(rows, 7_000_000, 2_000_000)
+
+
 def test_stream_equals_table(spark, data):
     """Windows, scores and alerts run as one stream give what the table plan gives."""
     assert rows_of(catalog.stream_alerts(spark, data)) == rows_of(catalog.risk_escalation(spark, data))
