@@ -495,6 +495,10 @@ ORACLES: dict[str, str] = {
         f" case when art_id % 5 = 2 then {q(DEFAULT_SOURCE)} else '某站' end as source_name,"
         " case when art_id % 5 = 3 then '' else title end as title, publish_date, text_hash from docs where art_id % 5 <> 4"
     ),
+    "src_articles_order": sql(
+        "select art_id, sha256(art_id::varchar) || '.json' as file,"
+        " row_number() over (order by sha256(art_id::varchar) || '.json', url) as rank from docs"
+    ),
     "src_seed_sources": sql("select url, source_name from seed_all"),
     "pages_to_docs": sql(
         "select *, sha256(text) as text_hash from page_docs qualify row_number() over (partition by text order by page_id) = 1"
@@ -665,6 +669,9 @@ select event_id, (v % 256)::int as b256, (v % 100)::int as b100, (v % 1024)::int
     "table_windows": sql(
         f"select call_id, {STAMP.format('window_start')}, {STAMP.format('window_end')}, md5(text) as text from win10", {"win10": windows("turns", "ts", "5 seconds", 2)}
     ),
+    "stream_windows_panes": sql(
+        f"select call_id, {STAMP.format('window_start')}, {STAMP.format('window_end')}, md5(text) as text from win60", {"win60": windows("turns", "ts", "5 seconds", 12)}
+    ),
     "stream_detect": sql(
         f"select call_id, {STAMP.format('window_start')}, risk_level, {r3('raw_score')} as risk_score, fraud_type from wlevel", WIN
     ),

@@ -149,6 +149,14 @@ def src_articles(spark, folder):
     )
 
 
+def src_articles_order(spark, folder):
+    """The read order of the articles as a number: by file name, here the hash of the article's number."""
+    listed = derived.articles(spark, folder).select(
+        "art_id", F.struct(F.concat(F.sha2(F.col("art_id").cast("string"), 256), F.lit(".json")).alias("file"), "url").alias("seq")
+    )
+    return src.read_rank(listed).select("art_id", F.col("seq.file").alias("file"), "rank")
+
+
 def src_seed_sources(spark, folder):
     path = work_folder(spark, "seeds")
     named = F.when(F.col("source_name") != "", F.col("source_name")).alias("source_name")
@@ -643,6 +651,7 @@ def _stream_of(spark: SparkSession, df: DataFrame, purpose: str) -> DataFrame:
     The last row moves the watermark past every real window; its own window stays open
     and never leaves the stream. It is a file of its own, read after the data.
     """
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.ROCKSDB)
     path = work_folder(spark, purpose)
     df.select("call_id", "utt_id", "ts", "text").write.parquet(path)
     flush = spark.sql(
@@ -661,6 +670,15 @@ def stream_windows(spark, folder):
     return done.select("call_id", stamp("window_start"), stamp("window_end"), F.md5("text").alias("text"))
 
 
+def stream_windows_panes(spark, folder):
+    """Run as a stream with 60 s windows every 5 s: twelve windows a piece, which lies in the state once."""
+    stream = _stream_of(spark, derived.utterances(spark, folder), "utterances")
+    out, mark = work_folder(spark, "windows"), work_folder(spark, "windows-checkpoint")
+    live.run_to_table(live.transcript_windows(stream, "60 seconds", "5 seconds", late="60 seconds"), out, mark)
+    done = spark.read.schema("call_id bigint, window_start timestamp, window_end timestamp, text string").parquet(out)
+    return done.select("call_id", stamp("window_start"), stamp("window_end"), F.md5("text").alias("text"))
+
+
 def table_windows(spark, folder):
     """The same windows over the table of utterances, put together from panes."""
     done = live.transcript_windows(derived.utterances(spark, folder))
@@ -711,7 +729,6 @@ def risk_escalation(spark, folder, topk=TopKOptions()):
 
 def stream_alerts(spark, folder):
     """Windows, scores and alerts chained in one streaming query."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.ROCKSDB)
     cases = stored(spark, folder).read()
     stream = _stream_of(spark, derived.calls(spark, folder), "calls")
     scored = live.score_windows(live.transcript_windows(stream, WINDOW, SLIDE, late=WINDOW), cases)
@@ -743,6 +760,7 @@ def stream_alerts_partitioned(spark, folder, parts=3):
 
 QUERIES = {
     "src_articles": src_articles,
+    "src_articles_order": src_articles_order,
     "src_seed_sources": src_seed_sources,
     "pages_to_docs": pages_to_docs,
     "case_upsert": case_upsert,
@@ -819,6 +837,7 @@ QUERIES = {
     "case_provenance": case_provenance,
     "stream_windows": stream_windows,
     "table_windows": table_windows,
+    "stream_windows_panes": stream_windows_panes,
     "stream_detect": stream_detect,
     "risk_escalation": risk_escalation,
     "stream_alerts": stream_alerts,

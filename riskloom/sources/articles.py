@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions import html
 from ..functions.text import bind, present, strip, url_host
 from ..operators.cases import once
 from ..operators.dedup import FEW, first_per_key
 from ..schemas import ARTICLE_FILE, SEED_FILE
+from ..session import work_folder
 
 MIN_TEXT = 80
 DEFAULT_SOURCE = "本地文件"

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..lexicon import DEFAULT, Lexicon
@@ -19,21 +19,29 @@ from .batches import BatchTable
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: From this many windows per piece on, a stream keeps panes: a piece once in the state, in place of once per window.
+OVERLAPS = 8
+
+
 def transcript_windows(
-    utterances: DataFrame, size: str = "10 seconds", slide: str = "5 seconds", late: str | None = None
+    utterances: DataFrame, size: str = "10 seconds", slide: str = "5 seconds", late: str | None = None, overlaps: int = OVERLAPS
 ) -> DataFrame:
     """What was said per call and sliding window: (call_id, window_start, window_end, text).
 
     Input: utterances(call_id, utt_id, ts, text). Pieces are joined in (ts, utt_id)
     order. The same function serves a table and a stream; a stream needs `late`, the
-    delay after which a piece is dropped and its windows close. Windows of a table whose
-    size is a multiple of their slide are put together from panes (`_pane_windows`).
-    Pieces without a time are in no window.
+    delay after which a piece is dropped and its windows close. Windows whose size is a
+    multiple of their slide are put together from panes, of a table by `_pane_windows`, of a
+    stream by `_pane_stream`, which needs the RocksDB state store as `rise_alerts` does. A
+    stream whose windows overlap fewer than `OVERLAPS` times keeps a piece once per window, in
+    Spark's own window state. Pieces without a time are in no window.
     """
-    if not utterances.isStreaming and isinstance(utterances.schema["ts"].dataType, T.TimestampType):
+    if isinstance(utterances.schema["ts"].dataType, T.TimestampType):
         span, step = (_micros(utterances.sparkSession, length) for length in (size, slide))
-        if span % step == 0:
+        if span % step == 0 and not utterances.isStreaming:
             return _pane_windows(utterances, step, span // step)
+        if span % step == 0 and step % 1000 == 0 and late and span // step >= overlaps:
+            return _pane_stream(utterances, step, span // step, late)
     if late:
         utterances = utterances.withWatermark("ts", late)
     said = F.array_sort(F.collect_list(F.struct("ts", "utt_id", "text")))
@@ -54,6 +62,11 @@ def _micros(spark: SparkSession, length: str) -> int:
     return spark.sql(f"select unix_micros(timestamp_seconds(0) + interval {length})").first()[0]
 
 
+def _whole(column: str, size: int) -> Column:
+    """column / size, rounded down."""
+    return F.expr(f"({column} - pmod({column}, {size}L)) div {size}L")
+
+
 def _pane_windows(utterances: DataFrame, step: int, n: int, panes: int = BLOCK_PANES) -> DataFrame:
     """Windows of `n` panes of `step` microseconds each, one shuffle for all of it.
 
@@ -62,7 +75,7 @@ def _pane_windows(utterances: DataFrame, step: int, n: int, panes: int = BLOCK_P
     windows, 1 + (n - 1) / panes are shuffled. Inside a block the pieces of a pane are sorted once, and windows join
     the panes next to each other. A call's blocks lie in different tasks, so a call of any length is split.
     """
-    whole = lambda c, k: F.expr(f"({c} - pmod({c}, {k}L)) div {k}L")
+    whole = _whole
     said = utterances.where(F.col("ts").isNotNull()).select("call_id", "ts", "utt_id", "text", F.unix_micros("ts").alias("_us"))
     said = said.withColumn("_pane", whole("_us", step)).withColumn("_first", F.col("_pane") - (n - 1))
     blocks = F.sequence(whole("_first", panes), whole("_pane", panes))
@@ -85,6 +98,119 @@ def _pane_windows(utterances: DataFrame, step: int, n: int, panes: int = BLOCK_P
     )
 
 
+class PaneWindows(StatefulProcessor):
+    """Windows of the pieces of one block of one call; every piece lies in the state once, in its pane.
+
+    A window closes when the watermark passes its end. There is one timer, for the earliest window that is
+    still open and not empty. When it expires, all closed windows leave together and the panes that no open window
+    needs are removed. A piece all of whose windows have closed is dropped; one that is late for some of them
+    is in the others, as with windows grouped one by one.
+    """
+
+    def __init__(self, step_ms: int, n: int, panes: int):
+        self.step_ms, self.n, self.panes = step_ms, n, panes
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.said = handle.getMapState("panes", "pane bigint, part int", "us array<bigint>, utt array<string>, text array<string>")
+        # windows up to `closed` are done with; `due` is the time of the timer
+        self.mark = handle.getValueState("mark", "closed bigint, due bigint")
+
+    def _closed(self, timerValues) -> int:
+        """The last window whose end the watermark has passed."""
+        return timerValues.getCurrentWatermarkInMs() // self.step_ms - self.n
+
+    def _first_open(self, panes: Iterable[int], block: int, closed: int) -> int:
+        return max(min(panes) - self.n + 1, block * self.panes, closed + 1)
+
+    def _set(self, closed: int, window: int, due: int | None) -> None:
+        at = (window + self.n) * self.step_ms
+        if due is None or at < due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(at)
+            due = at
+        self.mark.update((closed, due))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        block, passed = int(key[2]), self._closed(timerValues)
+        last = (block + 1) * self.panes - 1
+        closed, due = self.mark.get() or (passed, None)
+        parts: dict[int, int] = {}
+        if due is not None:
+            for pane, part in self.said.keys():
+                parts[pane] = max(parts.get(pane, 0), part + 1)
+        fresh = []
+        for frame in rows:
+            for pane, some in frame.groupby("pane"):
+                pane = int(pane)
+                if min(pane, last) > passed:
+                    self.said.updateValue((pane, parts.get(pane, 0)), (some["us"].tolist(), some["utt"].tolist(), some["text"].tolist()))
+                    parts[pane] = parts.get(pane, 0) + 1
+                    fresh.append(pane)
+        if fresh:
+            self._set(closed, self._first_open(fresh, block, closed), due)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        block, passed = int(key[2]), self._closed(timerValues)
+        first, last = block * self.panes, (block + 1) * self.panes - 1
+        closed, _ = self.mark.get()
+        held: dict[int, list] = {}
+        for (pane, part), pieces in self.said.iterator():
+            held.setdefault(pane, []).append((part, pieces))
+        windows = {s for pane in held for s in range(max(pane - self.n + 1, first, closed + 1), min(pane, last, passed) + 1)}
+        out: dict[str, list] = {"none": [], "call": [], "start": [], "us": [], "utt": [], "text": []}
+        for s in sorted(windows):
+            here = [pieces for pane in range(s, s + self.n) for _, pieces in held.get(pane, [])]
+            for name, values in zip(out, (key[0], key[1], s, *([v for p in here for v in p[i]] for i in range(3))), strict=True):
+                out[name].append(values)
+        for pane in [p for p in held if min(p, last) <= passed]:
+            for part, _ in held.pop(pane):
+                self.said.removeKey((pane, part))
+        if held:
+            self._set(passed, self._first_open(held, block, passed), None)
+        else:
+            self.mark.clear()
+        if windows:
+            end = pd.to_datetime((pd.Series(out["start"]) + self.n) * self.step_ms, unit="ms", utc=True)
+            yield pd.DataFrame({**out, "window_end": end})
+
+    def close(self) -> None:
+        pass
+
+
+def _pane_stream(utterances: DataFrame, step: int, n: int, late: str, panes: int = BLOCK_PANES) -> DataFrame:
+    """Windows of `n` panes of `step` microseconds each, of a stream: the state holds a piece once.
+
+    As in a table, time is cut into blocks of panes, so a call that never ends is many groups; a piece near the
+    start of a block is in the state of the one before as well: 1 + (n - 1) / panes times on average, not n times.
+    """
+    shape = utterances.schema
+    said = utterances.withWatermark("ts", late).where(F.col("ts").isNotNull()).withColumn("us", F.unix_micros("ts"))
+    said = said.withColumn("pane", _whole("us", step)).withColumn("_first", F.col("pane") - (n - 1))
+    call, utt = F.col("call_id").cast("string"), F.col("utt_id").cast("string").alias("utt")
+    none = F.col("call_id").isNull().alias("none")
+    # the time goes in as a number: a piece late for one of its windows is not late for all
+    rows = said.select(
+        none, F.coalesce(call, F.lit("")).alias("call"), F.explode(F.sequence(_whole("_first", panes), _whole("pane", panes))).alias("block"),
+        "pane", "us", utt, "text",
+    )
+    found = rows.groupBy("none", "call", "block").transformWithStateInPandas(
+        statefulProcessor=PaneWindows(step // 1000, n, panes),
+        outputStructType="none boolean, call string, start bigint, us array<bigint>, utt array<string>, text array<string>, window_end timestamp",
+        outputMode="Append", timeMode="EventTime", eventTimeColumnName="window_end",
+    )
+    piece = lambda us, utt, text: F.struct(us.alias("us"), utt.cast(shape["utt_id"].dataType).alias("utt"), text.alias("text"))
+    zipped = F.transform(F.arrays_zip("us", "utt", "text"), lambda s: piece(s["us"], s["utt"], s["text"]))
+    return found.select(
+        F.when(~F.col("none"), F.col("call").cast(shape["call_id"].dataType)).alias("call_id"),
+        F.timestamp_micros(F.col("start") * step).alias("window_start"),
+        "window_end",
+        F.array_join(F.transform(F.array_sort(zipped), lambda s: s["text"]), "").alias("text"),
+    )
+
+
 def score_windows(
     windows: DataFrame,
     cases: DataFrame,

@@ -15,7 +15,7 @@ from riskloom.plans.catalog import QUERIES
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SOME = [
     "pages_to_docs", "case_upsert", "page_main_container", "pii_redact", "pii_scan", "phrase_hits_join", "similar_topk_partitioned",
-    "rule_score", "hash_embed", "dense_topk", "validate_cases", "hash_bucket", "detect_calls", "detect_json", "similar_documents", "risk_escalation_partitioned", "page_text_coalesce", "judge_scores", "ingest_cases", "stream_windows", "table_windows",
+    "rule_score", "hash_embed", "dense_topk", "validate_cases", "hash_bucket", "detect_calls", "detect_json", "similar_documents", "risk_escalation_partitioned", "page_text_coalesce", "judge_scores", "ingest_cases", "stream_windows", "table_windows", "stream_windows_panes", "src_articles_order",
 ]
 NAMES = sorted(ORACLES) if os.environ.get("RISKLOOM_ALL") else SOME
 

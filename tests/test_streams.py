@@ -60,6 +60,55 @@ def test_windows_that_no_panes_fill(spark):
     assert sorted((str(r[0]), r[1], r[2]) for r in got) == plain_windows(rows, 7_000_000, 2_000_000)
 
 
+@pytest.mark.parametrize("cuts", [1, 3, 9])
+def test_stream_of_panes(spark, tmp_path, cuts, monkeypatch):
+    """Pieces in any number of micro-batches, each started anew: windows of a minute every five seconds equal brute force.
+
+    Blocks are small; calls without an id, repeated pieces, null texts and ids, and a call in many blocks are there.
+    """
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.ROCKSDB)
+    monkeypatch.setattr(live._pane_stream, "__defaults__", (16,))
+    rng = random.Random(cuts)
+    base = 1_704_067_200_000_000
+    rows = [(None if i % 40 == 0 else 1 if i % 3 else i % 5, i // 2, base + i * 1_700_000 + rng.randrange(-20_000_000, 20_000_000), f"<{i}>") for i in range(300)]
+    rows += [(1, 900, base, None), (1, None, base, "first"), (2, 2**53 + 1, base + 5, "b"), (2, 2**53, base + 5, "a"), (4, 1, None, "no time")] + rows[20:23]
+    shape, source, path = "call_id bigint, utt_id bigint, us bigint, text string", f"{tmp_path}/in", f"{tmp_path}/out"
+    # in the order of time, so that nothing is late by more than the delay
+    rows.sort(key=lambda r: r[2] or base)
+    step = -(-len(rows) // cuts)
+    for at in [*range(0, len(rows), step), None]:
+        part = [(-1, -1, base + 10**13, "")] if at is None else rows[at : at + step]
+        spark.createDataFrame(part, shape).selectExpr("call_id", "utt_id", "timestamp_micros(us) ts", "text").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("call_id bigint, utt_id bigint, ts timestamp, text string").parquet(source)
+        live.run_to_table(live.transcript_windows(stream, "60 seconds", "5 seconds", late="60 seconds"), path, f"{tmp_path}/mark")
+    found = spark.read.parquet(path).select("call_id", F.unix_micros("window_start"), "text", (F.unix_micros("window_end") - F.unix_micros("window_start")).alias("n")).collect()
+    said = [r for r in rows if r[2] is not None]
+    # a piece without a number comes before the others of its time
+    want = plain_windows([(c, -1 if u is None else u, us, t or "") for c, u, us, t in said], 60_000_000, 5_000_000)
+    assert sorted((str(r[0]), r[1], r[2]) for r in found) == want and {r["n"] for r in found} == {60_000_000}
+
+
+def test_late_pieces_of_panes(spark, tmp_path):
+    """A piece behind the watermark is in its open windows only, and no closed window leaves again. The state holds each piece once."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.ROCKSDB)
+    source, path, base = f"{tmp_path}/in", f"{tmp_path}/out", 1_704_067_200
+    batches = [[(1, 0, "a"), (1, 58, "b")], [(1, 100, "c")], [(1, 85, "late"), (1, 20, "lost")], [(1, 400, "z")]]
+    held = []
+    for said in batches:
+        rows = [(c, i, base + s, t) for i, (c, s, t) in enumerate(said)]
+        spark.createDataFrame(rows, "call_id bigint, utt_id bigint, s bigint, text string").selectExpr("call_id", "utt_id", "timestamp_seconds(s) ts", "text").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("call_id bigint, utt_id bigint, ts timestamp, text string").parquet(source)
+        live.run_to_table(live.transcript_windows(stream, "40 seconds", "5 seconds", late="1 second"), path, f"{tmp_path}/mark")
+        state = spark.read.format("statestore").option("stateVarName", "panes").load(f"{tmp_path}/mark")
+        held.append(state.select(F.sum(F.size("user_map_value.us"))).first()[0])
+    got = [(r["s"] - base, r["text"]) for r in spark.read.parquet(path).selectExpr("unix_seconds(window_start) s", "text").collect()]
+    assert len(got) == len({s for s, _ in got})
+    by = dict(got)
+    assert by[0] == "a" and by[20] == "b" and by[55] == "b" and by[60] == "late" and by[65] == "latec" and by[85] == "latec" and by[90] == "c"
+    assert not any("lost" in t for t in by.values())
+    assert held == [1, 1, 2, 1]
+
+
 def test_stream_equals_table(spark, data):
     """Windows, scores and alerts run as one stream give what the table plan gives."""
     assert rows_of(catalog.stream_alerts(spark, data)) == rows_of(catalog.risk_escalation(spark, data))
