@@ -49,6 +49,28 @@ def split_rejected(articles: DataFrame) -> tuple[DataFrame, DataFrame]:
     return articles.filter("not _rejected").drop("_rejected"), articles.filter("_rejected").drop("_rejected")
 
 
+def read_rank(docs: DataFrame, order: str = "seq") -> DataFrame:
+    """Adds `rank`, from 1: the place of each row in the order of column `order` (nulls first) over all rows.
+
+    The rows are sorted by ranges into a table in the shared folder, whose files follow each other in that order.
+    A row's rank is its place in its file, which the reader knows, and the number of rows in the files before,
+    of which there is one count per file. No task sees more than a range, and a retried one repeats nothing, since the
+    table is fixed. Rows equal in `order` take any order among themselves.
+    """
+    spark = docs.sparkSession
+    path = work_folder(spark, "ranked")
+    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    docs.select(kept, F.col(order).alias("key")).sort("key").select("row").write.parquet(path)
+    name, shape = F.col("_metadata.file_name"), T.StructType([T.StructField("row", docs.schema)])
+    slot = F.struct(
+        F.regexp_extract(name, r"^part-(\d+)", 1).cast("long").alias("part"), F.regexp_extract(name, r"-c(\d+)\.", 1).alias("piece")
+    ).alias("slot")
+    rows = spark.read.schema(shape).parquet(path).select("row", slot, F.col("_metadata.row_index").alias("place"))
+    before = F.sum("n").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
+    files = rows.groupBy("slot").agg(F.count("*").alias("n")).select("slot", F.coalesce(before, F.lit(0)).alias("before"))
+    return rows.join(files, "slot").select("row.*", (F.col("before") + F.col("place") + 1).alias("rank"))
+
+
 def read_seeds(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
     """Allow-list: a JSON array of {url, source_name}; a missing name is empty.
 

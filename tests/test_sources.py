@@ -8,7 +8,7 @@ from riskloom.files import Folder
 from riskloom.operators.dedup import first_per_key, last_per_key, unseen
 from riskloom.operators.phrases import phrase_matches
 from riskloom.session import work_folder
-from riskloom.sources.articles import allow_listed, clean_pages, dedup_docs, long_enough, named_texts, read_articles, read_seeds, split_rejected, with_source_name
+from riskloom.sources.articles import allow_listed, clean_pages, dedup_docs, long_enough, named_texts, read_articles, read_rank, read_seeds, split_rejected, with_source_name
 from riskloom.sources.store import CaseStore, stats_by_type
 from pyspark.sql import functions as F
 
@@ -275,3 +275,18 @@ def test_named_texts_by_either_route(spark):
         assert "html" not in every.columns and named_texts(pages, seeds.where("false")).isEmpty()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_read_rank(spark):
+    """Ranks over many ranges and files; nulls first, equal rows beside each other, clashing names, an empty table."""
+    keys = [None if i % 50 == 0 else (i * 7919) % 400 for i in range(1000)]
+    df = spark.createDataFrame([(k, i, "x") for i, k in enumerate(keys)], "seq long, slot long, row string").repartition(6)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "40")
+    try:
+        got = read_rank(df).orderBy("rank").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert [r["rank"] for r in got] == list(range(1, 1001))
+    assert [r["seq"] for r in got] == sorted(keys, key=lambda k: (k is not None, k or 0))
+    assert sorted(r["slot"] for r in got) == list(range(1000)) and got[0].__fields__ == ["seq", "slot", "row", "rank"]
+    assert read_rank(df.where("false")).count() == 0
