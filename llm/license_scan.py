@@ -19,8 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from llm.shared import arrow_schema
+from llm.shared import cut
 from llm.textkernel import ALNUM, U, slices, words
 
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -38,20 +40,23 @@ TEMPLATES = {
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
 }
 LONG, GAP, COVER = 5, 12, 0.5
-RESULT = (
-    "id {id}, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, labels array<string>, score double,"
-    " spans array<struct<label:string,start:int,end:int,coverage:double>>"
-)
+#: Bytes of templates in one automaton (some 700,000 words, a few hundred licences).
+TEMPLATE_BYTES = 4 << 20
+STATS = "n_words long, n_base long, first_word long, last_word long, base_labels array<string>, "
+SPANS = "array<struct<label:string,start:int,end:int,coverage:double>>"
 
 
 class Automaton:
-    """A generalised suffix automaton as dense tables over word numbers."""
+    """A generalised suffix automaton over word numbers: its edges as one sorted array, the rest by suffix links.
+
+    Its size is proportional to the number of words of the templates, whatever their vocabulary is.
+    """
 
     def __init__(self, texts: list[list[str]], phrases: list[list[str]]):
         vocabulary = sorted({w for t in texts + phrases for w in t})
         number = {w: i for i, w in enumerate(vocabulary)}
         column = pa.array(vocabulary, pa.string())
-        hashes = np.concatenate([words(s, ALNUM, True).hash for s in slices(column)])
+        hashes = np.concatenate([np.zeros(0, U), *(words(s, ALNUM, True).hash for s in slices(column))])
         order = np.argsort(hashes)
         self.hashes, self.number = hashes[order], order
         self.length, self.link, go = [0], [-1], [{}]
@@ -62,29 +67,29 @@ class Automaton:
                 last = self._extend(go, last, number[w])
                 self.ends[last].setdefault(t, place)
         for state in sorted(range(1, len(go)), key=lambda s: -self.length[s]):  # a state ends where those that extend it to the left do
-            for t, place in self.ends[state].items():
-                self.ends[self.link[state]].setdefault(t, place)
-        size, terms = len(go), len(vocabulary)
-        self.next = np.zeros((size, terms), np.int32)
-        self.jump = np.zeros((size, terms), np.int32)  # the match length after a step that had to fall back, or 0 if it grew by one
-        for state in sorted(range(size), key=lambda s: self.length[s]):
-            if state:
-                self.next[state] = self.next[self.link[state]]
-                self.jump[state] = np.where(self.jump[self.link[state]] > 0, self.jump[self.link[state]], np.where(self.next[state] > 0, self.length[self.link[state]] + 1, 0))
-            for w, to in go[state].items():
-                self.next[state, w], self.jump[state, w] = to, 0
-        # needed[state, phrase]: the match length from which the phrase is a suffix of the match
-        self.needed = np.full((size, len(phrases)), np.iinfo(np.int32).max, np.int32)
+            if self.length[self.link[state]] >= LONG:  # shorter matches are in no chain
+                for t, place in self.ends[state].items():
+                    self.ends[self.link[state]].setdefault(t, place)
+        self.terms, self.length, self.link = len(vocabulary), np.array(self.length, np.int32), np.array(self.link, np.int32)
+        edges = sorted((state * self.terms + w, to) for state, out in enumerate(go) for w, to in out.items())
+        self.edge, self.target = np.array([e for e, _ in edges], np.int64), np.array([t for _, t in edges], np.int32)
+        held = [sorted(e.items()) for e in self.ends]
+        self.ends_at = np.r_[0, np.cumsum([len(e) for e in held])]
+        self.ends = np.array([pair for e in held for pair in e], np.int32).reshape(-1, 2)
+        # marked[state]: the nearest state up the suffix links, itself included, in which phrases end
+        stands: dict[int, list[int]] = {}
         for p, phrase in enumerate(phrases):
             state = 0
             for w in phrase:
                 state = go[state][number[w]]
-            for s in range(size):
-                up = s
-                while up > 0 and up != state:
-                    up = self.link[up]
-                if up == state:
-                    self.needed[s, p] = len(phrase)
+            if state:
+                stands.setdefault(state, []).append(p)
+        self.marked = np.zeros(len(go), np.int32)
+        for state in np.argsort(self.length, kind="stable").tolist()[1:]:
+            self.marked[state] = state if state in stands else self.marked[self.link[state]]
+        self.phrases_at = np.r_[0, np.cumsum([len(stands.get(state, ())) for state in range(len(go))])]
+        self.phrases = np.array([p for state in sorted(stands) for p in stands[state]], np.int32)
+        self.phrase_size = np.array([len(p) for p in phrases], np.int32)
 
     def _extend(self, go, last, w):
         length, link = self.length, self.link
@@ -120,10 +125,44 @@ class Automaton:
         self.link[q] = clone
         return clone
 
+    def _step(self, s: np.ndarray, m: np.ndarray, w: np.ndarray) -> None:
+        """All runs go on by a word each: along an edge, or after falling back along suffix links to a state that has one.
+
+        The root has an edge for every word of the vocabulary.
+        """
+        left = np.arange(len(s))
+        while len(left):
+            key = s[left].astype(np.int64) * self.terms + w[left]
+            at = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
+            there = self.edge[at] == key
+            go = left[there]
+            s[go], m[go] = self.target[at[there]], m[go] + 1
+            left = left[~there]
+            s[left] = self.link[s[left]]
+            m[left] = self.length[s[left]]
+
+    def found(self, state: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word, phrase) of every phrase that ends at a word, in order of both."""
+        at = np.flatnonzero(self.marked[state])
+        here = self.marked[state[at]]
+        words_of, phrases_of = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        while len(at):
+            n = self.phrases_at[here + 1] - self.phrases_at[here]
+            place = np.repeat(self.phrases_at[here] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            phrase, word = self.phrases[place], np.repeat(at, n)
+            fits = self.phrase_size[phrase] <= size[word]
+            words_of.append(word[fits])
+            phrases_of.append(phrase[fits])
+            here = self.marked[self.link[here]]
+            at, here = at[here > 0], here[here > 0]
+        word, phrase = np.concatenate(words_of), np.concatenate(phrases_of)
+        order = np.lexsort((phrase, word))
+        return word[order], phrase[order]
+
     def stream(self, h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(state, match length) at each word."""
         state, size = np.zeros(len(h), np.int32), np.zeros(len(h), np.int32)
-        if not len(h):
+        if not len(h) or not len(self.hashes):
             return state, size
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         word = np.where(self.hashes[at] == h, self.number[at], -1)
@@ -143,9 +182,7 @@ class Automaton:
         for k in range(int(n[0]) if len(n) else 0):
             live = int(np.searchsorted(-n, -k, "left"))  # runs of more than k words
             w = word[first[:live] + k]
-            jump = self.jump[s[:live], w]
-            s[:live] = self.next[s[:live], w]
-            m[:live] = np.where(jump > 0, jump, m[:live] + 1)
+            self._step(s[:live], m[:live], w)
             state[first[:live] + k], size[first[:live] + k] = s[:live], m[:live]
         return state, size
 
@@ -156,7 +193,7 @@ def _chains(a: Automaton, templates: list[list[str]], lo: int, hi: int, state, s
     by: dict[int, list] = {}
     for e in ends:
         n = int(size[lo + e])
-        for t, place in a.ends[state[lo + e]].items():
+        for t, place in a.ends[a.ends_at[state[lo + e]] : a.ends_at[state[lo + e] + 1]].tolist():
             if t < len(templates):
                 by.setdefault(t, []).append((int(e) - n + 1, int(e) + 1, place - n + 1, place + 1))
     out = []
@@ -174,47 +211,81 @@ def _chains(a: Automaton, templates: list[list[str]], lo: int, hi: int, state, s
     return out
 
 
-def _scan(a: Automaton, phrases: list[list[str]], phrase_labels: list[str], templates: list[list[str]], names: list[str], schema: pa.Schema):
-    sizes = np.array([len(p) for p in phrases])
-
+def _scan(shared, phrase_labels: list[str], templates: list[list[str]], names: list[str], schema: pa.Schema, first: bool):
     def run(batches):
+        a: Automaton = shared.value
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("id"))
             for s in slices(batch.column(batch.schema.get_field_index("text"))):
                 w = words(s, ALNUM, True)
                 n = len(s.rows)
                 state, size = a.stream(w.hash, w.offsets)
-                at, phrase = np.nonzero((size[:, None] >= a.needed[state]) & (size > 0)[:, None])
-                doc = np.searchsorted(w.offsets, at, "right") - 1
-                start = at - sizes[phrase] + 1 - w.offsets[doc]
-                count = np.bincount(doc, minlength=n)
-                edge = np.r_[0, np.cumsum(count)]
                 has_long = np.zeros(n, bool)
                 has_long[np.searchsorted(w.offsets, np.flatnonzero(size >= LONG), "right") - 1] = True
-                cols: list[list] = [[], [], [], [], [], []]
-                for d in range(n):
-                    here = start[edge[d] : edge[d + 1]]
-                    base = sorted({phrase_labels[p] for p in phrase[edge[d] : edge[d + 1]]}) if len(here) else []
-                    chains = _chains(a, templates, w.offsets[d], w.offsets[d + 1], state, size) if has_long[d] else []
-                    more = {names[t] for t, *_, c in chains if c >= COVER}
-                    best = max([1.0 if base else 0.0, *(c for *_, c in chains)])
-                    spans = [{"label": names[t], "start": x, "end": y, "coverage": c} for t, x, y, c in chains]
-                    for col, v in zip(cols, (int(here.min()) if len(here) else None, int(here.max()) if len(here) else None, base, sorted({*base, *more}), best, spans), strict=True):
-                        col.append(v)
-                arrays = [ids.slice(s.rows[0], n), pa.array(np.diff(w.offsets)), pa.array(count)]
-                yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(c, schema.field(3 + i).type) for i, c in enumerate(cols))], schema=schema)
+                chains = [_chains(a, templates, w.offsets[d], w.offsets[d + 1], state, size) if has_long[d] else [] for d in range(n)]
+                spans = [[{"label": names[t], "start": x, "end": y, "coverage": c} for t, x, y, c in of] for of in chains]
+                more = [*(_places(a, phrase_labels, w.offsets, state, size) if first else []), spans]
+                kept = batch.slice(s.rows[0], n).columns
+                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, schema.field(len(kept) + i).type) for i, c in enumerate(more))], schema=schema)
 
     return run
 
 
-def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """(id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans) of each text."""
-    cut_up = lambda t: re.findall("[a-z0-9]+", t)
-    phrase_words, bodies = [cut_up(p) for p in phrases], [cut_up(t) for t in templates.values()]
-    automaton = Automaton(bodies, phrase_words)
+def _places(a: Automaton, phrase_labels: list[str], offsets: np.ndarray, state: np.ndarray, size: np.ndarray) -> list[list]:
+    """Number of words and of places, first and last place, and labels of the base phrases of each text."""
+    n = len(offsets) - 1
+    at, phrase = a.found(state, size)
+    doc = np.searchsorted(offsets, at, "right") - 1
+    start = at - a.phrase_size[phrase] + 1 - offsets[doc]
+    count = np.bincount(doc, minlength=n)
+    edge = np.r_[0, np.cumsum(count)]
+    here = [slice(edge[d], edge[d + 1]) for d in range(n)]
+    first = [int(start[h].min()) if count[d] else None for d, h in enumerate(here)]
+    last = [int(start[h].max()) if count[d] else None for d, h in enumerate(here)]
+    return [np.diff(offsets).tolist(), count.tolist(), first, last, [sorted({phrase_labels[p] for p in phrase[h]}) for h in here]]
+
+
+def template_parts(templates: dict[str, str] | DataFrame, most: int = TEMPLATE_BYTES) -> list[list[tuple[str, str]]]:
+    """(label, text) of the templates, in parts of about `most` bytes; a label may have several texts.
+
+    A table (label, text) is counted first. Repeated rows count once; those without label or text are left out.
+    """
+    if isinstance(templates, dict):
+        return [list(templates.items())]
+    rows = templates.select(F.col("label").cast("string").alias("label"), F.col("text").cast("string").alias("text")).dropna().distinct()
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-total // most))
+    part = F.pmod(F.xxhash64("label", "text"), F.lit(n))
+    return [sorted((r["label"], r["text"]) for r in rows.where(part == i).collect()) for i in range(n)]
+
+
+def license_scan(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: dict[str, str] = PHRASES, templates: dict[str, str] | DataFrame = TEMPLATES,
+    most: int = TEMPLATE_BYTES,
+) -> DataFrame:
+    """(id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans) of each text.
+
+    `templates` is a dict or a table (label, text) of any size: one pass over the texts for every `most` bytes
+    of it, the automaton of which is broadcast; between passes the rows are cut into the shared folder.
+    """
+    spark = docs.sparkSession
+    cut_up = lambda t: re.findall("[a-z0-9]+", t.lower())
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    result = RESULT.format(id=rows.schema["id"].dataType.simpleString())
-    return rows.mapInArrow(_scan(automaton, phrase_words, list(phrases.values()), bodies, list(templates), arrow_schema(result)), result)
+    parts = template_parts(templates, most)
+    for i, part in enumerate(parts):
+        bodies, base = [cut_up(t) for _, t in part], phrases if i == 0 else {}
+        shared = spark.sparkContext.broadcast(Automaton(bodies, [cut_up(p) for p in base]))
+        result = T.StructType([*rows.schema.fields, *T.StructType.fromDDL((STATS if i == 0 else "") + f"spans{i} {SPANS}").fields])
+        rows = rows.mapInArrow(_scan(shared, list(base.values()), bodies, [name for name, _ in part], to_arrow_schema(result), i == 0), result)
+        if i + 1 < len(parts):
+            rows = cut(rows, "license-pass")
+    rows = rows.withColumn("spans", F.concat(*[f"spans{i}" for i in range(len(parts))]))
+    covered = F.transform(F.filter("spans", lambda x: x["coverage"] >= COVER), lambda x: x["label"])
+    best = F.coalesce(F.array_max(F.transform("spans", lambda x: x["coverage"])), F.lit(0.0))
+    return rows.select(
+        "id", "n_words", "n_base", "first_word", "last_word", "base_labels",
+        F.array_sort(F.array_distinct(F.concat("base_labels", covered))).alias("labels"),
+        F.when(F.size("base_labels") > 0, F.lit(1.0)).otherwise(best).alias("score"), "spans",
+    )
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

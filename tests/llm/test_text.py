@@ -68,6 +68,40 @@ def test_template_spans(spark):
     assert got[2][0] == ["mit"] and got[3] == ([], 0.0, []) and got[4] == ([], 0.0, [])
 
 
+def test_templates_of_a_table(spark):
+    """A table of templates, in one pass or in many, gives what a dict gives; a label with two texts, nulls, repeated rows, none at all."""
+    made = {f"l{i}": " ".join(f"w{(i * 31 + j * j) % 997}" for j in range(80)) for i in range(60)}
+    rows = [*made.items(), ("l0", "another text of the same licence it is"), ("l1", made["l1"]), (None, "x"), ("y", None), ("", "")]
+    table = spark.createDataFrame([(*r, 7) for r in rows], "label string, text string, spans0 int")
+    texts = [" ".join(made[f"l{i}"].split()[i % 40 :]) + " cc by, " + made[f"l{(i * 7) % 60}"] for i in range(60)]
+    docs = spark.createDataFrame([*enumerate(texts), (60, "another text of the same licence it is"), (61, None), (62, "")], "doc_id long, text string").repartition(5)
+    run = lambda t, **more: sorted(map(str, (r.asDict() | {"spans": sorted(map(str, r["spans"]))} for r in license_scan.license_scan(docs, templates=t, **more).collect())))
+    one = run(table)
+    assert len(license_scan.template_parts(table, 4000)) > 3 and run(table, most=4000) == one
+    labels = {r["id"]: r["labels"] for r in license_scan.license_scan(docs, templates=table, most=9000).collect()}
+    assert all({"cc-by", f"l{(i * 7) % 60}"} <= set(labels[i]) for i in range(60)) and labels[60] == ["l0"] and labels[61] == labels[62] == []
+    none = license_scan.license_scan(docs, templates=table.where("false"), phrases={}).collect()
+    assert len(none) == 63 and all(r["labels"] == [] and r["score"] == 0 for r in none)
+
+
+def test_phrases_inside_phrases():
+    """Phrases that are ends of others, overlap, and repeat a word."""
+    rng = random.Random(4)
+    phrases = [list(p) for p in ("a", "ba", "aba", "aa", "cab", "abab", "b")]
+    a = license_scan.Automaton([list("abcabbaacab"), list("ababab")], phrases)
+    stream = [rng.choice("aaabbbccz") for _ in range(500)]
+    h = np.concatenate([words(s, ALNUM, True).hash for s in slices(pa.array([" ".join(stream)]))])
+    at, phrase = a.found(*a.stream(h, np.array([0, len(h)])))
+    want = [(k, p) for k in range(500) for p, ph in enumerate(phrases) if k + 1 >= len(ph) and stream[k + 1 - len(ph) : k + 1] == ph]
+    assert list(zip(at.tolist(), phrase.tolist(), strict=True)) == want
+
+
+def test_automaton_grows_with_its_words():
+    """Five hundred templates of their own words: edges in proportion to words, no table of states by words."""
+    a = license_scan.Automaton([[f"t{i}w{j * j % 61}" for j in range(60)] for i in range(500)], [["t1w1", "t1w4"]])
+    assert len(a.edge) <= 3 * 500 * 60 and len(a.length) <= 2 * 500 * 60
+
+
 def test_matching_statistics():
     rng = random.Random(1)
     texts = [[rng.choice("abc") for _ in range(12)] for _ in range(4)]
