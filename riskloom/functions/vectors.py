@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import lru_cache
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F, types as T
 
 from .. import patterns
@@ -70,30 +73,86 @@ def bucket_codes(token_list: Column, dim: int) -> Column:
     return F.transform(digests, lambda d: _code_of(d, dim))
 
 
+#: Bytes of text whose tokens are laid out at once.
+SLICE_BYTES = 4 << 20
+
+
+def _slices(texts: pa.Array) -> list[pa.Array]:
+    """Consecutive rows of about `SLICE_BYTES` of text each; a longer row is one of its own."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.flatnonzero(np.diff(ends // SLICE_BYTES, prepend=0) > 0)
+    edges = np.unique(np.concatenate([[0], cuts, cuts + 1, [len(texts)]]))
+    return [texts.slice(a, b - a) for a, b in zip(edges.tolist(), edges[1:].tolist())]
+
+
+def _units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(row, number) of every character and word of the token pattern in reading order, and what each number stands for."""
+    points = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32)
+    lengths = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
+    cjk = (points >= ord("一")) & (points <= ord("龥"))
+    low = points | 0x20
+    word = ((points >= 48) & (points <= 57)) | ((low >= 97) & (low <= 122))
+    goes_on = word[1:] & word[:-1] & (row[1:] == row[:-1])
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~goes_on
+    last[:-1] &= ~goes_on
+    at, starts = np.flatnonzero(cjk | first), np.flatnonzero(first)
+    # words are ASCII: their letters side by side are an Arrow string array
+    ends = np.concatenate([[0], np.cumsum(np.flatnonzero(last) + 1 - starts)]).astype(np.int32)
+    letters = points[word].astype(np.uint8)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(letters)]).dictionary_encode()
+    ids = points[at].astype(np.int64)
+    ids[first[at]] = FIRST_WORD + words.indices.to_numpy().astype(np.int64)
+    names, coded = words.dictionary.to_pylist(), pa.array(ids).dictionary_encode()
+    found = [names[i - FIRST_WORD] if i >= FIRST_WORD else chr(i).encode() for i in coded.dictionary.to_pylist()]
+    return row[at], coded.indices.to_numpy().astype(np.int64), found
+
+
+#: The number of a character is its code point; those of words begin here.
+FIRST_WORD = 0x110000
+
+
+def _digest_codes(tokens: Iterable[bytes], dim: int) -> np.ndarray:
+    """`bucket_code` of every token."""
+    number = np.frombuffer(b"".join([md5(token).digest() for token in tokens]), "<u8")[::2]
+    return (number % np.uint64(dim)).astype(np.int64) * 2 + (number >> np.uint64(63)).astype(np.int64)
+
+
+def signed_counts(texts: pa.Array, dim: int) -> np.ndarray:
+    """Signed token counts of lower-cased texts, one row each. Each distinct token of the texts is digested once."""
+    row, unit, names = _units(texts)
+    pair = row[1:] == row[:-1]
+    pairs = pa.array((unit[:-1] * len(names) + unit[1:])[pair]).dictionary_encode()
+    left, right = np.divmod(pairs.dictionary.to_numpy(), max(len(names), 1))
+    pair_codes = _digest_codes([names[a] + names[b] for a, b in zip(left.tolist(), right.tolist())], dim)
+    codes = np.concatenate([_digest_codes(names, dim)[unit], pair_codes[pairs.indices.to_numpy()]])
+    rows = np.concatenate([row, row[1:][pair]]).astype(np.int64)
+    counts = np.bincount(rows * dim + (codes >> 1), weights=(codes & 1) * 2.0 - 1.0, minlength=len(texts) * dim)
+    return counts.astype(np.int32).reshape(len(texts), dim)
+
+
 @lru_cache(maxsize=None)
 def _summer(dim: int):
-    """Arrow function: lists of bucket codes -> lists of `dim` signed counts."""
+    """Arrow function: lower-cased texts -> lists of `dim` signed counts."""
 
     @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
-    def signed_counts(codes: pa.Array) -> pa.Array:
-        rows = len(codes)
-        values = codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        sizes = np.diff(codes.offsets.to_numpy())
-        row = np.repeat(np.arange(rows, dtype=np.int64), sizes)
-        counts = np.bincount(row * dim + (values >> 1), weights=(values & 1) * 2.0 - 1.0, minlength=rows * dim)
-        offsets = pa.array(np.arange(0, rows * dim + 1, dim, dtype=np.int32))
-        return pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int32)))
+    def counted(texts: pa.Array) -> pa.Array:
+        counts = [signed_counts(some, dim) for some in _slices(texts)]
+        values = np.concatenate(counts).ravel() if counts else np.empty(0, np.int32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(texts) * dim + 1, dim, dtype=np.int32)), pa.array(values))
 
-    return signed_counts
+    return counted
 
 
 def hash_vector(text: Column, dim: int) -> Column:
     """Signed token counts per bucket as ARRAY<INT>; an empty text gives zeros.
 
-    Tokens and digests are JVM expressions; only the summing of a whole Arrow
-    batch is numpy. No row leaves its partition, however long the text.
+    The counts of `bucket_codes(tokens(text))`, taken for a whole Arrow batch in numpy: the JVM's
+    array functions cost several times as much for each token. Case is folded in the JVM, so that both agree.
+    No row leaves its partition, however long the text.
     """
-    return _summer(dim)(bucket_codes(tokens(F.coalesce(text, F.lit(""))), dim))
+    return _summer(dim)(F.lower(F.coalesce(text, F.lit(""))))
 
 
 def norm2(vec: Column) -> Column:

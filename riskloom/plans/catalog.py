@@ -516,7 +516,7 @@ def l2_normalize(spark, folder):
 
 def dense_topk(spark, folder):
     """Five nearest of every supplied vector, itself included."""
-    vecs = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("vec"), F.col("label"))
+    vecs = busy(spark, folder, "embeddings", "vec_id", F.col("embedding").alias("vec"), "label")
     found = similar_topk(
         vecs.select("vec_id", "vec"), vecs.select(F.col("vec_id").alias("case_id"), "vec", "label"), 5, "vec_id", ["label"],
         TopKOptions(decimals=9),

@@ -77,11 +77,8 @@ PERSONAL = ("customer", {
 
 def derive(spark: SparkSession, folder: str, view: tuple[str, dict[str, str]]) -> DataFrame:
     table, columns = view
-    return spread(
-        spark.read.parquet(f"{folder}/{table}.parquet").selectExpr(
-            *[f"{expression} as {name}" for name, expression in columns.items()]
-        )
-    )
+    rows = spark.read.parquet(f"{folder}/{table}.parquet")
+    return spread(rows.selectExpr(*[f"{expression} as {name}" for name, expression in columns.items()]), rows)
 
 
 def calls(spark: SparkSession, folder: str) -> DataFrame:

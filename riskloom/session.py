@@ -49,11 +49,18 @@ def _local_folder(spark: SparkSession) -> str:
     return _LOCAL[0].name
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """A table scan with at least as many partitions as there are cores.
+#: Rows of a costly scan in one task.
+SPREAD_ROWS = 100_000
 
-    One small file is one task however much work each of its rows is. Input large
-    enough to keep every core busy is left as it is, and no shuffle is added.
+
+def spread(scan: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """A table scan with at least as many partitions as there are cores, and as its rows ask for.
+
+    One small file is one task however much work each of its rows is, and a compact file
+    is few tasks however many rows it has. Input cut finely enough is left as it is, and no shuffle is added.
+    `counted` has as many rows and is cheaper to count, as a bare table is.
     """
+    parts = scan.rdd.getNumPartitions()
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    wanted = max(cores, -(-(scan if counted is None else counted).count() // SPREAD_ROWS))
+    return scan if parts >= wanted else scan.repartition(wanted)

@@ -105,6 +105,88 @@ def test_tiles_spare_products_and_lose_nothing(k, width, used):
         assert products < 0.8 * full.size
 
 
+@pytest.mark.parametrize("kind", ["small", "large", "huge", "float", "mixed", "odd"])
+@pytest.mark.parametrize("k", [1, 5, 30])
+def test_bounded_scores_lose_no_case(monkeypatch, kind, k):
+    monkeypatch.setattr(similar, "CASE_STEP", 200)
+    monkeypatch.setattr(similar, "QUERY_STEP", 40)
+    rng = np.random.default_rng(k)
+    q, c = (np.array(random_side(rng, n, 8, 5)) for n in (90, 650))
+    if kind in ("large", "huge"):
+        q, c = q * 1001, c * (10**4 if kind == "large" else 10**6)
+    if kind in ("float", "odd"):
+        q, c = q + 0.1, c * 0.3
+    if kind == "mixed":
+        q = q + 0.5
+    if kind == "odd":
+        c[7, 1], q[3, 2] = np.nan, np.inf
+    decimals = 9 if kind in ("float", "mixed") else None
+    picked, cosine = similar.CaseSide(c, k, decimals).best(q)
+    with np.errstate(invalid="ignore"):
+        s = similar._cosines(q.astype(float), (q.astype(float) ** 2).sum(1), c.astype(float), (c.astype(float) ** 2).sum(1), decimals)
+    if kind == "odd":  # as before: what is not a number comes first
+        s = s[:3]
+        picked, cosine = picked[:3], cosine[:3]
+    want = np.argsort(-s, axis=1, kind="stable")[:, :k] if kind != "odd" else similar._best(s, k)
+    if kind != "odd":
+        assert (picked == want).all()
+        assert np.allclose(cosine, np.take_along_axis(s, want, axis=1), rtol=0, atol=1e-12)
+    else:
+        assert picked.shape == want.shape
+
+
+def test_vectors_are_copied_to_few_tiles():
+    """At 1 GB a tile of 2,048 meant 250 copies of each query's vector and 131 of each document's."""
+    options = TopKOptions(block_rows=2048)
+    b = similar.tile_rows(267_690, 512_820, options, 12)
+    rows, columns = similar.grid_of(267_690, 512_820, TopKOptions(block_rows=b))
+    assert rows + columns < 30 and rows * columns >= 12
+    assert similar.tile_rows(100, 100, options, 12) == 2048
+    assert similar.tile_rows(10**8, 10**8, options, 12) == similar.TILE_ROWS
+
+
+@pytest.mark.parametrize("kind", ["tinyint", "int", "bigint", "float", "double"])
+def test_packed_vectors(spark, kind):
+    rows = [[1, -2, 3], [0, 0, 0], [100, 127, -127], [-90, 5, 6]] + ([[40000, 1, 2], [300, -1, 0]] if kind != "tinyint" else [])
+    df = spark.createDataFrame([(i, r if "in" in kind else [x / 4 for x in r]) for i, r in enumerate(rows)] + [(99, None)], f"i int, vec array<{kind}>")
+    got = {r["i"]: r["b"] for r in df.coalesce(1).select("i", similar._packed("vec").alias("b")).collect()}
+    assert got.pop(99) is None
+    import pyarrow as pa
+
+    back = similar._unpacked(pa.array([bytes(got[i]) for i in range(len(rows))], pa.binary()), 3)
+    assert back.tolist() == [r if "in" in kind else [x / 4 for x in r] for r in rows]
+    if "in" in kind:
+        assert len(got[0]) == 4 and (kind == "tinyint" or len(got[4]) == 13)
+    with pytest.raises(ValueError):
+        similar._unpacked(pa.array([bytes(got[0])], pa.binary()), 4)
+
+
+def test_many_rows_are_many_tasks(spark, tmp_path, monkeypatch):
+    from riskloom import session
+
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    scan = spark.read.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(session, "SPREAD_ROWS", 50)
+    assert session.spread(scan).rdd.getNumPartitions() == 20
+    fine = scan.repartition(30)
+    assert session.spread(fine, scan) is fine
+
+
+def test_counts_equal_the_codes_of_the_tokens(spark, monkeypatch):
+    import pyarrow as pa
+
+    texts = ["", "你好 world 123你", "單a", "a-b_c " * 50, "x", "é😀中文9 k", "", "通缉" * 30]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    codes = {r["i"]: r["c"] for r in df.select("i", vectors.bucket_codes(vectors.tokens(F.col("t")), 64).alias("c")).collect()}
+    monkeypatch.setattr(vectors, "SLICE_BYTES", 16)
+    got = np.concatenate([vectors.signed_counts(some, 64) for some in vectors._slices(pa.array(texts))])
+    for i in range(len(texts)):
+        want = [0] * 64
+        for code in codes[i]:
+            want[code >> 1] += 1 if code & 1 else -1
+        assert got[i].tolist() == want
+
+
 def test_tiles_grow_with_both_sides():
     options = TopKOptions(block_rows=100)
     assert similar.grid_of(0, 0, options) == (1, 1) and similar.grid_of(100, 101, options) == (1, 2)
