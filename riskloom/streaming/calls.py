@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -237,22 +238,29 @@ def score_windows(
 
 
 class RiseAlert(StatefulProcessor):
-    """Keeps the last level of a call; emits windows whose level rises to medium or high.
+    """Keeps the last level of every call of a bucket; emits windows whose level rises to medium or high.
 
-    A micro-batch promises no order, so the windows of a call that closed since the last one are sorted by
-    start. Up to `most` of them are sorted in memory. Beyond that, windows go to the state store by span of
+    A call of its own for each group costs more than ten milliseconds a micro-batch, whatever it does. So calls are dealt
+    into buckets by hash, and all calls of a bucket are taken together in arrays: what is held of a call stands before its
+    windows, and the row before a window says what it follows.
+
+    A micro-batch promises no order, so the windows of a bucket that closed since the last one are sorted by
+    call and start. Up to `most` of them are sorted in memory. Beyond that, windows go to the state store by span of
     time, and the spans are taken from it in order, each small: a call of any length needs bounded memory.
     """
 
     RANKS = {"low": 0, "medium": 1, "high": 2}
     SPAN_MS = 3600 * 1000
+    #: What is held of the calls of a bucket, one array each; `due` is the time from which nothing can follow.
+    HELD = {"none": bool, "call": np.int64, "rank": np.int64, "end": np.int64, "due": np.int64}
 
-    def __init__(self, keep_ms: int, most: int = 20_000):
+    def __init__(self, keep_ms: int, most: int = 100_000):
         self.keep_ms, self.most = keep_ms, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "rank int, end_ms bigint")
+        # one timer a bucket, for the call that is due first
+        self.last = handle.getValueState("last", "calls binary, due bigint")
         self.spans = handle.getMapState("spans", "span bigint, part int", "rows binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -266,8 +274,12 @@ class RiseAlert(StatefulProcessor):
         if parts:
             self._put_by(frames, parts)
         batches = (self._take(span, parts[span]) for span in sorted(parts)) if parts else [frames]
+        calls, due = self._held()
         for batch in batches:
-            yield from self._risen(pd.concat(batch).sort_values("window_start", kind="stable"))
+            calls, out = self._risen(calls, pd.concat(batch, ignore_index=True))
+            if len(out):
+                yield out
+        self._hold(calls, due, timerValues.getCurrentWatermarkInMs())
 
     def _put_by(self, frames: list[pd.DataFrame], parts: dict[int, int]) -> None:
         if frames:
@@ -282,23 +294,56 @@ class RiseAlert(StatefulProcessor):
             self.spans.removeKey((span, part))
         return out
 
-    def _risen(self, batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        rank, end = batch["risk_level"].map(self.RANKS), batch["end_ms"]
-        held = self.last.get() or (0, 0)
-        before, ended = rank.shift(1, fill_value=held[0]), end.shift(1, fill_value=held[1])
-        gap = batch["start_ms"] - ended
-        before = before.where(gap <= self.keep_ms, 0)
-        self.last.update((int(rank.iloc[-1]), int(end.iloc[-1])))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+    def _held(self) -> tuple[dict[str, np.ndarray], int | None]:
+        stored = self.last.get()
+        if stored is None:
+            return {name: np.zeros(0, kind) for name, kind in self.HELD.items()}, None
+        return pickle.loads(stored[0]), stored[1]
+
+    def _hold(self, calls: dict[str, np.ndarray], due: int | None, passed: int) -> None:
+        """Store the calls that a window may still follow, with a timer for the first that is due."""
+        live = calls["due"] > passed
+        calls = {name: values[live] for name, values in calls.items()}
+        first = int(calls["due"].min()) if live.any() else None
+        if due is not None and due != first and due > passed:
+            self.handle.deleteTimer(due)
+        if first is None:
+            self.last.clear()
+            return
+        if first != due:
+            self.handle.registerTimer(first)
+        self.last.update((pickle.dumps(calls), first))
+
+    def _risen(self, calls: dict[str, np.ndarray], batch: pd.DataFrame) -> tuple[dict[str, np.ndarray], pd.DataFrame]:
+        """(what is held of the calls afterwards, the windows that rise)."""
+        n, rows = len(calls["call"]), len(batch)
+        start, end = (np.concatenate([np.zeros(n, np.int64), batch[name].to_numpy(np.int64)]) for name in ("start_ms", "end_ms"))
+        end[:n] = calls["end"]
+        none = np.concatenate([calls["none"], batch["none"].to_numpy(bool)])
+        call = np.concatenate([calls["call"], batch["call"].to_numpy(np.int64)])
+        rank = np.concatenate([calls["rank"], batch["risk_level"].map(self.RANKS).to_numpy(np.int64)])
+        due = np.concatenate([calls["due"], np.zeros(rows, np.int64)])
         # a window that starts within keep_ms of this end has closed by then
-        self.handle.registerTimer(2 * int(end.iloc[-1]) - int(batch["start_ms"].iloc[-1]) + self.keep_ms + 1)
-        out = batch[(rank >= 1) & (rank > before)]
-        if len(out):
-            yield out.drop(columns=["start_ms", "end_ms"])
+        due[n:] = 2 * end[n:] - start[n:] + self.keep_ms + 1
+        fresh = np.arange(n + rows) >= n
+        at = np.lexsort((start, fresh, call, none))
+        none, call, rank, start, end, due = (x[at] for x in (none, call, rank, start, end, due))
+        follows = np.zeros(n + rows, bool)
+        follows[1:] = (call[1:] == call[:-1]) & (none[1:] == none[:-1])
+        follows[1:] &= start[1:] - end[:-1] <= self.keep_ms
+        before = np.zeros(n + rows, np.int64)
+        before[1:] = np.where(follows[1:], rank[:-1], 0)
+        up = batch.iloc[at[fresh[at] & (rank >= 1) & (rank > before)] - n]
+        last = np.ones(n + rows, bool)
+        last[:-1] = (call[1:] != call[:-1]) | (none[1:] != none[:-1])
+        held = dict(zip(self.HELD, (x[last] for x in (none, call, rank, end, due)), strict=True))
+        name = pd.arrays.IntegerArray(up["call"].to_numpy(np.int64), up["none"].to_numpy(bool))
+        return held, up.assign(call_id=name)[ALERT_COLUMNS]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.last.clear()
+        calls, due = self._held()
+        if due is not None:
+            self._hold(calls, due, timerValues.getCurrentWatermarkInMs())
         return iter([])
 
     def close(self) -> None:
@@ -309,16 +354,25 @@ ALERT = "call_id bigint, window_start timestamp, window_end timestamp, risk_leve
 ALERT_COLUMNS = ["call_id", "window_start", "window_end", "risk_level", "risk_score", "fraud_type"]
 
 
-def rise_alerts(scored: DataFrame, keep_ms: int = KEEP_MS, most: int = 20_000) -> DataFrame:
+#: Groups of the alert state, each of the calls of one hash. They are the keys of the state, so their number stays
+#: what it is while a checkpoint is in use.
+CALL_BUCKETS = 1024
+
+
+def rise_alerts(scored: DataFrame, keep_ms: int = KEEP_MS, most: int = 100_000, buckets: int = CALL_BUCKETS) -> DataFrame:
     """Alerts of a stream of scored windows, by the same rule as `operators.alerts.rises`.
 
     A call that says nothing for `keep_ms` of event time has ended. Its next window follows
     a low one by that rule, so clearing its state then changes no result; the state holds
-    live calls only.
+    live calls only, those of a bucket in one value.
     """
+    call = F.col("call_id")
     return (
-        scored.select(*ALERT_COLUMNS, F.unix_millis("window_start").alias("start_ms"), F.unix_millis("window_end").alias("end_ms"))
-        .groupBy("call_id")
+        scored.select(
+            F.pmod(F.xxhash64(call), F.lit(buckets)).cast("int").alias("bucket"), call.isNull().alias("none"), F.coalesce(call, F.lit(0)).alias("call"),
+            *ALERT_COLUMNS[1:], F.unix_millis("window_start").alias("start_ms"), F.unix_millis("window_end").alias("end_ms"),
+        )
+        .groupBy("bucket")
         .transformWithStateInPandas(
             statefulProcessor=RiseAlert(keep_ms, most), outputStructType=ALERT, outputMode="Append", timeMode="EventTime"
         )

@@ -226,3 +226,22 @@ def test_long_calls_are_sorted_in_bounded_memory(spark, most):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     want = rows_of(rises(table.read(), "call_id", "window_start", "window_end", "risk_level"))
     assert len(want) > 500 and rows_of(spark.read.schema(live.ALERT).parquet(f"{path}-out")) == want
+
+
+def test_many_calls_share_few_groups_of_state(spark):
+    """Calls of one bucket, a call without a name among them, rise and end as in the table."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.ROCKSDB)
+    path = work_folder(spark, "buckets")
+    rows = spark.range(3000).selectExpr(
+        "nullif(pmod(xxhash64(id), 200), 7) + 9007199254740993 as call_id", "timestamp_seconds(1704067200 + id * 600) as window_start",
+        "timestamp_seconds(1704067200 + id * 600 + 3600) as window_end", "element_at(array('low', 'medium', 'high'), cast(pmod(xxhash64(id, 1), 3) as int) + 1) as risk_level",
+        "0.5D as risk_score", "'x' as fraud_type",
+    )
+    table = BatchTable(spark, path, spark.createDataFrame([], live.ALERT).schema)
+    for number in range(3):
+        table.add(number, lambda n=number: rows.where(f"(unix_seconds(window_start) - 1704067200) div 600000 = {n}").repartition(5, F.xxhash64("window_start")))
+        rising = live.rise_alerts(table.stream().withWatermark("window_end", "0 seconds"), buckets=3)
+        live.run_to_table(rising, f"{path}-out", f"{path}-mark")
+    named = lambda df: df.withColumn("call_id", F.coalesce("call_id", F.lit(-1)))
+    want = rows_of(rises(named(table.read()), "call_id", "window_start", "window_end", "risk_level"))
+    assert len(want) > 500 and rows_of(named(spark.read.schema(live.ALERT).parquet(f"{path}-out"))) == want
