@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import answers, facts, scoring, vectors
+from ..functions import answers, scoring, vectors
 from ..lexicon import DEFAULT, Lexicon
+from ..operators.rules import rule_of
 from ..operators.similar import TopKOptions, similar_topk, top_one
 from ..schemas import RiskOptions
 
@@ -21,11 +22,8 @@ def valid_transcripts(calls: DataFrame, text: str = "text") -> tuple[DataFrame,
 
 
 def with_rule_score(calls: DataFrame, lexicon: Lexicon = DEFAULT, text: str = "text") -> DataFrame:
-    """Adds `rule`: struct(score, fraud_type, signals). A literal lexicon, so no shuffle."""
-    staged = calls.withColumns(
-        {"_hits": facts.type_hits(F.col(text), lexicon), "_generic": scoring.generic_hits(F.col(text), lexicon)}
-    )
-    return staged.withColumn("rule", scoring.rule_score(F.col("_hits"), F.col("_generic"))).drop("_hits", "_generic")
+    """Adds `rule`: struct(score, fraud_type, signals). The lexicon goes along with the plan, so no shuffle."""
+    return calls.withColumn("rule", rule_of(F.col(text), lexicon))
 
 
 def with_vector(calls: DataFrame, options: RiskOptions = RiskOptions(), text: str = "text") -> DataFrame:

@@ -102,3 +102,20 @@ def test_own_lexicon(one, spark):
     got = one(lambda t: scoring.rule_score(type_hits(t, own), scoring.generic_hits(t, own)), "暗号二，口令，马上")
     assert got["fraud_type"] == "乙类" and got["signals"] == ["暗号", "口令", "暗号二", "马上"]
     assert own.keyword_table(spark).count() == 3
+
+
+def test_rule_of_a_batch_equals_the_expressions(spark):
+    """All phrases found together give what a search for each of them gives, and no search for each is left in the plan."""
+    from riskloom.plans.detect import with_rule_score
+
+    words = ["垫付", "转账", "理赔", "客服", "USDT", "usdt", "安全账", "户", "稳赚", "稳赚通道", "请保密", "，", "😀", ""]
+    rows = [(i, None if i % 50 == 7 else "".join(words[(i * i + i // 7 * j + 3 * j) % len(words)] for j in range(i % 9))) for i in range(600)]
+    calls = spark.createDataFrame(rows, "id int, text string").repartition(3)
+    strange = Lexicon(keywords={"a": ["稳赚", "稳赚", ""], "b": ["稳赚通道", "户", "a"], "c": ["户", "理赔"]}, generic=["", "户", "转账"])
+    for lexicon in (Lexicon(), strange, Lexicon(generic=[])):
+        rule = scoring.rule_score(type_hits(F.col("text"), lexicon), scoring.generic_hits(F.col("text"), lexicon))
+        want, got = calls.withColumn("rule", rule), with_rule_score(calls, lexicon)
+        assert got.select("rule.*").dtypes == want.select("rule.*").dtypes
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "垫付" not in plan and "稳赚" not in plan
