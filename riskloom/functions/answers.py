@@ -11,7 +11,7 @@ from pyspark.sql import Column, functions as F
 
 from ..lexicon import DEFAULT, OTHER, Lexicon
 from ..schemas import MONEY, VICTIM
-from .text import present, words
+from .text import bind, present, words
 
 MAX_ARTICLE_CHARS = 6000
 JUDGE_CASES, JUDGE_SIGNALS = 3, 5
@@ -54,8 +54,7 @@ def judge_request(transcript: Column, similar: Column) -> Column:
 
 def parse_object(answer: Column) -> Column:
     """VARIANT of a JSON object; null for broken JSON or anything but an object."""
-    parsed = F.try_parse_json(answer)
-    return F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed)
+    return bind(F.try_parse_json(answer), lambda parsed: F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed))
 
 
 def to_float(value: Column) -> Column:
@@ -138,13 +137,20 @@ def judge_fields(answer: Column) -> Column:
     A missing score counts as 0 and a boolean as 1 or 0; a score that is no number voids
     the answer, and so does an object without any field.
     """
-    parsed = parse_object(answer)
-    v = F.when(F.schema_of_variant(parsed) != "OBJECT<>", parsed)
+    # bound step by step: a branch would parse the text again for every field it names
+    return bind(bind(F.try_parse_json(answer), _with_fields), _judged)
+
+
+def _with_fields(parsed: Column) -> Column:
+    kind = F.schema_of_variant(parsed)
+    return F.when(kind.startswith("OBJECT") & (kind != "OBJECT<>"), parsed)
+
+
+def _judged(v: Column) -> Column:
     flag = _kind(v, "$.score") == "BOOLEAN"
     absent = v.isNotNull() & F.variant_get(v, "$.score", "variant").isNull()
-    number = F.when(flag, F.when(_text(v, "$.score") == "true", 1.0).otherwise(0.0)).otherwise(_number(v, "$.score"))
-    score = F.when(absent, F.lit(0.0)).otherwise(number)
-    return F.when(
+    number = F.when(flag, F.when(_text(v, "$.score") == "true", 1.0).otherwise(0.0)).otherwise(bind(_text(v, "$.score"), to_float))
+    fields = lambda score: F.when(
         score.isNotNull(),
         F.struct(
             F.greatest(F.lit(0.0), F.least(score, F.lit(1.0))).alias("score"),
@@ -152,3 +158,4 @@ def judge_fields(answer: Column) -> Column:
             F.coalesce(_text(v, "$.reason"), F.lit("")).alias("reason"),
         ),
     )
+    return bind(F.when(absent, F.lit(0.0)).otherwise(number), fields)

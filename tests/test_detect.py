@@ -122,3 +122,21 @@ def test_requests_and_json(spark, calls, store):
 def test_blank(calls):
     valid, blank = valid_transcripts(calls)
     assert valid.count() == 4 and [r["id"] for r in blank.collect()] == [5]
+
+
+def test_answers_are_parsed_once(spark):
+    """However many fields are taken of an answer, its text is parsed once; odd answers read as they did."""
+    from riskloom.functions import answers
+
+    odd = [
+        ('{"score": 0.9, "fraud_type": 5, "reason": null}', (0.9, "5", "")), ("{}", None), ("[{}]", None), (None, None), ('{"score": []}', None),
+        ('{"score": " 0.5 "}', (0.5, None, "")), ('{"score": "12d"}', None), ('{"score": false, "reason": "x"}', (0.0, None, "x")), ('{"a": 1}', (0.0, None, "")),
+        ('{"score": -3}', (0.0, None, "")), ('{"score": 1', None), ('{"score": ""}', None), ('{"score": null}', None),
+    ]
+    given = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(odd)], "i int, answer string")
+    read = given.select("i", answers.judge_fields(F.col("answer")).alias("j"))
+    got = {r["i"]: r["j"] and tuple(r["j"]) for r in read.collect()}
+    assert got == {i: expected for i, (_, expected) in enumerate(odd)}
+    for column in (answers.judge_fields(F.col("answer")), answers.parse_object(F.col("answer"))):
+        plan = given.select(F.struct(column.alias("c")).alias("s"))._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert plan.count("parse") == 1, plan
