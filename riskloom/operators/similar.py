@@ -42,7 +42,9 @@ POSTING, SLACK = 32, 1e-9
 #: Vectors of either side in the largest tile of the grid, and tiles wanted for each core.
 TILE_ROWS, TILES_PER_CORE = 1 << 16, 8
 #: Queries and cases multiplied at once, and the groups of cases whose maxima bound the k-th best from below.
-QUERY_STEP, CASE_STEP, GROUPS = 512, 4096, 64
+QUERY_STEP, CASE_STEP, GROUPS = 512, 2048, 64
+#: Scores over the bound for each query and case asked for, beyond which a closer bound is worth a pass over the scores.
+LOOSE = 4
 #: Whole numbers up to this are exact in 32-bit floats.
 EXACT32 = 1 << 24
 
@@ -131,7 +133,13 @@ def _distinct(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not m.size:
         return np.arange(min(len(m), 1)), np.zeros(len(m), np.int64)
     m = np.ascontiguousarray(m)
-    _, first, which = np.unique(m.view(np.dtype((np.void, m.itemsize * m.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    bits = m.view(f"u{m.itemsize}")
+    # rows are sorted by a sum over their numbers; where that tells two of them not apart, by all their bytes
+    odd = np.random.default_rng(0).integers(0, 1 << 63, m.shape[1], np.uint64) * np.uint64(2) + np.uint64(1)
+    name = np.concatenate([bits[rows].astype(np.uint64) @ odd for rows in _chunks(len(m), m.shape[1])])
+    _, first, which = np.unique(name, return_index=True, return_inverse=True)
+    if len(first) < len(m) and any((bits[first[which[rows]]] != bits[rows]).any() for rows in _chunks(len(m), m.shape[1])):
+        _, first, which = np.unique(m.view(np.dtype((np.void, m.itemsize * m.shape[1]))).ravel(), return_index=True, return_inverse=True)
     return first, which
 
 
@@ -143,6 +151,14 @@ def _kept(c: np.ndarray, k: int) -> np.ndarray:
     return np.sort(order[rank < k])
 
 
+def _places(marks: np.ndarray) -> np.ndarray:
+    """Places of the few set marks among many, found by eights."""
+    whole = len(marks) - len(marks) % 8
+    eights = np.flatnonzero(marks[:whole].view(np.uint64) != 0)
+    near = (eights[:, None] * 8 + np.arange(8)).ravel()
+    return np.concatenate([near[marks[near]], whole + np.flatnonzero(marks[whole:])])
+
+
 class CaseSide:
     """Cases, ordered by id, made ready for the k best of many queries."""
 
@@ -211,6 +227,13 @@ class CaseSide:
         if not whole:
             slack = slack + (q.shape[1] + 16) * 2.0**-22
         scores, at = np.full((n, k), -np.inf), np.full((n, k), -1)
+
+        def bound(reached: np.ndarray) -> np.ndarray:
+            """What a case must reach here to be among the k best, if k of them reach so much."""
+            least = np.where(np.isfinite(reached), reached - np.abs(reached) * 2.0**-20 - slack, reached)
+            least[zero] = np.inf
+            return least[:, None]
+
         for start in range(0, len(self.c), CASE_STEP):
             part = slice(start, start + CASE_STEP)
             if whole:
@@ -221,16 +244,19 @@ class CaseSide:
                 if self.whole:
                     factor = factor * self.inverse[part, None]
                 s = left @ factor.T
-            least = np.maximum(self._kth(s, k), scores[:, -1] * np.where(zero, 1.0, unit))
-            least = np.where(np.isfinite(least), least - np.abs(least) * 2.0**-20 - slack, least)
-            least[zero] = np.inf
-            row, col = np.nonzero(s >= least.astype(s.dtype)[:, None])
-            if not len(row):
+            # the k-th best so far is mostly bound enough; at first, and where cases get better and better, it is not
+            held = scores[:, -1] * np.where(zero, 1.0, unit)
+            over = s >= bound(held).astype(s.dtype)
+            if np.count_nonzero(over) > LOOSE * k * n:
+                over = s >= bound(np.maximum(self._kth(s, k), held)).astype(s.dtype)
+            flat = _places(over.ravel())
+            if not len(flat):
                 continue
+            row, col = np.divmod(flat, s.shape[1])
             case = col + start
             exact = dots[row, col].astype(np.float64) if whole else np.einsum("ij,ij->i", q[row].astype(np.float64), self.c[case].astype(np.float64))
             found = self._exact(exact, q2[row], self.c2[case])
-            touched = np.unique(row)
+            touched = row[np.r_[True, row[1:] != row[:-1]]]
             held_row, held = np.repeat(touched, k), at[touched].ravel()
             row, case = np.concatenate([held_row, row]), np.concatenate([held, case])
             found = np.concatenate([scores[touched].ravel(), found])
@@ -350,6 +376,8 @@ def _bytes_of(vecs: pa.Array) -> pa.Array:
         none = pc.is_null(vecs).to_numpy(zero_copy_only=False)
         return _bytes_of(vecs.filter(pa.array(~none))).take(pa.array(np.cumsum(~none) - 1, mask=none))
     flat, ends = vecs.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.list_value_length(vecs).to_numpy())
+    if len(vecs) and ends[0] and (np.diff(ends) == ends[0]).all():
+        return _rows_of(flat.reshape(len(vecs), -1))
     rows = np.split(flat, ends[:-1]) if len(vecs) else []
     if flat.dtype.kind not in "iu":
         return pa.array([flat.dtype.char.encode() + row.tobytes() for row in rows], pa.binary())
@@ -360,6 +388,27 @@ def _bytes_of(vecs: pa.Array) -> pa.Array:
     return pa.array([kinds[w].char.encode() + row.astype(kinds[w]).tobytes() for w, row in zip(narrow.tolist(), rows)], pa.binary())
 
 
+def _rows_of(m: np.ndarray) -> pa.Array:
+    """`_bytes_of` for vectors of one width: all of a kind are laid out together."""
+    kinds = [np.dtype(kind) for kind in WHOLE] if m.dtype.kind in "iu" else [m.dtype]
+    narrow = np.searchsorted([np.iinfo(kind).max for kind in kinds], np.abs(m.astype(np.int64)).max(axis=1)) if len(kinds) > 1 else np.zeros(len(m), int)
+    parts, order = [], []
+    for w, kind in enumerate(kinds):
+        mine = np.flatnonzero(narrow == w)
+        if len(mine):
+            out = np.empty((len(mine), 1 + m.shape[1] * kind.itemsize), np.uint8)
+            out[:, 0] = ord(kind.char)
+            out[:, 1:] = np.ascontiguousarray(m[mine].astype(kind)).view(np.uint8)
+            ends = pa.py_buffer(np.arange(0, out.size + 1, out.shape[1], dtype=np.int32))
+            parts.append(pa.Array.from_buffers(pa.binary(), len(mine), [None, ends, pa.py_buffer(out)]))
+            order.append(mine)
+    if len(parts) == 1:
+        return parts[0]
+    place = np.empty(len(m), np.int64)
+    place[np.concatenate(order)] = np.arange(len(m))
+    return pa.concat_arrays(parts).take(pa.array(place))
+
+
 WHOLE = ("int8", "int16", "int32", "int64")
 
 

@@ -232,3 +232,37 @@ def test_hash_vector(spark, dim):
     for r in rows:
         want = expected_vector(texts[r["i"]] or "", dim)
         assert r["v"] == want and r["n"] == sum(x * x for x in want)
+
+
+def test_the_bound_is_not_taken_again_for_every_block_of_cases(monkeypatch):
+    """The k-th best so far bounds most blocks; maxima of groups cost a pass over all scores."""
+    monkeypatch.setattr(similar, "CASE_STEP", 100)
+    rng = np.random.default_rng(4)
+    q, c = (rng.standard_normal((n, 16)).astype(np.float32) for n in (203, 4001))
+    taken, kth = [], similar.CaseSide._kth
+    monkeypatch.setattr(similar.CaseSide, "_kth", staticmethod(lambda s, k: taken.append(1) or kth(s, k)))
+
+    def check(c):
+        picked, cosine = similar.CaseSide(c, 5, 9).best(q)
+        s = similar._cosines(q.astype(float), (q.astype(float) ** 2).sum(1), c.astype(float), (c.astype(float) ** 2).sum(1), 9)
+        want = np.argsort(-s, axis=1, kind="stable")[:, :5]
+        assert (picked == want).all() and np.allclose(cosine, np.take_along_axis(s, want, axis=1), rtol=0, atol=1e-12)
+
+    check(c)
+    assert len(taken) < 20  # of 41 blocks
+    check(c[np.argsort(c @ q[0])])  # cases get better and better
+
+
+def test_places_and_equal_vectors(monkeypatch):
+    rng = np.random.default_rng(6)
+    for n in (0, 3, 8, 1001):
+        marks = rng.random(n) < 0.1
+        assert similar._places(marks).tolist() == np.flatnonzero(marks).tolist()
+    for kind in (np.int8, np.int32, np.float32, np.float64):
+        m = rng.integers(-2, 3, (300, 3)).astype(kind)
+        first, which = similar._distinct(m)
+        assert (m[first][which] == m).all() and len(first) == len(np.unique(m, axis=0))
+    monkeypatch.setattr(similar.np.random, "default_rng", lambda seed: type("One", (), {"integers": lambda self, *a: np.zeros(a[2], np.uint64)})())
+    m = np.array([[1, 2], [2, 1], [1, 2]])  # equal sums
+    first, which = similar._distinct(m)
+    assert len(first) == 2 and (m[first][which] == m).all()
