@@ -132,14 +132,23 @@ def signed_counts(texts: pa.Array, dim: int) -> np.ndarray:
     return counts.astype(np.int32).reshape(len(texts), dim)
 
 
+def counts_of(texts: pa.Array, dim: int) -> np.ndarray:
+    """`signed_counts` of texts of any size; a text that many rows hold is counted once."""
+    once = texts.dictionary_encode()
+    counts = [signed_counts(some, dim) for some in _slices(once.dictionary)]
+    if len(once.dictionary) == 0:
+        return np.empty((0, dim), np.int32)
+    values = counts[0] if len(counts) == 1 else np.concatenate(counts)
+    return values if len(values) == len(texts) else values[once.indices.to_numpy(zero_copy_only=False)]
+
+
 @lru_cache(maxsize=None)
 def _summer(dim: int):
     """Arrow function: lower-cased texts -> lists of `dim` signed counts."""
 
     @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
     def counted(texts: pa.Array) -> pa.Array:
-        counts = [signed_counts(some, dim) for some in _slices(texts)]
-        values = np.concatenate(counts).ravel() if counts else np.empty(0, np.int32)
+        values = counts_of(texts, dim).ravel()
         return pa.ListArray.from_arrays(pa.array(np.arange(0, len(texts) * dim + 1, dim, dtype=np.int32)), pa.array(values))
 
     return counted
