@@ -63,8 +63,9 @@ def similar_topk(
     query_id: str,
     info: list[str],
     options: TopKOptions = TopKOptions(),
+    keep_vec: bool = True,
 ) -> DataFrame:
-    """`queries` plus `similar`: array of struct(case_id, *info, cosine), best first.
+    """`queries` plus `similar`: array of struct(case_id, *info, cosine), best first; without `vec` on demand.
 
     Both sides carry `vec`, of one width and one `space` where both name theirs; cosine
     is 0 where either vector is zero, and is not clamped. Runs a small size check on
@@ -74,9 +75,11 @@ def similar_topk(
     snapshot = resident_snapshot(cases, info, options, size)
     if snapshot is not None:
         score = resident_scorer(queries.sparkSession, snapshot, cases, k, info, options)
-        return queries.withColumn("similar", score(F.col("vec")))
-    ranked = _partitioned(queries.select("vec"), cases, size, k, info, options)
-    return queries.withColumns(_hashes()).join(ranked, list(_hashes()), "left").drop(*_hashes())
+        found = queries.withColumn("similar", score(F.col("vec")))
+        return found if keep_vec else found.drop("vec")
+    asked = _stored(queries, keep_vec)
+    ranked = _partitioned(asked, cases, size, k, info, options)
+    return asked.drop("_bytes").join(ranked, list(_hashes()), "left").drop(*_hashes())
 
 
 # --- shared numpy helpers -------------------------------------------------
@@ -351,7 +354,7 @@ def _lists(rows: pa.StructArray, picked: np.ndarray, cosine: np.ndarray) -> pa.L
 
 
 def _hashes() -> dict[str, Column]:
-    return {"_h1": F.xxhash64("vec"), "_h2": F.xxhash64(F.lit(1), "vec")}
+    return {"_h1": F.xxhash64("_bytes"), "_h2": F.xxhash64(F.lit(1), "_bytes")}
 
 
 def grid_of(queries: int, cases: int, options: TopKOptions) -> tuple[int, int]:
@@ -433,14 +436,24 @@ def _unpacked(packed: pa.Array, dim: int | None = None) -> np.ndarray:
     return out
 
 
+def _stored(queries: DataFrame, keep_vec: bool) -> DataFrame:
+    """The queries with their packed vectors and hashes of these, written: they are read twice, and what makes a vector is costly."""
+    path, packed = work_folder(queries.sparkSession, "queries"), _packed("vec").alias("_bytes")
+    void = {f.name: F.lit(None) for f in queries.schema if isinstance(f.dataType, T.NullType)}  # no file holds these
+    columns = queries.columns if keep_vec else [c for c in queries.columns if c != "vec"]
+    # a plan that names a vector beside what is packed of it makes it twice
+    kept = queries.select(*[F.col(f"`{c}`") for c in columns if c not in void], *([] if keep_vec else [packed]))
+    kept.write.parquet(path)
+    read = queries.sparkSession.read.schema(kept.schema).parquet(path).withColumns(void)
+    return read.select(*[F.col(f"`{c}`") for c in columns], packed if keep_vec else "_bytes").withColumns(_hashes())
+
+
 def _partitioned(queries: DataFrame, cases: DataFrame, size, k: int, info: list[str], options: TopKOptions) -> DataFrame:
-    """(_h1, _h2, similar) of every distinct query vector. Stores the distinct vectors, which are counted first."""
+    """(_h1, _h2, similar) of every distinct vector of stored queries; these are counted first."""
     spark, names = queries.sparkSession, ["case_id", *info]
-    distinct = queries.select(*[h.alias(name) for name, h in _hashes().items()], _packed("vec").alias("bytes")).distinct()
-    path = work_folder(spark, "query-vectors")
-    distinct.write.parquet(path)
-    distinct = spark.read.schema(distinct.schema).parquet(path).where(F.col("bytes").isNotNull())
-    n, cores = distinct.count(), spark.sparkContext.defaultParallelism
+    vectors = queries.select("_h1", "_h2", F.col("_bytes").alias("bytes")).where(F.col("bytes").isNotNull())
+    distinct = vectors.distinct()
+    n, cores = vectors.select("_h1", "_h2").distinct().count(), spark.sparkContext.defaultParallelism
     rows, columns = grid_of(n, size["n"], replace(options, block_rows=tile_rows(n, size["n"], options, cores)))
     along = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     dealt = min(4 * rows * columns, 4 * max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))

@@ -519,7 +519,7 @@ def dense_topk(spark, folder):
     vecs = busy(spark, folder, "embeddings", "vec_id", F.col("embedding").alias("vec"), "label")
     found = similar_topk(
         vecs.select("vec_id", "vec"), vecs.select(F.col("vec_id").alias("case_id"), "vec", "label"), 5, "vec_id", ["label"],
-        TopKOptions(decimals=9),
+        TopKOptions(decimals=9), keep_vec=False,
     )
     return found.select("vec_id", _by_rank("similar")).select(
         "vec_id", (F.col("pos") + 1).alias("rank"), F.col("s.case_id").alias("near_id"), F.round("s.cosine", 6).alias("cosine")
@@ -532,7 +532,7 @@ def similar_documents(spark, folder):
     path = work_folder(spark, "document-vectors")
     docs.write.parquet(path)
     turns = busy(spark, folder, "conversations", "conv_id", "turn", "text").withColumn("vec", vectors.hash_vector(F.col("text"), OPTIONS.dim))
-    found = similar_topk(turns, spark.read.schema(docs.schema).parquet(path), 1, "conv_id", [], TopKOptions(resident_bytes=0, block_rows=2048))
+    found = similar_topk(turns, spark.read.schema(docs.schema).parquet(path), 1, "conv_id", [], TopKOptions(resident_bytes=0, block_rows=2048), keep_vec=False)
     return found.select("conv_id", "turn", F.posexplode("similar").alias("pos", "s")).select("conv_id", "turn", F.col("s.case_id").alias("doc_id"), F.round("s.cosine", 6).alias("cosine"))
 
 

@@ -40,7 +40,7 @@ def with_similar(
     info: list[str] = RESULT_INFO,
 ) -> DataFrame:
     """Adds `similar`: the k most similar stored cases with their `info` columns, best first."""
-    return similar_topk(with_vector(calls, options, text), cases, options.top_k, call_id, info, topk).drop("vec")
+    return similar_topk(with_vector(calls, options, text), cases, options.top_k, call_id, info, topk, keep_vec=False)
 
 
 def judge_requests(scored: DataFrame, text: str = "text") -> DataFrame:

@@ -266,3 +266,40 @@ def test_places_and_equal_vectors(monkeypatch):
     m = np.array([[1, 2], [2, 1], [1, 2]])  # equal sums
     first, which = similar._distinct(m)
     assert len(first) == 2 and (m[first][which] == m).all()
+
+
+def test_a_vector_is_made_once_for_each_query_and_each_text(spark, monkeypatch):
+    """The route for large tables reads its queries twice; they were computed twice, and a text for every row that has it."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.arrow_udf("array<int>")
+    def vector(i):
+        import pyarrow as pa
+
+        made.add(len(i))
+        return pa.array([[n % 7, 1, n % 3] if n % 10 else None for n in i.to_pylist()], pa.list_(pa.int32()))
+
+    queries = spark.range(200).repartition(2).select(F.col("id").alias("qid"), F.lit(None).alias("none"), vector("id").alias("vec"))
+    cases = spark.createDataFrame([(f"c{i}", [i % 5, i % 7, 1]) for i in range(50)], "case_id string, vec array<int>")
+    options = TopKOptions(resident_bytes=0, block_rows=20)
+    found = similar_topk(queries, cases, 2, "qid", [], options)
+    assert found.columns == ["qid", "none", "vec", "similar"] and found.schema["vec"].dataType == queries.schema["vec"].dataType
+    rows = {r["qid"]: r for r in found.collect()}
+    assert made.value == 200 and len(rows) == 200
+    assert rows[10]["vec"] is None and rows[10]["similar"] is None and rows[9]["vec"] == [2, 1, 0] and len(rows[9]["similar"]) == 2
+    bare = similar_topk(queries, cases, 2, "qid", [], options, keep_vec=False)
+    assert bare.columns == ["qid", "none", "similar"] and {r["qid"]: r["similar"] for r in bare.collect()} == {i: r["similar"] for i, r in rows.items()}
+    assert made.value == 400
+    assert similar_topk(queries, cases, 2, "qid", [], keep_vec=False).columns == ["qid", "none", "similar"]
+
+
+def test_a_text_of_many_rows_is_counted_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    seen = []
+    count = vectors.signed_counts
+    monkeypatch.setattr(vectors, "signed_counts", lambda texts, dim: seen.append(len(texts)) or count(texts, dim))
+    texts = ["你好 a b", "", "a b", "你好 a b"] * 50
+    got = vectors.counts_of(pa.array(texts), 16)
+    assert seen == [3] and (got == count(pa.array(texts), 16)).all()
+    assert vectors.counts_of(pa.array([], pa.string()), 16).shape == (0, 16)
