@@ -27,6 +27,21 @@ def test_byte_strings(docs, pairs, same):
     same(out.select("id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect(), brute.repeated_bytes(pairs))
 
 
+def test_planted_passages_of_over_50_words(spark, same):
+    """The contract's 400 bytes decide, not the words: shorter passages stay, longer ones go whole, texts without one are left alone."""
+    rows, planted = [], {}
+    for size in (371, 399, 400, 401, 650):
+        p = f"{size}p" + " ".join(f"{size}k{k:02d}" for k in range(200))[: size - 4]
+        assert len(p) == size and len(p.split()) > 50
+        for k in range(2):
+            planted[len(rows)] = size
+            rows.append((len(rows), " ".join(f"d{len(rows)}w{i}" for i in range(60)) + f" {k}{p}{k} " + " ".join(f"e{len(rows)}w{i}" for i in range(60))))
+    rows += [(len(rows) + k, " ".join(f"c{k}w{i}" for i in range(150))) for k in range(10)]
+    out = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).cache()
+    same(out.select("id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect(), brute.repeated_bytes(rows))
+    assert {r["id"]: r["n_removed"] for r in out.collect()} == {i: n if (n := planted.get(i, 0)) >= 400 else 0 for i, _ in rows}
+
+
 def test_long_texts_in_pieces(spark, same, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 1000)
     rows = [(1, "".join(chr(97 + (i * i) % 23) + chr(97 + i % 19) for i in range(4000))), (2, "x" * 3000), (3, "".join(chr(97 + (i * i) % 23) + chr(97 + i % 19) for i in range(700, 1500)))]
